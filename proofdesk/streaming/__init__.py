@@ -1,0 +1 @@
+"""Intentionally empty: none of the operators this package covers reads continuously (see README)."""
