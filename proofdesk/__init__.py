@@ -1,7 +1 @@
 """Spark jobs that build, retrieve and grade evidence for help-page answers."""
-import sys
-
-from pyspark import cloudpickle
-
-# Task functions travel by value, so workers need no copy of this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

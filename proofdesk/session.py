@@ -1,7 +1,9 @@
 """Session defaults and the two guards every plan shares: bounded broadcast and lineage cuts."""
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,24 @@ def build_session(app: str = "proofdesk", master: str | None = None, shuffle_par
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    return ship_package(b.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Put this package on the Python path of the session's workers; once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_proofdesk_shipped", None) is None:
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="proofdesk-"), "proofdesk.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(archive)
+        sc._proofdesk_shipped = archive
+    return spark
 
 
 def fits_broadcast(df: DataFrame, size_of=None, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
