@@ -1,7 +1,9 @@
 """Text operators: tokens, word counts, sentences, overlapping windows, shingles and the normalisers.
 
 Column functions stay on the JVM. The row-multiplying ones take and return DataFrames: the split array is
-materialised once per row below a generator, so no regex is re-evaluated per element.
+materialised once per row below a generator, so no regex is re-evaluated per element. Generators over computed
+arrays are outer ones throughout the package: for a plain explode the optimizer infers a size filter, pushes it
+below and so evaluates the array (per element, where a lambda holds it) a second time.
 """
 from __future__ import annotations
 
@@ -123,7 +125,8 @@ def _starts(n: Column, size: int, step: int, stop: Column) -> Column:
 def _slices(df: DataFrame, parts: Column, size: int, step: int, stop, out: str, ordinal: str, keep) -> DataFrame:
     listed = df.select(*keep, parts.alias("_parts"))
     n = F.size("_parts")
-    return (listed.select(*keep, "_parts", F.posexplode(_starts(n, size, step, stop(n))).alias(ordinal, "_at"))
+    return (listed.select(*keep, "_parts", F.posexplode_outer(_starts(n, size, step, stop(n))).alias(ordinal, "_at"))
+            .where(F.col("_at").isNotNull())
             .select(*keep, ordinal, F.array_join(F.slice("_parts", F.col("_at") + 1, size), " ").alias(out)))
 
 

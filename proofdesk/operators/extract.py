@@ -64,8 +64,8 @@ def extract_entries(pages: DataFrame) -> DataFrame:
         tidy(F.col("q")).alias("question"), tidy(F.col("a")).alias("answer")).alias("e"))
     kept = zipped.select(*keep, F.filter("e", lambda x: (x["question"] != "") & (x["answer"] != "")).alias("e"))
     names = kept.select(*keep, "e", F.transform("e", lambda x: x["block"]).alias("b"))
-    rows = names.select(*keep, F.posexplode("e").alias("i", "x"), "b",
-                        (F.size(F.array_distinct("b")) < F.size("b")).alias("repeats"))
+    rows = names.select(*keep, F.posexplode_outer("e").alias("i", "x"), "b",
+                        (F.size(F.array_distinct("b")) < F.size("b")).alias("repeats")).where(F.col("i").isNotNull())
     block = F.col("x.block")
     nth = F.when(F.col("repeats"), F.size(F.filter(F.slice("b", 1, F.col("i") + 1), lambda y: y == block))).otherwise(1)
     return rows.select(

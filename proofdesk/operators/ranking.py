@@ -119,7 +119,7 @@ def term_stats(units: DataFrame) -> DataFrame:
     """(term, df, idf) over the whole vocabulary: map-side distinct, then one pre-aggregated exchange on term."""
     n = units.count()
     listed = units.select(F.array_distinct(T.words(F.col("text"))).alias("t"))
-    df = listed.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = listed.select(F.explode_outer("t").alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
     return df.select("term", "df", idf(F.lit(float(n)), F.col("df")).alias("idf"))
 
 
@@ -131,7 +131,7 @@ def _block_stats(tokens: DataFrame, vocab: list[str]):
     spark = tokens.sparkSession
     wanted = F.broadcast(spark.createDataFrame([("",)] + [(t,) for t in vocab], "term string"))
     rows = (tokens.select(F.size("t").alias("len"), "hidden",
-                          F.explode(F.array_union(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
+                          F.explode_outer(F.array_union(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
             .join(wanted, "term")
             .select("term", "len", F.explode(F.concat(F.array(F.lit("")), F.coalesce(
                 "hidden", F.array().cast("array<string>")))).alias("corpus")))

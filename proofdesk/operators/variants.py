@@ -33,7 +33,7 @@ def jaccard_pairs(held: DataFrame, other: DataFrame, minimum: float = JACCARD_MI
     """
     def sets(df, key, size):
         listed = df.select(key, F.array_distinct(T.words(F.col("text"))).alias("t"))
-        return listed.select(key, F.size("t").alias(size), F.explode("t").alias("token"))
+        return listed.select(key, F.size("t").alias(size), F.explode_outer("t").alias("token"))
 
     h = broadcast_if_bounded(sets(held, "held_ord", "hs"), "token")
     o = sets(other, "entry_ord", "os")
@@ -48,7 +48,7 @@ def containment_pairs(held: DataFrame, other: DataFrame, n: int = T.SHINGLE_WORD
     """Pairs sharing a shingle, with the contained share seen from either side."""
     def grams(df, key, size):
         s = T.shingle_sets(df, "text", key, n=n)
-        return s.select(key, F.size("shingles").alias(size), F.explode("shingles").alias("g"))
+        return s.select(key, F.size("shingles").alias(size), F.explode_outer("shingles").alias("g"))
 
     h = broadcast_if_bounded(grams(held, "held_ord", "hs"), "g")
     shared = (grams(other, "entry_ord", "os").join(h, "g")

@@ -76,7 +76,7 @@ def nwords(spark, sf):
 
 
 def sentences(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
+    d = _t(spark, sf, "documents").select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("i", "sentence")).where(F.col("i").isNotNull())
     return d.select("doc_id", _big(F.col("i")).alias("sent_ord"), "sentence")
 
 
@@ -148,8 +148,8 @@ def exclude_urls(spark, sf):
 
 def _page_entries(spark, sf) -> DataFrame:
     """Paragraphs of the pages as entries that must show up on their own page."""
-    p = _t(spark, sf, "pages").select("page_id", "url", F.posexplode(
-        F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))).alias("i", "raw"))
+    p = _t(spark, sf, "pages").select("page_id", "url", F.posexplode_outer(
+        F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))).alias("i", "raw")).where(F.col("i").isNotNull())
     return p.select(extract.pack_ordinal(F.col("page_id"), F.col("i"), extract.SECTION_BITS).alias("entry_ord"),
                     F.concat(F.col("page_id").cast("string"), F.lit(":"), F.col("i").cast("string")).alias("id"), "url",
                     T.clean(F.col("raw")).alias("answer"))
