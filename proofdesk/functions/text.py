@@ -32,6 +32,9 @@ SHINGLE_WORDS = 8
 SPACE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                                0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Printable ASCII is settled by the first test of the class, which is what most text consists of.
+SPACE_RUN = f"[[^!-~]&&[{SPACE}]]+"
+WORD_RUN = f"[!-~[^{SPACE}]]+"
 SPACE_NO_NEWLINE = SPACE.replace(r"\t-\r", r"\t\x0b-\r")
 
 
@@ -40,7 +43,7 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    return strip(F.regexp_replace(c, SPACE_RUN, " "))
 
 
 def words(c: Column) -> Column:
@@ -49,16 +52,16 @@ def words(c: Column) -> Column:
 
 
 def nwords(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
+    return F.regexp_count(c, F.lit(WORD_RUN))
 
 
 def split_words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"[^{SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(WORD_RUN), F.lit(0))
 
 
 def sentences(c: Column) -> Column:
     """Break at newlines and after . ! ? when a capital, digit, quote or bracket follows."""
-    parts = F.split(c, rf"\n|(?<=[{SENTENCE_END}])[{SPACE_NO_NEWLINE}]+(?=[{SENTENCE_START}])")
+    parts = F.split(c, rf"\n|(?<=[{SENTENCE_END}])[[^!-~]&&[{SPACE_NO_NEWLINE}]]+(?=[{SENTENCE_START}])")
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import broadcast_if_bounded, fits_broadcast
+from ..session import broadcast_if_bounded, cut_lineage, fits_broadcast
 
 # Inclusive thresholds of the three similarity signals.
 QUESTION_RATIO, JACCARD_MIN, CONTAINMENT_MIN = 0.6, 0.3, 0.2
@@ -159,5 +159,5 @@ def variants(entries: DataFrame, held: DataFrame, *, question_ratio: float | Non
 
 def without_variants(entries: DataFrame, held: DataFrame, **thresholds) -> tuple[DataFrame, DataFrame]:
     """(kept, removed) for a held set taken as a whole: kept loses every copy of any held entry."""
-    gone = broadcast_if_bounded(variants(entries, held, **thresholds).select("entry_ord").distinct())
+    gone = broadcast_if_bounded(cut_lineage(variants(entries, held, **thresholds).select("entry_ord").distinct()))
     return entries.join(gone, "entry_ord", "left_anti"), entries.join(gone, "entry_ord", "left_semi")

@@ -27,7 +27,7 @@ SAMPLE, SEED = 40, 7
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return S.read_table(spark, f"{sf}/{name}.parquet")
 
 
 def _big(c):

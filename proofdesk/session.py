@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # A side is broadcast only after its real row count and byte size were measured under these limits.
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 128 << 20
+SPREAD_BYTES_PER_CORE = 4 << 20
 
 
 def build_session(app: str = "proofdesk", master: str | None = None, shuffle_partitions: int | None = None,
@@ -62,6 +63,17 @@ def broadcast_if_bounded(df: DataFrame, size_of=None, **limits) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, size_of, **limits) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input one partition per core before heavy per-row work.
+
+    A few small files or one row group would otherwise keep most cores idle. Decided on the planner's size
+    estimate, so it runs nothing, and an input of more than a few MB per core keeps its scan partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES_PER_CORE else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder; a local folder is set only where none is configured."""
     spark = df.sparkSession

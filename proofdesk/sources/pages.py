@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import spread
+
 # REST path, page size, timeout and politeness pause.
 PAGES_PATH = "/wp-json/wp/v2/pages?per_page={per_page}&page={page}"
 PER_PAGE, TIMEOUT, PAUSE = 100, 60, 1.0
@@ -98,7 +100,7 @@ def load_pages(spark: SparkSession, path: str) -> DataFrame:
     """A landed folder (JSON lines with page_ord) or one file holding a JSON array, whose order becomes page_ord."""
     raw = spark.read.option("multiLine", not _is_folder(spark, path)).schema(PAGE_SCHEMA).json(path)
     order = F.coalesce("page_ord", F.monotonically_increasing_id())
-    return raw.select(order.alias("page_ord"), "id", "link", "modified", "content")
+    return spread(raw.select(order.alias("page_ord"), "id", "link", "modified", "content"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
