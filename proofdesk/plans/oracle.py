@@ -111,7 +111,7 @@ WRAPPED = """pg AS (SELECT doc_id, 'https://' || source || '.example/' || lang |
   sec AS (SELECT doc_id, url, regexp_extract_all(b, '(?s)<div class="schema-faq-section" id="[^"]+">.*?</div>') AS s FROM body),
   one AS (SELECT doc_id, url, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM sec)"""
 
-PARAGRAPHS = rf"""pr AS (SELECT page_id, url, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS ps, {_shown('html')} AS shown FROM pages),
+PARAGRAPHS = rf"""pr AS (SELECT page_id, url, regexp_extract_all(html, '(?s)<p>.*?</p>|<ul>.*?</ul>') AS ps, {_shown('html')} AS shown FROM pages),
   px AS (SELECT page_id || ':' || (generate_subscripts(ps, 1) - 1) AS id, url, shown, unnest(ps) AS raw FROM pr),
   ck AS (SELECT url, id, NOT contains(shown, {_norm(_clean('raw'))}) AS missing FROM px)"""
 

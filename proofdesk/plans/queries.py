@@ -147,9 +147,12 @@ def exclude_urls(spark, sf):
 
 
 def _page_entries(spark, sf) -> DataFrame:
-    """Paragraphs of the pages as entries that must show up on their own page."""
+    """Paragraphs and lists of the pages as entries that must show up on their own page.
+
+    List items lose their tags when cleaned but turn into separate words when displayed, so lists are missing.
+    """
     p = _t(spark, sf, "pages").select("page_id", "url", F.posexplode_outer(
-        F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))).alias("i", "raw")).where(F.col("i").isNotNull())
+        F.regexp_extract_all("html", F.lit(r"(?s)<p>.*?</p>|<ul>.*?</ul>"), F.lit(0))).alias("i", "raw")).where(F.col("i").isNotNull())
     return p.select(extract.pack_ordinal(F.col("page_id"), F.col("i"), extract.SECTION_BITS).alias("entry_ord"),
                     F.concat(F.col("page_id").cast("string"), F.lit(":"), F.col("i").cast("string")).alias("id"), "url",
                     T.clean(F.col("raw")).alias("answer"))

@@ -1,18 +1,14 @@
 """End to end with a stand-in model, embedder and reranker on a small synthetic help center."""
 import json
 import re
-import sys
 import zlib
 
 import pytest
-from pyspark import cloudpickle
 
 from proofdesk.cli import as_report
 from proofdesk.plans import workflow as W
 from proofdesk.sources.tables import Config, read_calls
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 OLD, NEW, CARE = "https://cafe.example/faq-old/", "https://cafe.example/faq/", "https://cafe.example/beans/"
 
 
