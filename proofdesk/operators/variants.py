@@ -22,6 +22,7 @@ from ..session import broadcast_if_bounded, cut_lineage, fits_broadcast
 QUESTION_RATIO, JACCARD_MIN, CONTAINMENT_MIN = 0.6, 0.3, 0.2
 
 HELD_TITLE_LIMIT = 5_000
+PAIR_CELLS = 2_000_000  # titles x held titles compared at a time within a task
 _PAIR = "held_ord bigint, entry_ord bigint, ratio double"
 
 
@@ -93,7 +94,8 @@ def _against_held(kept: list, minimum: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = _letters([q for _, q in kept])
         sizes = letters.sum(1)
-        for pdf in batches:
+        step = max(16, PAIR_CELLS // max(1, len(kept)))
+        for pdf in (b.iloc[at:at + step] for b in batches for at in range(0, len(b), step)):
             titles, where = np.unique(pdf["q"].to_numpy(dtype=object).astype(str), return_inverse=True)
             mine = _letters(titles)
             total = mine.sum(1)

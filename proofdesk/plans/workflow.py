@@ -185,7 +185,7 @@ def build_jobs(spark: SparkSession, cfg, make_embedder=None, scorer=None, runner
     if held.count() != held_ids.count():
         raise KeyError("a held-out question names an entry that the corpus does not have")
     removed = S.land(variants.variants(entries, held.select(*entries.columns)), _table(cfg, "removed"))
-    hidden = removed.join(F.broadcast(held.select(F.col("entry_ord").alias("held_ord"), "id")), "held_ord") \
+    hidden = removed.join(broadcast_if_bounded(held.select(F.col("entry_ord").alias("held_ord"), "id")), "held_ord") \
         .groupBy("entry_ord").agg(F.collect_list("id").alias("hidden"))
     questions = items.select(F.col("item_ord").alias("query_id"), F.col("question").alias("text"), F.col("held_id").alias("corpus_id"))
 
@@ -231,7 +231,7 @@ def _full_contexts(entries, items, held, removed) -> DataFrame:
     ords = [r["entry_ord"] for r in held.select("entry_ord").collect()]
     if ords:
         site = site.unionByName(packing.full_context(_visible(entries, ords, removed), "held_ord"))
-    keyed = items.join(F.broadcast(held.select(F.col("id").alias("held_id"), F.col("entry_ord").alias("held_ord"))), "held_id", "left")
+    keyed = items.join(held.select(F.col("id").alias("held_id"), F.col("entry_ord").alias("held_ord")), "held_id", "left")
     keyed = keyed.select("item_ord", F.coalesce("held_ord", F.lit(-1)).alias("held_ord"))
     return keyed.join(site, "held_ord", "left").select("item_ord", F.lit("A").alias("reader"), F.coalesce("context", F.lit("")).alias("context"))
 
