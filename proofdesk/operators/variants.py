@@ -3,7 +3,8 @@
 Five signals mark a copy: same id; same block on another url; similar question; token Jaccard; shingle
 containment. Each is its own join driven by the held side, which is broadcast when measured small, so the
 corpus is scanned and never shuffled; only matches are. No pair is formed without a shared key, except for the
-question ratio, which has no exact index: there each task compares its questions to the held ones in place.
+question ratio, which has no exact index: there each task compares its questions to the held ones in place, after
+bounds on shared letters and on the longest common subsequence.
 """
 from __future__ import annotations
 
@@ -34,7 +35,8 @@ def jaccard_pairs(held: DataFrame, other: DataFrame, minimum: float = JACCARD_MI
     """
     def sets(df, key, size):
         listed = df.select(key, F.array_distinct(T.words(F.col("text"))).alias("t"))
-        return listed.select(key, F.size("t").alias(size), F.explode_outer("t").alias("token"))
+        # never null: a nullable size in the join condition would push a second tokenising filter into the scan
+        return listed.select(key, F.coalesce(F.size("t"), F.lit(0)).alias(size), F.explode_outer("t").alias("token"))
 
     h = broadcast_if_bounded(sets(held, "held_ord", "hs"), "token")
     o = sets(other, "entry_ord", "os")
@@ -58,20 +60,43 @@ def containment_pairs(held: DataFrame, other: DataFrame, n: int = T.SHINGLE_WORD
                          (F.col("c") / F.col("os")).alias("other_in_held"))
 
 
-def _letters(titles) -> np.ndarray:
-    """Character histogram folded to 128 slots; folding can only raise the overlap bound below."""
-    out = np.zeros((len(titles), 128), dtype=np.int32)
+def _codes(title: str) -> np.ndarray:
+    return np.frombuffer(title.encode("utf-32-le"), dtype=np.uint32)
+
+
+def _letters(titles, alphabet: np.ndarray) -> np.ndarray:
+    """Character counts over an alphabet; other characters cannot match and are left out."""
+    out = np.zeros((len(titles), len(alphabet)), dtype=np.int32)
     for row, title in enumerate(titles):
-        codes = np.frombuffer(title.encode("utf-32-le"), dtype=np.uint32) % 128
-        out[row] = np.bincount(codes, minlength=128)
+        codes = _codes(title)
+        slot = np.minimum(np.searchsorted(alphabet, codes), len(alphabet) - 1)
+        out[row] = np.bincount(slot[alphabet[slot] == codes], minlength=len(alphabet))
+    return out
+
+
+def _places(title: str) -> dict[str, int]:
+    """Per character, a bit for every position that holds it."""
+    out: dict[str, int] = {}
+    for i, ch in enumerate(title):
+        out[ch] = out.get(ch, 0) | 1 << i
     return out
 
 
-def _ratio_if(matcher: SequenceMatcher, minimum: float):
-    if matcher.real_quick_ratio() >= minimum and matcher.quick_ratio() >= minimum:
-        ratio = matcher.ratio()
-        return ratio if ratio >= minimum else None
-    return None
+def _common_subsequence(places: dict[str, int], size: int, other: str) -> int:
+    """Length of the longest common subsequence, bit-parallel: one addition per character of `other`.
+
+    difflib's matching blocks keep their order in both texts, so their total never exceeds it.
+    """
+    full = (1 << size) - 1
+    rows = full
+    for ch in other:
+        hit = rows & places.get(ch, 0)
+        rows = ((rows + hit) | (rows - hit)) & full
+    return size - rows.bit_count()
+
+
+def _may_reach(common: int, total: int, minimum: float) -> bool:
+    return total == 0 or 2.0 * common >= minimum * total - 1e-6
 
 
 def question_pairs(held: DataFrame, other: DataFrame, minimum: float = QUESTION_RATIO) -> DataFrame:
@@ -92,13 +117,14 @@ def question_pairs(held: DataFrame, other: DataFrame, minimum: float = QUESTION_
 
 def _against_held(kept: list, minimum: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters = _letters([q for _, q in kept])
-        sizes = letters.sum(1)
+        alphabet = np.unique(np.concatenate([_codes(q + " ") for _, q in kept] or [_codes(" ")]))
+        letters = _letters([q for _, q in kept], alphabet)
+        sizes, places = [len(q) for _, q in kept], [_places(q) for _, q in kept]
         step = max(16, PAIR_CELLS // max(1, len(kept)))
         for pdf in (b.iloc[at:at + step] for b in batches for at in range(0, len(b), step)):
             titles, where = np.unique(pdf["q"].to_numpy(dtype=object).astype(str), return_inverse=True)
-            mine = _letters(titles)
-            total = mine.sum(1)
+            mine = _letters(titles, alphabet)
+            total = np.array([len(t) for t in titles])
             found = []
             matcher = SequenceMatcher()
             hits = [np.flatnonzero(2.0 * np.minimum(mine, letters[j]).sum(1) >= minimum * (total + sizes[j]) - 1e-6)
@@ -108,11 +134,15 @@ def _against_held(kept: list, minimum: float):
                 for i in rows:
                     by_title.setdefault(int(i), []).append(j)
             for i, held_rows in by_title.items():
-                matcher.set_seq2(str(titles[i]))  # the index over the second text is reused for every held one
+                title = str(titles[i])
+                held_rows = [j for j in held_rows if _may_reach(
+                    _common_subsequence(places[j], sizes[j], title), sizes[j] + len(title), minimum)]
+                if held_rows:
+                    matcher.set_seq2(title)  # the index over the second text serves every held one
                 for j in held_rows:
                     matcher.set_seq1(kept[j][1])
-                    ratio = _ratio_if(matcher, minimum)
-                    if ratio is not None:
+                    ratio = matcher.ratio()
+                    if ratio >= minimum:
                         found.append((i, kept[j][0], ratio))
             hit = pd.DataFrame(found, columns=["i", "held_ord", "ratio"]).astype(
                 {"i": "int64", "held_ord": "int64", "ratio": "float64"})
@@ -124,9 +154,12 @@ def _against_held(kept: list, minimum: float):
 def _pairwise(minimum: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ratios = [_ratio_if(SequenceMatcher(None, a, b), minimum) for a, b in zip(pdf["hq"], pdf["q"])]
-            out = pdf[["held_ord", "entry_ord"]].assign(ratio=pd.Series(ratios, index=pdf.index, dtype="float64"))
-            yield out[out["ratio"].notna()]
+            near = [_may_reach(_common_subsequence(_places(a), len(a), b), len(a) + len(b), minimum)
+                    for a, b in zip(pdf["hq"], pdf["q"])]
+            pdf = pdf[np.array(near, dtype=bool)]
+            ratios = [SequenceMatcher(None, a, b).ratio() for a, b in zip(pdf["hq"], pdf["q"])]
+            out = pdf[["held_ord", "entry_ord"]].assign(ratio=np.array(ratios, dtype=float))
+            yield out[out["ratio"] >= minimum]
     return run
 
 
