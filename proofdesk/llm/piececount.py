@@ -162,12 +162,13 @@ def count_column(column: pa.Array, path: str) -> np.ndarray:
     others = {i: counter.pre_tokens(column[i].as_py()) for i in np.flatnonzero(odd)}
     wanted = set(distinct).union(*(p for p, _ in others.values()))
     missing = [w for w in wanted if w not in memo]
-    known = {w: memo[w] for w in wanted if w in memo} if len(memo) + len(missing) > memo.entries else memo
+    known: dict = memo
+    if len(memo) + len(missing) > memo.entries:  # full: keep what this batch uses and start anew
+        known = {w: memo[w] for w in wanted if w in memo}
+        memo.clear()
     for start in range(0, len(missing), 100_000):
         part = missing[start:start + 100_000]
         known.update(zip(part, counter.count(part).tolist()))
-    if len(memo) + len(missing) > memo.entries:
-        memo.clear()
     by_word = np.fromiter((known[w] for w in distinct), dtype=np.int64, count=len(distinct))
     total = np.concatenate([[0], np.cumsum(by_word[codes])])
     out = total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]]

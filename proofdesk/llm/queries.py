@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman, mixture, piececount, urls
+from . import bpe, huffman, mixture, piececount, pivots, urls
 from .tokens import tokenizer_file
 
 WORD_BPE, WORD_BPE_IDS = "word_bpe_49k.json", 49_408
@@ -32,6 +32,10 @@ def op8_backtracking_bpe(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
 
 
+def op9_pivot_index(spark, sf_dir):
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_trie(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -52,5 +56,5 @@ best AS (SELECT page_id, arg_max(rule, n) AS rule, arg_max(verdict, n) AS verdic
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_huffman, op6_mixture_packing, op7_token_counts, op8_backtracking_bpe, op10_url_trie)}
+QUERIES = {f.__name__: f for f in (op1_huffman, op6_mixture_packing, op7_token_counts, op8_backtracking_bpe, op9_pivot_index, op10_url_trie)}
 ORACLE_SQL = {"op10_url_trie": OP10_SQL}
