@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman, mixture, piececount, pivots, urls
+from . import bpe, huffman, jaccard, mixture, piececount, pivots, urls
 from .tokens import tokenizer_file
 
 WORD_BPE, WORD_BPE_IDS = "word_bpe_49k.json", 49_408
@@ -20,6 +20,10 @@ def op1_huffman(spark, sf_dir):
     return huffman.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), WORD_BPE_IDS)
 
 
+def op2_ngram_jaccard(spark, sf_dir):
+    return jaccard.near_documents(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op6_mixture_packing(spark, sf_dir):
     return mixture.pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
 
@@ -56,5 +60,5 @@ best AS (SELECT page_id, arg_max(rule, n) AS rule, arg_max(verdict, n) AS verdic
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_huffman, op6_mixture_packing, op7_token_counts, op8_backtracking_bpe, op9_pivot_index, op10_url_trie)}
+QUERIES = {f.__name__: f for f in (op1_huffman, op2_ngram_jaccard, op6_mixture_packing, op7_token_counts, op8_backtracking_bpe, op9_pivot_index, op10_url_trie)}
 ORACLE_SQL = {"op10_url_trie": OP10_SQL}
