@@ -271,3 +271,13 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
         parts = components(links.union(ids))
     found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents, with all their columns, but of each component only the one with the smallest doc_id. Rows without an id stay."""
+    found = written(near_documents(docs, n, num, den), "near")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(F.broadcast(gone) if small_enough(gone) else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman, jaccard, mixture, piececount, pivots, urls
+from . import bpe, chunks, huffman, jaccard, mixture, piececount, pivots, quality, toxicity, urls
 from .tokens import tokenizer_file
 
 WORD_BPE, WORD_BPE_IDS = "word_bpe_49k.json", 49_408
@@ -24,6 +24,18 @@ def op2_ngram_jaccard(spark, sf_dir):
     return jaccard.near_documents(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op3_quality_rules(spark, sf_dir):
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_chunk_dedup(spark, sf_dir):
+    return chunks.duplicate_spans(table(spark, sf_dir, "documents")).drop("twin")
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixture_packing(spark, sf_dir):
     return mixture.pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
 
@@ -60,5 +72,5 @@ best AS (SELECT page_id, arg_max(rule, n) AS rule, arg_max(verdict, n) AS verdic
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_huffman, op2_ngram_jaccard, op6_mixture_packing, op7_token_counts, op8_backtracking_bpe, op9_pivot_index, op10_url_trie)}
+QUERIES = {f.__name__: f for f in (op1_huffman, op2_ngram_jaccard, op3_quality_rules, op4_chunk_dedup, op5_toxicity, op6_mixture_packing, op7_token_counts, op8_backtracking_bpe, op9_pivot_index, op10_url_trie)}
 ORACLE_SQL = {"op10_url_trie": OP10_SQL}
