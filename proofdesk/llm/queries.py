@@ -1,9 +1,10 @@
-"""The registered queries of the operators, and the SQL of those that SQL can express."""
+"""The registered queries of the operators."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chunks, huffman, jaccard, mixture, piececount, pivots, quality, toxicity, urls
+from .oracle import ORACLE_SQL  # noqa: F401
 from .tokens import tokenizer_file
 
 WORD_BPE, WORD_BPE_IDS = "word_bpe_49k.json", 49_408
@@ -56,21 +57,4 @@ def op10_url_trie(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-OP10_SQL = """
-WITH behind AS (
-  SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END, '') AS b FROM pages),
-parts AS (
-  SELECT page_id, translate(regexp_extract(b, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(b, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM behind),
-rules(verdict, rhost, rpath) AS (
-  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'),
-         ('block', 'com', '/de/')),
-fits AS (
-  SELECT page_id, rhost || rpath AS rule, verdict, length(rhost || rpath) AS n
-  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
-best AS (SELECT page_id, arg_max(rule, n) AS rule, arg_max(verdict, n) AS verdict FROM fits GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
-"""
-
 QUERIES = {f.__name__: f for f in (op1_huffman, op2_ngram_jaccard, op3_quality_rules, op4_chunk_dedup, op5_toxicity, op6_mixture_packing, op7_token_counts, op8_backtracking_bpe, op9_pivot_index, op10_url_trie)}
-ORACLE_SQL = {"op10_url_trie": OP10_SQL}
