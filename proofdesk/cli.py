@@ -1,4 +1,7 @@
-"""Command line: fetch, prepare, run, intervene, regrade, report CONFIG, and verify SNAPSHOT [EXCLUDED_URL ..]."""
+"""Command line: fetch, prepare, run, intervene, regrade, report CONFIG, and verify SNAPSHOT [EXCLUDED_URL ..].
+
+`verify` writes its whole report beside the snapshot (counts per url, missing entries, fingerprints) and prints where, with row counts.
+"""
 from __future__ import annotations
 
 import json
@@ -8,7 +11,7 @@ from .operators.extract import check_entries, check_summary, exclude_urls, extra
 from .plans import workflow as W
 from .session import build_session
 from .sources import pages
-from .sources.tables import Config, command_runner
+from .sources.tables import Config, ModelCommand, write_rows
 
 
 def as_report(summary, paired) -> dict:
@@ -37,18 +40,21 @@ def main(argv: list[str]) -> None:
     command, path = argv[1], argv[2]
     spark = build_session()
     if command == "verify":
-        for part in verify(spark, path, argv[3:], path.rstrip("/") + ".checked"):
-            part.show(1000, truncate=False)
+        out = path.rstrip("/") + ".checked"
+        parts = dict(zip(("counts", "missing", "fingerprints"), verify(spark, path, argv[3:], f"{out}/entries")))
+        print(json.dumps({name: {"rows": part.count(), "path": write_rows(part, f"{out}/{name}")} for name, part in parts.items()}, indent=1))
         return
     cfg = Config(path)
-    runner = command_runner(cfg["model_command"]) if "model_command" in cfg else None
+    runner = ModelCommand(cfg["model_command"]) if "model_command" in cfg else None
     if command == "fetch":
         print(pages.fetch_pages(spark, cfg["site"], cfg.path("pages")))
     elif command in ("prepare", "run", "intervene", "regrade"):
         if runner is None:
             raise SystemExit("the config needs model_command, the argument list of the model program")
         rows = getattr(W, command)(spark, cfg, runner)
-        rows.groupBy(*(["answerable"] if command == "prepare" else ["experiment", "reader", "outcome"])).count().show(1000, False)
+        counts = rows.groupBy(*(["answerable"] if command == "prepare" else ["experiment", "reader", "outcome"])).count()
+        for row in counts.toLocalIterator():  # every group, however many
+            print(json.dumps(row.asDict()))
     elif command == "report":
         print(json.dumps(as_report(*W.report(spark, cfg, argv[3] if len(argv) > 3 else "graded")), indent=1))
     else:

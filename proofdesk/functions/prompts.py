@@ -12,51 +12,28 @@ from pyspark.sql import functions as F
 # The tags and label that frame source notes, evidence and email.
 ANSWER_FRAME = "<source_notes>\n{notes}\n</source_notes>\n\n<reference>\n{context}\n</reference>\n\nCustomer email:\n{question}"
 
+#: Minimal prompts: what goes in and what has to come out. A config gives its own wording under `prompts`.
 DEFAULTS = {
-    "answer_system": (
-        "You write short email replies to customers of {business}.\n"
-        "Rely on the supplied reference only; plain text, concrete, no more than 150 words.\n"
-        "Where the right advice hinges on a detail the email leaves out, ask for it or state what it hinges on.\n"
-        "Where the reference leaves the matter open, say that {escalate_to} will be consulted instead of guessing."),
+    "answer_system": "Task: customer email of {business} -> reply. Source of facts: reference. Undecided there: {escalate_to}.",
     "answer": ANSWER_FRAME,
-    "rerank_system": "Order passages by their value for replying to a customer. Output JSON only.",
-    "rerank": (
-        "Email from the customer:\n{query}\n\nNumbered passages:\n{docs}\n\n"
-        'Output {"ranking": [numbers of helpful passages, best first, 15 at most]} and omit the unhelpful ones.'),
-    "reword_system": "You rewrite help entries as emails customers might send. Output JSON only, in English.",
-    "reword": (
-        "Write one email per entry below: first person, everyday words, one to three sentences, as sent by somebody "
-        "who has the problem and has not seen the answer. Keep facts, figures and fixes found only in the answer out "
-        "of it. Output one JSON object that maps every id to its email.\n\n{items}"),
+    "rerank_system": "Task: query, passages -> JSON.",
+    "rerank": 'query: {query}\n\npassages:\n{docs}\n\nreturns: {"ranking": [passage numbers, best first]}',
+    "reword_system": "Task: help entries -> JSON.",
+    "reword": "{items}\n\nreturns: {id: an email whose answer the entry is}",
     "reword_item": "id: {id}\ntitle: {title}\nanswer: {answer}",
-    "label_system": "You decide whether a text holds the facts an answer needs. Output JSON only.",
+    "label_system": "Task: reference, email, answer -> JSON.",
     "label": (
-        "<reference>\n{context}\n</reference>\n\nCustomer email:\n{question}\n\n"
-        "The original answer, for comparison; it is not part of the reference:\n{expert}\n\n"
-        "Could this customer be given the main action of that answer from the reference alone?\n"
-        'Output {"answerable": true or false, "quotes": [at most 3 sentences copied word for word from the reference]}.'),
-    "grader_system": (
-        "You compare a draft reply with an expectation fixed beforehand from published pages. Be literal, ignore "
-        "tone. Output a single JSON object."),
+        "<reference>\n{context}\n</reference>\n\nemail: {question}\n\nanswer: {expert}\n\n"
+        'returns: {"answerable": whether the reference holds the answer, "quotes": [sentences of the reference that show it]}'),
+    "grader_system": "Task: email, expectation, sources, draft -> JSON.",
     "grader": (
-        "Customer email:\n{question}\n\n"
-        "What a good reply does, fixed before any draft existed:\nDoes: {does}\nMust not: {must_not}\n"
-        "Conditions it keeps: {conditions}\nAsking back or passing on counts as success: {clarify_ok}\n\n"
-        "Passages behind the expectation:\n{sources}\n{site_block}\nDraft reply:\n{candidate}\n\n"
-        "Choose one outcome; when more than one fits, the earliest in this list:\n"
-        "- unsupported: promises or claims something the pages lack or contradict, or does what it must not. {site_rule}\n"
-        "- lost condition: sound in some situation, but leaves out a listed condition this customer needs.\n"
-        "- correct: takes the expected action with its conditions.\n"
-        "- clarified: asks, answers conditionally or promises to check where the email or the pages leave it open.\n"
-        "- needless escalation: asks or passes on although the pages decide it.\n"
-        "- incomplete: nothing false, but the main action is absent.\n\n"
-        'Output JSON: "outcome" (one of the six), "evidence" (deciding words of the draft, 20 words at most), '
-        '"keeps" and "loses" (2 phrases at most each, of 6 words at most).'),
-    "site_block": (
-        "\nNotes by the tester about the sources:\n{notes}\n\n"
-        "All other published pages; what they state is supported too:\n<site>\n{site}\n</site>\n"),
-    "site_rule": (
-        "Facts anywhere in <site> are supported, unless listed under Must not or marked in the notes as outdated."),
+        "email: {question}\n\nexpected: {does}\nforbidden: {must_not}\nconditions: {conditions}\nquestion or referral expected: {clarify_ok}\n\n"
+        "sources:\n{sources}\n{site_block}\ndraft: {candidate}\n\n"
+        'returns: {"outcome": .., "evidence": words of the draft, "keeps": [conditions met], "loses": [conditions missed]}\n'
+        "outcomes, the first that holds: unsupported (states what sources do not, or the forbidden), lost condition, correct, clarified, "
+        "needless escalation (sources decide it), incomplete. {site_rule}"),
+    "site_block": "\nnotes: {notes}\n\n<site>\n{site}\n</site>\n",
+    "site_rule": "<site> counts as a source, except what is forbidden or what notes call outdated.",
 }
 
 # What empty expectation fields read as.

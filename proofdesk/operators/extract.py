@@ -5,7 +5,7 @@ import html
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -17,13 +17,15 @@ SECTION = r'(?s)<div class="schema-faq-section" id="[^"]+">.*?</div>'
 SECTION_ID = r'^<div class="schema-faq-section" id="([^"]+)">'
 QUESTION_AND_REST = r'(?s)^.*?<strong class="schema-faq-question">(.*?)</strong>(.*)</div>$'
 
-# entry_ord = page_ord * 2^14 + section position; unit_ord = entry_ord * 2^16 + window position.
-SECTION_BITS, WINDOW_BITS = 14, 16
+# entry_ord = page_ord * 2^16 + section position; unit_ord = entry_ord * 2^18 + window position: 536 million pages of 65,536
+# sections of 262,144 windows. What does not fit is refused, never wrapped.
+SECTION_BITS, WINDOW_BITS = 16, 18
 
 
 def pack_ordinal(outer: Column, inner: Column, bits: int) -> Column:
-    """One sortable bigint from two ordinals; refuses inner positions that would spill over."""
-    return (F.when(inner < (1 << bits), F.shiftleft(outer.cast("bigint"), bits) + inner.cast("bigint"))
+    """One sortable bigint from two ordinals; refuses inner positions that would spill over and outer ones that would wrap."""
+    fits = (inner < (1 << bits)) & F.coalesce(outer, F.lit(0)).between(0, (1 << (63 - bits)) - 1)
+    return (F.when(fits, F.shiftleft(outer.cast("bigint"), bits) + inner.cast("bigint"))
             .otherwise(F.raise_error(F.lit(f"ordinal exceeds {bits} bits")).cast("bigint")))
 
 
@@ -64,14 +66,16 @@ def extract_entries(pages: DataFrame) -> DataFrame:
         tidy(F.col("q")).alias("question"), tidy(F.col("a")).alias("answer")).alias("e"))
     kept = zipped.select(*keep, F.filter("e", lambda x: (x["question"] != "") & (x["answer"] != "")).alias("e"))
     names = kept.select(*keep, "e", F.transform("e", lambda x: x["block"]).alias("b"))
-    rows = names.select(*keep, F.posexplode_outer("e").alias("i", "x"), "b",
-                        (F.size(F.array_distinct("b")) < F.size("b")).alias("repeats")).where(F.col("i").isNotNull())
-    block = F.col("x.block")
-    nth = F.when(F.col("repeats"), F.size(F.filter(F.slice("b", 1, F.col("i") + 1), lambda y: y == block))).otherwise(1)
-    return rows.select(
-        pack_ordinal(F.col("page_ord"), F.col("x.pos"), SECTION_BITS).alias("entry_ord"),
-        F.concat("page", F.lit(":"), block, F.when(nth > 1, F.concat(F.lit("#"), nth.cast("string"))).otherwise("")).alias("id"),
-        "url", "modified", block.alias("block"), F.col("x.question").alias("question"), F.col("x.answer").alias("answer"))
+    # the page's block list stays out of the exploded rows
+    rows = names.select(*keep, (F.size(F.array_distinct("b")) < F.size("b")).alias("repeats"), F.posexplode_outer("e").alias("i", "x")).where(F.col("i").isNotNull())
+    rows = rows.select(pack_ordinal(F.col("page_ord"), F.col("x.pos"), SECTION_BITS).alias("entry_ord"), "page_ord", "page", "url", "modified", "repeats", "i",
+                       F.col("x.block").alias("block"), F.col("x.question").alias("question"), F.col("x.answer").alias("answer"))
+    # only pages that repeat a block number its occurrences
+    again = Window.partitionBy("page_ord", "block").orderBy("i")
+    counted = rows.where(~F.col("repeats")).withColumn("nth", F.lit(1)).unionByName(
+        rows.where("repeats").withColumn("nth", F.row_number().over(again)))
+    suffix = F.when(F.col("nth") > 1, F.concat(F.lit("#"), F.col("nth").cast("string"))).otherwise("")
+    return counted.select("entry_ord", F.concat("page", F.lit(":"), "block", suffix).alias("id"), "url", "modified", "block", "question", "answer")
 
 
 def exclude_urls(entries: DataFrame, urls: Iterable[str]) -> DataFrame:

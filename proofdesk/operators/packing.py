@@ -14,6 +14,7 @@ from ..functions import text as T
 from .extract import WINDOW_BITS, pack_ordinal
 
 # Default budget and the mark printed between non-adjacent sentences.
+MAX_CONTEXT_BYTES = 64 << 20
 BUDGET_WORDS = 1000
 GAP = "[...]"
 
@@ -168,7 +169,7 @@ def ordered_entries(visible: DataFrame, *corpus: str) -> DataFrame:
     return visible.join(first, [*corpus, "url"])
 
 
-def full_context(visible: DataFrame, *corpus: str, max_bytes: int = 64 << 20) -> DataFrame:
+def full_context(visible: DataFrame, *corpus: str, max_bytes: int = MAX_CONTEXT_BYTES) -> DataFrame:
     """(corpus.., context): every visible entry of a corpus as one text, oldest page first.
 
     One text goes into one prompt, so each corpus is measured first; one over `max_bytes` is refused rather

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..session import cut_lineage
@@ -43,7 +44,9 @@ def _query_blocks(queries: DataFrame, payload: str) -> Iterator[tuple[list, int]
     n, total = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_QUERIES), -(-total // BLOCK_BYTES))
     if blocks == 1:
-        yield queries.collect(), 1
+        rows = queries.collect()
+        if rows:
+            yield rows, 1
         return
     block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
     for i in range(2 * blocks):
@@ -150,7 +153,7 @@ def bm25_topk(units: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, k1:
     with_hidden = "hidden" in units.columns
     qs = queries.select("query_id", "text", T.words(F.col("text")).alias("t"), _optional(queries, "corpus_id", "string"))
     schema = _result_schema(queries)
-    id_type = pa.int64() if isinstance(schema["query_id"].dataType, ty.LongType) else None
+    id_type = to_arrow_type(schema["query_id"].dataType)
     parts, blocks = [], 1
     for rows, blocks in _query_blocks(qs, "text"):
         vocab = sorted({t for r in rows for t in r["t"]})
@@ -228,7 +231,7 @@ def dense_topk(units: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, rou
     us = units.select("unit_ord", "embedding", *(["hidden"] if "hidden" in units.columns else []))
     qs = queries.select("query_id", "embedding", _optional(queries, "corpus_id", "string"))
     schema = _result_schema(queries)
-    id_type = pa.int64() if isinstance(schema["query_id"].dataType, ty.LongType) else None
+    id_type = to_arrow_type(schema["query_id"].dataType)
     parts, blocks = [], 1
     for rows, blocks in _query_blocks(qs, "embedding"):
         parts.append(us.mapInArrow(_dense_kernel(rows, k, round_to, id_type), schema))

@@ -4,14 +4,17 @@ A query has at most `CANDIDATES` rows here, so its candidates fit one array and
 """
 from __future__ import annotations
 
-import json
+import functools
+import importlib
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..functions import text as T
+
 # Fixed value: the score of a candidate that a reranker leaves out.
 LEFT_OUT = -1000.0
 
@@ -61,38 +64,27 @@ def listwise_requests(candidates: DataFrame, model: str, system: str, template:
         F.lit(before), "question", F.lit(between), numbered(F.col("cands.text")), F.lit(after)).alias("prompt"))
 
 
-def ranking_scores(reply: str | None, n: int) -> list[float]:
-    """Scores from a {"ranking": [numbers]} reply: best 0, then -1, -2, ..; LEFT_OUT for numbers not listed."""
-    scores = [LEFT_OUT] * n
-    text = reply or ""
-    start, end = text.find("{"), text.rfind("}")
-    listed = json.loads(text[start:end + 1]).get("ranking", []) if 0 <= start < end else []
-    for place, number in enumerate(listed):
-        if isinstance(number, int) and 0 < number <= n and scores[number - 1] == LEFT_OUT:
-            scores[number - 1] = float(-place)
-    return scores
+def ranking_scores(reply: Column, n: Column) -> Column:
+    """Scores of candidates 1..n by the {"ranking": [..]} of a reply: 0 for the place first in the list, one less for each
+    place after it, LEFT_OUT for a candidate that no whole number in the list names. Malformed JSON fails the job."""
+    items = F.try_variant_get(F.parse_json(T.json_span(reply)), "$.ranking", "array<variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    numbers = F.transform(items, lambda v: F.when(kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+                          .when(kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint")))  # JSON true is the number 1
+    place = lambda i: F.coalesce(F.array_position(numbers, i.cast("bigint")), F.lit(0))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.when(place(i) > 0, (1 - place(i)).cast("double")).otherwise(F.lit(LEFT_OUT))))
 
 
 def rerank_listwise(candidates: DataFrame, replies: DataFrame, honor_exclusions: bool = True) -> DataFrame:
     """Apply replies(query_id, result) of `listwise_requests` to the candidates."""
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def score(reply: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([ranking_scores(r, int(m)) for r, m in zip(reply, n)])
-
     listed = _listed(candidates).join(replies.select("query_id", "result"), "query_id", "left")
-    return _reordered(listed.withColumn("scores", score("result", F.size("cands"))).drop("result"), honor_exclusions)
+    return _reordered(listed.withColumn("scores", ranking_scores(F.col("result"), F.size("cands"))).drop("result"), honor_exclusions)
 
 
 def cross_encoder_scorer(model_name: str) -> Scorer:
-    """Local cross-encoder, loaded once per Python worker; needs the optional fastembed package on the workers."""
-    loaded: dict = {}
-
-    def scorer(query, docs):
-        if model_name not in loaded:
-            try:
-                from fastembed.rerank.cross_encoder import TextCrossEncoder
-            except ImportError as e:
-                raise RuntimeError("a cross-encoder reranker needs the fastembed package") from e
-            loaded[model_name] = TextCrossEncoder(model_name)
-        return list(loaded[model_name].rerank(query, list(docs)))
-    return scorer
+    """A local model of the optional fastembed package; each Python worker loads it when it first scores."""
+    @functools.cache
+    def model():
+        return importlib.import_module("fastembed.rerank.cross_encoder").TextCrossEncoder(model_name)
+
+    return lambda question, passages: list(model().rerank(question, list(passages)))

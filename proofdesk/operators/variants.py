@@ -38,7 +38,7 @@ def jaccard_pairs(held: DataFrame, other: DataFrame, minimum: float = JACCARD_MI
         # never null: a nullable size in the join condition would push a second tokenising filter into the scan
         return listed.select(key, F.coalesce(F.size("t"), F.lit(0)).alias(size), F.explode_outer("t").alias("token"))
 
-    h = broadcast_if_bounded(sets(held, "held_ord", "hs"), "token")
+    h = broadcast_if_bounded(sets(held, "held_ord", "hs"))
     o = sets(other, "entry_ord", "os")
     fits = (F.col("os") >= minimum * F.col("hs") - 1e-6) & (F.col("hs") >= minimum * F.col("os") - 1e-6)
     shared = (o.join(h, "token").where(fits)
@@ -53,7 +53,7 @@ def containment_pairs(held: DataFrame, other: DataFrame, n: int = T.SHINGLE_WORD
         s = T.shingle_sets(df, "text", key, n=n)
         return s.select(key, F.size("shingles").alias(size), F.explode_outer("shingles").alias("g"))
 
-    h = broadcast_if_bounded(grams(held, "held_ord", "hs"), "g")
+    h = broadcast_if_bounded(grams(held, "held_ord", "hs"))
     shared = (grams(other, "entry_ord", "os").join(h, "g")
               .groupBy("held_ord", "entry_ord", "hs", "os").agg(F.count("*").alias("c")))
     return shared.select("held_ord", "entry_ord", (F.col("c") / F.col("hs")).alias("held_in_other"),
@@ -103,7 +103,7 @@ def question_pairs(held: DataFrame, other: DataFrame, minimum: float = QUESTION_
     """held(held_ord, question) x other(entry_ord, question): difflib ratio of lower-cased questions >= minimum."""
     h = held.select("held_ord", F.lower("question").alias("q"))
     o = other.select("entry_ord", F.lower("question").alias("q"))
-    if fits_broadcast(h, "q", max_rows=HELD_TITLE_LIMIT):
+    if fits_broadcast(h, max_rows=HELD_TITLE_LIMIT):
         kept = [(r["held_ord"], r["q"]) for r in h.collect()]
         return o.mapInPandas(_against_held(kept, minimum), _PAIR)
     # Beyond the bound: equal-length join. A held question lists every length the threshold admits.

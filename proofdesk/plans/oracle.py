@@ -4,6 +4,7 @@ from __future__ import annotations
 import re
 
 from ..functions import prompts as P
+from ..operators import extract
 from .queries import BUDGET, ENGLISH_PAGES, EXCLUDED_PAGES, MIN_SHARED
 
 TOKS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
@@ -205,7 +206,7 @@ def oracle_sql() -> dict[str, str]:
         "passage_units": rf"""WITH e AS ({ENTRIES}), l AS (SELECT doc_id, {HEAD} AS head, {SENTS.format(c='answer')} AS s FROM e),
           st AS (SELECT *, CASE WHEN len(s) = 0 THEN [] WHEN len(s) <= 3 THEN [0] ELSE range(0, len(s) - 1, 2) END AS a FROM l),
           x AS (SELECT doc_id, head, s, unnest(a) AS i, generate_subscripts(a, 1) - 1 AS k FROM st)
-          SELECT (doc_id * 65536 + k)::BIGINT AS unit_ord, doc_id, k::BIGINT AS k, head || ' ' || array_to_string(s[i + 1:i + 3], ' ') AS text FROM x""",
+          SELECT (doc_id * {1 << extract.WINDOW_BITS} + k)::BIGINT AS unit_ord, doc_id, k::BIGINT AS k, head || ' ' || array_to_string(s[i + 1:i + 3], ' ') AS text FROM x""",
         "context_full": f"""WITH e AS ({ENTRIES}), f AS (SELECT url, arg_min(modified, doc_id) AS page_modified FROM e GROUP BY url)
           SELECT page_modified, url, doc_id, {HEAD} AS header FROM e JOIN f USING (url) ORDER BY page_modified, url, doc_id""",
         "pool_filter": f"SELECT doc_id, id FROM ({ENTRIES}) WHERE url IN ({_in(ENGLISH_PAGES)}) AND len({WORDS.format(c='answer')}) >= 25",

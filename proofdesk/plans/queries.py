@@ -396,8 +396,7 @@ def missing_calls(spark, sf):
 
 def texts_to_embed(spark, sf):
     known = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id", "left_semi").select(S.text_key(F.col("text")).alias("text_key"))
-    keyed = _t(spark, sf, "documents").select(S.text_key(F.col("text")).alias("text_key"))
-    return keyed.dropDuplicates(["text_key"]).join(known, "text_key", "left_anti")
+    return S.missing_texts(_t(spark, sf, "documents").select("text"), known).select("text_key")
 
 
 def answer_prompts(spark, sf):

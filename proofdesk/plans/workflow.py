@@ -23,6 +23,7 @@ DEFAULT_BUSINESS = "a small business"
 DEFAULT_RERANKER = "BAAI/bge-reranker-base"
 DEFAULT_EMBEDDER = "BAAI/bge-small-en-v1.5"
 LISTWISE_PREFIX = "llm:"
+READERS = ("A", "B", "C", "O")
 QUOTE_MIN_CHARS = 20
 QUESTION_SOURCE = "reworded by us from the entry title"
 TRANSFER_DOES = "gives the main action of the source answer below to this customer"
@@ -44,6 +45,11 @@ def _calls(cfg) -> str:
     return cfg.path("out", "calls")
 
 
+def _limit(cfg) -> int:
+    """Bytes that one prompt may hold of a corpus: `max_context_bytes` of the config."""
+    return cfg.get("max_context_bytes", packing.MAX_CONTEXT_BYTES)
+
+
 def _table(cfg, name: str) -> str:
     return cfg.path("out", "tables", name)
 
@@ -92,7 +98,7 @@ def prepare(spark: SparkSession, cfg, runner: S.Runner) -> DataFrame:
 
     removed = S.land(variants.variants(entries, held.drop("sample_ord")), _table(cfg, "held_removed"))
     ords = [r["entry_ord"] for r in held.select("entry_ord").collect()]
-    context = S.land(packing.full_context(_visible(entries, ords, removed), "held_ord"), _table(cfg, "held_context"))
+    context = S.land(packing.full_context(_visible(entries, ords, removed), "held_ord", max_bytes=_limit(cfg)), _table(cfg, "held_context"))
     asked = asked.withColumn("held_ord", F.col("entry_ord")).join(context, "held_ord", "left").fillna("", ["context"])
     names = removed.join(entries.select("entry_ord", "id"), "entry_ord").groupBy("held_ord").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("entry_ord", "id"))), lambda x: x["id"]).alias("removed_variants"))
@@ -109,7 +115,7 @@ def prepare(spark: SparkSession, cfg, runner: S.Runner) -> DataFrame:
         F.lit(QUESTION_SOURCE).alias("question_source"), F.col("answer").alias("expert"), "url", "modified",
         "removed_variants", claimed.alias("answerable_claimed"), quotes_found(F.col("l.quotes"), F.col("hay")).alias("support"))
     rows = rows.withColumn("answerable", F.col("answerable_claimed") & (F.size("support") > 0))
-    S.write_rows(rows.coalesce(1).sortWithinPartitions("sample_ord"), cfg.path("out", "transfer_questions"))
+    S.write_rows(rows, cfg.path("out", "transfer_questions"))
     return S.load_transfer(spark, cfg.path("out", "transfer_questions"))
 
 
@@ -127,14 +133,16 @@ def retrieve(units: DataFrame, questions: DataFrame, vectors: DataFrame, rerank,
     rerank(candidates, honor_exclusions) orders the fused candidates.
     """
     def with_vectors(df, *cols):
-        return df.withColumn("text_key", S.text_key(F.col("text"))).join(vectors, "text_key").select(*cols, "embedding")
+        found = df.withColumn("text_key", S.text_key(F.col("text"))).join(vectors, "text_key", "left")
+        unknown = F.raise_error(F.concat(F.lit("no vector of the text: "), F.left("text", F.lit(200)))).cast("array<float>")
+        return found.select(*cols, F.coalesce("embedding", unknown).alias("embedding"))
 
     lexical = ranking.bm25_topk(units, questions)
     dense = ranking.dense_topk(with_vectors(units, "unit_ord", "hidden"), with_vectors(questions, "query_id", "corpus_id"))
     fused = ranking.rrf([lexical, dense]).select("query_id", "unit_ord", "rank")
     bound = questions.count() * ranking.CANDIDATES
     named = packing.attach(fused, units.select("unit_ord", "text"), bound)
-    asked = named.join(broadcast_if_bounded(questions.select("query_id", F.col("text").alias("question")), "question"), "query_id")
+    asked = named.join(broadcast_if_bounded(questions.select("query_id", F.col("text").alias("question"))), "query_id")
     return rerank(asked, honor_exclusions)
 
 
@@ -152,9 +160,9 @@ def _reranker(cfg, texts, scorer, runner):
 def _items(spark, cfg, only) -> tuple[str, DataFrame]:
     notes, cases = S.load_cases(spark, cfg.path("cases"))
     transfer = S.load_transfer(spark, cfg.path("out", "transfer_questions"))
+    first = cases.count()  # transfer questions come after the written cases
     if only is not None:
         cases, transfer = lookup.only_ids(cases, only, "id"), lookup.only_ids(transfer, only, "id")
-    first = 1 << 20  # transfer questions come after the written cases
     written = cases.select(F.col("case_ord").cast("bigint").alias("item_ord"), "experiment", F.col("id").alias("case"), "question",
                            F.lit(None).cast("string").alias("held_id"), F.col("expect").cast(EXPECT).alias("expect"), "sources")
     held = transfer.select((F.col("sample_ord") + first).cast("bigint").alias("item_ord"), F.lit("transfer").alias("experiment"),
@@ -166,7 +174,7 @@ def _items(spark, cfg, only) -> tuple[str, DataFrame]:
 
 
 def build_jobs(spark: SparkSession, cfg, make_embedder=None, scorer=None, runner=None, only=None, notes_append: str = "",
-               readers=("A", "B", "C", "O")) -> DataFrame:
+               readers=READERS, name: str = "jobs") -> DataFrame:
     """One row per item and reader: the evidence it got, the prompt, and what grading needs.
 
     A reads every visible entry, B packed sentence windows, C packed whole entries, O the named sources. Leave A
@@ -207,14 +215,14 @@ def build_jobs(spark: SparkSession, cfg, make_embedder=None, scorer=None, runner
             contexts.append(questions.select("query_id").join(packed.select("query_id", "context"), "query_id", "left")
                             .select(F.col("query_id").alias("item_ord"), F.lit(r).alias("reader"), F.coalesce("context", F.lit("")).alias("context")))
     if "A" in readers:
-        contexts.append(_full_contexts(entries, items, held, removed))
+        contexts.append(_full_contexts(entries, items, held, removed, _limit(cfg)))
     named = _source_texts(entries, items)
     if "O" in readers:
         contexts.append(named.where(F.col("held_id").isNull()).select("item_ord", F.lit("O").alias("reader"), F.col("strict").alias("context")))
 
     got = reduce(DataFrame.unionByName, contexts).join(items, "item_ord").join(named.select("item_ord", "lenient"), "item_ord")
     system = texts["answer_system"].replace("{business}", cfg.get("business", DEFAULT_BUSINESS)).replace("{escalate_to}", cfg["escalate_to"])
-    place = F.array_position(F.lit(["A", "B", "C", "O"]), F.col("reader"))
+    place = F.array_position(F.lit(list(READERS)), F.col("reader"))
     nothing = F.array().cast("array<struct<url:string,updated:string,entry:string>>")
     jobs = got.select(
         (F.col("item_ord") * 8 + place).alias("row_ord"), "experiment", "case", "reader", F.lit(system).alias("system_prompt"),
@@ -222,15 +230,15 @@ def build_jobs(spark: SparkSession, cfg, make_embedder=None, scorer=None, runner
         T.nwords(F.col("context")).alias("context_words"),
         F.when(F.col("reader") == "A", nothing).otherwise(T.header_fields(F.col("context"))).alias("received"),
         "question", "expect", F.col("lenient").alias("sources"))
-    return S.land(jobs, _table(cfg, "jobs"))
+    return S.land(jobs, _table(cfg, name))
 
 
-def _full_contexts(entries, items, held, removed) -> DataFrame:
+def _full_contexts(entries, items, held, removed, limit) -> DataFrame:
     """Reader A: one text for all items that see the whole corpus, one per held entry."""
-    site = packing.full_context(entries.withColumn("held_ord", F.lit(-1).cast("bigint")), "held_ord")
+    site = packing.full_context(entries.withColumn("held_ord", F.lit(-1).cast("bigint")), "held_ord", max_bytes=limit)
     ords = [r["entry_ord"] for r in held.select("entry_ord").collect()]
     if ords:
-        site = site.unionByName(packing.full_context(_visible(entries, ords, removed), "held_ord"))
+        site = site.unionByName(packing.full_context(_visible(entries, ords, removed), "held_ord", max_bytes=limit))
     keyed = items.join(held.select(F.col("id").alias("held_id"), F.col("entry_ord").alias("held_ord")), "held_id", "left")
     keyed = keyed.select("item_ord", F.coalesce("held_ord", F.lit(-1)).alias("held_ord"))
     return keyed.join(site, "held_ord", "left").select("item_ord", F.lit("A").alias("reader"), F.coalesce("context", F.lit("")).alias("context"))
@@ -253,11 +261,11 @@ def _source_texts(entries, items) -> DataFrame:
 
 # ---------- answer, grade, regrade, intervene ----------
 
-def _answered(cfg, jobs, runner) -> DataFrame:
+def _answered(cfg, jobs, runner, name: str = "answers") -> DataFrame:
     asks = jobs.select("*", F.lit(cfg["answer_model"]).alias("model"), F.col("system_prompt").alias("system"))
     got = S.cached_calls(asks, runner, _calls(cfg))
     return S.land(got.select("row_ord", "experiment", "case", "reader", "context_words", "received", "question", "expect", "sources",
-                             F.col("result").alias("answer"), "usage", F.col("key").alias("answer_call")), _table(cfg, "answers"))
+                             F.col("result").alias("answer"), "usage", F.col("key").alias("answer_call")), _table(cfg, name))
 
 
 def _graded(cfg, answered, runner, site=None, notes="") -> DataFrame:
@@ -275,12 +283,12 @@ def _graded(cfg, answered, runner, site=None, notes="") -> DataFrame:
                          grading.success(F.col("g.outcome"), F.col("expect.clarify_ok")).alias("success"))
 
 
-def _site(entries) -> DataFrame:
+def _site(cfg, entries) -> DataFrame:
     """The whole corpus as one row, measured before it is built."""
-    return packing.full_context(entries.withColumn("c", F.lit(0)), "c").select("c", F.col("context").alias("site"))
+    return packing.full_context(entries.withColumn("c", F.lit(0)), "c", max_bytes=_limit(cfg)).select("c", F.col("context").alias("site"))
 
 
-def run(spark: SparkSession, cfg, runner, make_embedder=None, scorer=None, readers=("A", "B", "C", "O")) -> DataFrame:
+def run(spark: SparkSession, cfg, runner, make_embedder=None, scorer=None, readers=READERS) -> DataFrame:
     jobs = build_jobs(spark, cfg, make_embedder, scorer, runner, readers=readers)
     S.write_rows(_graded(cfg, _answered(cfg, jobs, runner), runner), cfg.path("out", "graded"))
     return read_graded(spark, cfg)
@@ -290,9 +298,10 @@ def read_graded(spark: SparkSession, cfg, src: str = "graded", extra: str = "")
     return spark.read.schema(GRADED_SCHEMA + extra).json(cfg.path("out", src))
 
 
-def regrade(spark: SparkSession, cfg, runner, make_embedder=None, scorer=None, src="graded", dst="graded_site") -> DataFrame:
+def regrade(spark: SparkSession, cfg, runner, make_embedder=None, scorer=None, src="graded", dst="graded_site",
+            readers=READERS) -> DataFrame:
     """Grade the same replies again with the whole site in view; the first grading stays as it is."""
-    jobs = build_jobs(spark, cfg, make_embedder, scorer, runner).select("experiment", "case", "reader", "question", "expect", "sources")
+    jobs = build_jobs(spark, cfg, make_embedder, scorer, runner, readers=readers, name="regrade_jobs").select("experiment", "case", "reader", "question", "expect", "sources")
     key = ["experiment", "case", "reader"]
     rows = read_graded(spark, cfg, src).drop("grade_call", "outcome", "evidence", "keeps", "loses", "extras", "success")
     known = rows.join(jobs, key, "left_semi").count()
@@ -300,18 +309,19 @@ def regrade(spark: SparkSession, cfg, runner, make_embedder=None, scorer=None, s
         raise KeyError("graded rows without a matching job")
     notes, _ = S.load_cases(spark, cfg.path("cases"))
     entries = spark.read.parquet(_table(cfg, "entries"))
-    out = _graded(cfg, rows.join(jobs, key), runner, _site(entries), notes)
+    out = _graded(cfg, rows.join(jobs, key), runner, _site(cfg, entries), notes)
     S.write_rows(out.withColumn("graded_with", F.lit(GRADED_WITH_SITE)), cfg.path("out", dst))
     return read_graded(spark, cfg, dst, ", graded_with string")
 
 
-def intervene(spark: SparkSession, cfg, runner, make_embedder=None, scorer=None) -> DataFrame:
+def intervene(spark: SparkSession, cfg, runner, make_embedder=None, scorer=None, readers=READERS) -> DataFrame:
     """Rerun the listed cases with one line appended to the source notes; other results stay untouched."""
     iv = cfg["intervention"]
-    jobs = build_jobs(spark, cfg, make_embedder, scorer, runner, only=set(iv["cases"]), notes_append=iv["notes_append"])
+    jobs = build_jobs(spark, cfg, make_embedder, scorer, runner, only=set(iv["cases"]), notes_append=iv["notes_append"], readers=readers,
+                      name="intervention_jobs")
     notes = S.load_cases(spark, cfg.path("cases"))[0] + "\n" + iv["notes_append"]
     entries = spark.read.parquet(_table(cfg, "entries"))
-    out = _graded(cfg, _answered(cfg, jobs, runner).drop("usage"), runner, _site(entries), notes)
+    out = _graded(cfg, _answered(cfg, jobs, runner, "intervention_answers").drop("usage"), runner, _site(cfg, entries), notes)
     S.write_rows(out.withColumn("intervention", F.lit(iv["notes_append"])), cfg.path("out", "graded_intervention"))
     return read_graded(spark, cfg, "graded_intervention", ", intervention string")
 

@@ -49,18 +49,32 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def fits_broadcast(df: DataFrame, size_of=None, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
-    """Measure `df` (rows, and bytes of the `size_of` column) against the broadcast limits."""
+def row_bytes(df: DataFrame):
+    """Bytes of a row: 8 for a fixed-width column, the length of a string or binary one, the JSON text of a nested one."""
+    total = F.lit(16)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            size = F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind.startswith(("array", "map", "struct")):
+            size = F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            size = F.lit(8)
+        total = total + size
+    return total
+
+
+def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """Measure `df`, rows and bytes of all its columns, against the broadcast limits."""
     max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
-    size = F.lit(64) if size_of is None else F.octet_length(F.col(size_of).cast("string")) + 64
-    row = df.select(size.cast("bigint").alias("b")).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    row = df.select(row_bytes(df).cast("bigint").alias("b")).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
     return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
-def broadcast_if_bounded(df: DataFrame, size_of=None, **limits) -> DataFrame:
+def broadcast_if_bounded(df: DataFrame, **limits) -> DataFrame:
     """Broadcast hint when measured small; otherwise unhinted, so the join shuffles and AQE splits skew."""
-    return F.broadcast(df) if fits_broadcast(df, size_of, **limits) else df
+    return F.broadcast(df) if fits_broadcast(df, **limits) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -75,10 +89,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; a local folder is set only where none is configured."""
+    """Reliable checkpoint in the folder that the cluster shares; only a local master may go without naming one."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="proofdesk-ckpt-"))
     return df.checkpoint(eager=True)

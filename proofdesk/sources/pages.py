@@ -97,10 +97,21 @@ def fetch_pages(spark: SparkSession, site: str, out: str, source: type[DataSourc
 
 
 def load_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A landed folder (JSON lines with page_ord) or one file holding a JSON array, whose order becomes page_ord."""
+    """A landed folder (JSON lines with page_ord) or one file holding a JSON array, whose order becomes page_ord.
+
+    Rows without a page_ord are numbered densely: their place in their partition behind the sizes of the earlier partitions,
+    which are one row a partition.
+    """
     raw = spark.read.option("multiLine", not _is_folder(spark, path)).schema(PAGE_SCHEMA).json(path)
-    order = F.coalesce("page_ord", F.monotonically_increasing_id())
-    return spread(raw.select(order.alias("page_ord"), "id", "link", "modified", "content"))
+    at = F.monotonically_increasing_id()
+    placed = raw.withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND((1 << 33) - 1))
+    sizes = {r["_part"]: r["n"] for r in placed.where("page_ord is null").groupBy("_part").agg((F.max("_at") + 1).alias("n")).collect()}
+    first, total = {}, 0
+    for part in sorted(sizes):
+        first[part], total = total, total + sizes[part]
+    starts = F.create_map(*[F.lit(x).cast("bigint") for pair in first.items() for x in pair]) if first else F.lit(None).cast("map<bigint,bigint>")
+    order = F.coalesce("page_ord", F.element_at(starts, F.col("_part")) + F.col("_at"))
+    return spread(placed.select(order.alias("page_ord"), "id", "link", "modified", "content"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -4,6 +4,7 @@ import re
 import urllib.error
 
 import pytest
+from pyspark.sql import functions as F
 
 from proofdesk.cli import verify
 from proofdesk.operators import extract as X
@@ -24,19 +25,32 @@ def load(spark, tmp_path, pages):
 
 
 def test_sections_suffixes_and_dropped_blocks(spark, tmp_path):
-    body = (section("q", "One", "It&#8217;s <a href='x'>here</a><br>next") + section("q", "", "no question") + section("r", "R", "r &amp;lt;")
+    body = (section("q", "One", "No. 4&#189; <em class='k'>boxes</em><br />left") + section("q", "", "no question") + section("r", "R", "r &amp;lt;")
             + section("q", "Two", " <p> </p>") + '<div class="schema-faq-section" id="z">no question tag</div>' + section("q", "Three", "a<div>in</div>cut"))
     got = load(spark, tmp_path, [page(7, body), page(8, "<p>nothing</p>"), page(9, section("q", "Solo", "s"))])
     assert [(r["id"], r["question"], r["answer"]) for r in got] == [
-        ("7:q", "One", "It’s here\nnext"), ("7:r", "R", "r &lt;"), ("7:q#2", "Three", "ain"), ("9:q", "Solo", "s")]
+        ("7:q", "One", "No. 4½ boxes\nleft"), ("7:r", "R", "r &lt;"), ("7:q#2", "Three", "ain"), ("9:q", "Solo", "s")]
     assert [r["entry_ord"] >> X.SECTION_BITS for r in got] == [0, 0, 0, 2]
 
 
-def test_ordinals_refuse_to_spill(spark):
-    df = spark.range(1)
-    from pyspark.sql import functions as F
-    with pytest.raises(Exception, match="ordinal exceeds"):
-        df.select(X.pack_ordinal(F.col("id"), F.lit(1 << 14), 14)).collect()
+def test_ordinals_refuse_to_spill_or_wrap(spark):
+    for outer, inner in ((0, 1 << 14), (1 << 49, 0), (-1, 0)):
+        with pytest.raises(Exception, match="ordinal exceeds"):
+            spark.range(1).select(X.pack_ordinal(F.lit(outer), F.lit(inner), 14)).collect()
+    assert spark.range(1).select(X.pack_ordinal(F.lit((1 << 49) - 1), F.lit((1 << 14) - 1), 14)).first()[0] == (1 << 63) - 1
+
+
+def test_a_page_may_have_very_many_sections(spark, tmp_path):
+    got = load(spark, tmp_path, [page(1, "".join(section(f"s{i}", f"Q{i}", "a") for i in range(20_000))), page(2, section("z", "Last", "b"))])
+    assert len(got) == 20_001 and got[19_999]["question"] == "Q19999" and got[-1]["id"] == "2:z"
+
+
+def test_pages_without_an_ordinal_are_numbered_densely(spark, tmp_path):
+    folder = str(tmp_path / "pages")
+    rows = [json.dumps(page(i, section("b", f"Q{i}", "a"))) for i in range(10)]
+    spark.createDataFrame([(r,) for r in rows], "value string").repartition(3).write.text(folder)
+    pages = SP.load_pages(spark, folder)
+    assert sorted(r["page_ord"] for r in pages.select("page_ord").collect()) == list(range(10))
 
 
 def test_verify_reports_what_the_page_lacks(spark, tmp_path):

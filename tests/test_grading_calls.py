@@ -14,16 +14,26 @@ from proofdesk.functions import text as T
 from proofdesk.sources import tables as S
 
 
-def test_parse_and_success(spark):
-    reply = 'x {"outcome": "clarified", "evidence": null, "keeps": ["a", 2, "c"], "loses": "xyz", "why": {"k": 1}} y'
-    g = spark.createDataFrame([(reply,)], "r string").select(G.parse_grade("r").alias("g")).first()["g"]
-    assert g.asDict() == {"outcome": "clarified", "evidence": "None", "keeps": ["a", "2"], "loses": ["x", "y"], "extras": {"why": '{"k": 1}'}}
-    for bad in ("no json", '{"outcome": "great"}', "{}", "} {"):
+GRADES = [  # reply, outcome, evidence, keeps, loses, extras
+    ('{"outcome": "correct"}', "correct", "", [], [], {}),
+    ('Grade:\n{"outcome": "incomplete", "evidence": 7, "keeps": ["p", 1, "q"], "loses": "uvw"}\n--', "incomplete", "7", ["p", "1"], ["u", "v"], {}),
+    ('{"outcome": "unsupported", "evidence": "w", "keeps": [], "loses": [true], "n": [1, 2], "s": "t"}', "unsupported", "w", [], ["True"], {"n": "[1, 2]", "s": "t"}),
+]
+
+
+def test_replies_become_columns(spark):
+    df = spark.createDataFrame([(i, g[0]) for i, g in enumerate(GRADES)], "i int, r string")
+    rows = df.select("i", G.parse_grade("r").alias("g")).orderBy("i").collect()
+    assert [tuple(r["g"]) for r in rows] == [g[1:] for g in GRADES]
+    for reply in ("", "correct", '{"outcome": "fine"}', '{"evidence": "x"}'):
         with pytest.raises(ValueError):
-            G.read_grade(bad)
+            G.read_grade(reply)
+
+
+def test_success_table(spark):
     rows = [(o, c) for o in G.OUTCOMES for c in (True, False, None)]
-    got = spark.createDataFrame(rows, "o string, c boolean").select("o", "c", G.success(F.col("o"), F.col("c")).alias("s")).collect()
-    assert {(r["o"], r["c"]) for r in got if r["s"]} == {("correct", True), ("correct", False), ("correct", None), ("clarified", True)}
+    got = spark.createDataFrame(rows, "o string, c boolean").where(G.success(F.col("o"), F.col("c"))).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("clarified", True), ("correct", False), ("correct", None), ("correct", True)], key=str)
 
 
 def test_summary_and_pairs_count_the_last_row(spark):
@@ -47,15 +57,17 @@ def test_summary_and_pairs_count_the_last_row(spark):
     assert as_report(G.outcome_summary(df), G.paired(df)) == {"summary": summary, "paired": paired}
 
 
-def test_grader_prompt_is_blind_and_has_defaults(spark):
-    expect = "struct<does:string,must_not:string,conditions:string,clarify_ok:boolean>"
-    df = spark.createDataFrame([("mail", ("x {does}", "", None, True), "src", "draft")], f"q string, e {expect}, s string, d string")
-    p = df.select(P.grader_prompt(P.DEFAULTS, F.col("q"), F.col("e"), F.col("s"), F.col("d")).alias("p"),
-                  P.grader_prompt(P.DEFAULTS, F.col("q"), F.col("e"), F.col("s"), F.col("d"), F.lit("SITE"), F.lit("")).alias("w")).first()
-    for word in ("full corpus", "reader", "whole answer", "oracle", "window"):
-        assert word not in p["p"].lower()
-    assert "nothing listed" in p["p"] and "none listed" in p["p"] and "success: yes" in p["p"] and "x {does}" in p["p"]
-    assert "<site>" not in p["p"] and "<site>\nSITE\n</site>" in p["w"] and "{" not in p["p"].replace("x {does}", "")
+def test_grader_prompt_shows_what_it_is_given_and_nothing_else(spark):
+    kind = "struct<does:string,must_not:string,conditions:string,clarify_ok:boolean>"
+    given = {"q": "QUESTION", "s": "SOURCE", "d": "DRAFT {does}", "does": "DOES"}
+    df = spark.createDataFrame([(given["q"], (given["does"], "", None, True), given["s"], given["d"])], f"q string, e {kind}, s string, d string")
+    columns = [F.col(c) for c in "qesd"]
+    plain, sited = df.select(P.grader_prompt(P.DEFAULTS, *columns), P.grader_prompt(P.DEFAULTS, *columns, F.lit("SITE"), F.lit(""))).first()
+    fixed = P.DEFAULTS["grader"].replace("{must_not}", P.NO_RULE).replace("{conditions}", P.NO_CONDITIONS).replace("{clarify_ok}", "yes")
+    for slot, value in (("{does}", "DOES"), ("{sources}", "SOURCE"), ("{question}", "QUESTION"), ("{site_block}", ""), ("{site_rule}", ""), ("{candidate}", given["d"])):
+        fixed = fixed.replace(slot, value)
+    assert plain == fixed and "SITE" in sited and P.NO_NOTES in sited
+    assert len(sited) > len(plain) + len("SITE")
 
 
 def test_call_key_and_cache(spark, tmp_path):
@@ -86,15 +98,34 @@ def test_call_key_and_cache(spark, tmp_path):
     assert S.read_calls(spark, path).where(F.col("key") == "k" * 20).count() == 1
 
 
-def test_command_runner():
-    program = ("import json,sys; p=sys.stdin.read(); json.dump({'result': sys.argv[1]+'|'+sys.argv[2]+'|'+p, 'usage': {'n': 1}, "
-               "'modelUsage': {'m': {}}, 'total_cost_usd': 0.1, 'is_error': p == 'bad'}, sys.stdout)")
-    run = S.command_runner(["python3", "-c", program, "{model}", "{system}"])
-    assert run("m", "s", "p") == {"result": "m|s|p", "usage": {"n": 1}, "cost_usd_list": 0.1, "models_used": ["m"]}
-    with pytest.raises(RuntimeError):
-        run("m", "s", "bad")
-    with pytest.raises(RuntimeError):
-        S.command_runner(["python3", "-c", "raise SystemExit(3)"])("m", "s", "p")
+PROGRAM = """
+import json, sys
+model, system = sys.argv[1:]
+text = sys.stdin.read()
+if text == "stop":
+    sys.exit("stopped")
+print(json.dumps({"is_error": True} if text == "fail" else {} if text == "empty" else
+                 {"result": [model, system, text], "total_cost_usd": 2, "usage": {"a": 1}, "modelUsage": {"y": 0, "x": 0}}))
+"""
+
+
+def test_model_command():
+    ask = S.ModelCommand(["python3", "-c", PROGRAM, "<{model}>", "{system}{system}"])
+    assert ask("m", "{model}", "p") == {"result": ["<m>", "{model}{model}", "p"], "usage": {"a": 1}, "cost_usd_list": 2, "models_used": ["x", "y"]}
+    assert ask("m", "s", "empty") == {"result": "", "usage": {}, "cost_usd_list": None, "models_used": []}
+    for text in ("fail", "stop"):
+        with pytest.raises(RuntimeError, match="gave no reply"):
+            ask("m", "s", text)
+
+
+def test_listwise_replies(spark):
+    from proofdesk.operators.rerank import LEFT_OUT, ranking_scores
+    table = [('{"ranking": [2, 1]}', [-1.0, 0.0, LEFT_OUT]), ('so {"ranking": [9, 3, 3, "1", 2.0, true]} ok', [-5.0, LEFT_OUT, -1.0]),
+             ("none", [LEFT_OUT] * 3), (None, [LEFT_OUT] * 3), ('{"order": [1]}', [LEFT_OUT] * 3), ('{"ranking": 3}', [LEFT_OUT] * 3)]
+    df = spark.createDataFrame([(i, t[0]) for i, t in enumerate(table)], "i int, r string").withColumn("n", F.lit(3))
+    assert [r["s"] for r in df.select("i", ranking_scores(F.col("r"), F.col("n")).alias("s")).orderBy("i").collect()] == [t[1] for t in table]
+    with pytest.raises(Exception):
+        spark.range(1).select(ranking_scores(F.lit("{oops}"), F.lit(1))).collect()
 
 
 def test_vectors_are_embedded_once(spark, tmp_path):

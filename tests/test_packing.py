@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from proofdesk.functions import text as T
 from proofdesk.operators import packing as K
 from proofdesk.operators import rerank as RR
+from proofdesk.operators.extract import WINDOW_BITS
 
-WINDOW = 1 << 16
+WINDOW = 1 << WINDOW_BITS
 
 
 def sents(t):
@@ -119,12 +120,6 @@ def test_rerank_order_and_exclusions(spark):
 
 
 def test_listwise_replies(spark):
-    out = RR.LEFT_OUT
-    assert RR.ranking_scores('ok {"ranking": [3, 1, 3, 9, 0, "2", 2.0]} done', 3) == [-1.0, out, 0.0]
-    assert RR.ranking_scores('{"ranking": [true, 2]}', 2) == [0.0, -1.0], "JSON true counts as 1"
-    assert RR.ranking_scores("no json", 2) == [out, out] and RR.ranking_scores("{}", 1) == [out]
-    with pytest.raises(ValueError):
-        RR.ranking_scores("{not json}", 1)
     cands = spark.createDataFrame([(1, "mail?", i, 10 + i, f"t{i}") for i in range(3)], "query_id long, question string, rank int, unit_ord long, text string")
     ask = RR.listwise_requests(cands, "m", "s", "Q {query} D {docs} {\"ranking\": []}").first()
     assert ask["prompt"] == 'Q mail? D [1] t0\n\n[2] t1\n\n[3] t2 {"ranking": []}'
