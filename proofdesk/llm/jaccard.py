@@ -6,8 +6,9 @@ n-gram in the larger one's probing prefix and the smaller one's indexing prefix;
 have behind a shared n-gram) and the suffix filter (sizes of both sets by hash class bound their difference) prune before verification.
 
 1. Equal sets collapse to one representative, so copies cost nothing further.
-2. Representatives' prefixes meet by n-gram hash. One streaming pass over each list proposes only pairs with the list's smallest set; they
-   are verified and joined into provisional components. Lists of one are gone after this pass.
+2. Representatives' prefixes meet by n-gram hash. One streaming pass over each list proposes only pairs with the list's centre, the set whose
+   n-grams are the most common (among copies the least edited one); they are verified and joined into provisional components. Lists of one
+   are gone after this pass.
 3. Of the lists that still touch several components, all pairs across components are proposed and verified. A pair within a
    component could add no reachability, so nothing that decides a component is lost.
 Lists that the counts show as hot are dealt out by salt for step 2; step 3 sees them whole, as a join that adaptive execution can split.
@@ -28,7 +29,7 @@ from .components import components
 
 BUCKET_BITS = 20
 CHUNK_BITS = 12  # buckets that travel together
-CLASSES = 64
+CLASSES = 512
 HOT_MEANS, HOT_LEAST = 20, 10_000
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
@@ -98,33 +99,37 @@ def bucket_counts(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, n: int, counts: np.ndarray, num: int, den: int) -> DataFrame:
-    """doc_id, n (set size), a digest of the set, its probing prefix in global order, and its sizes by hash class."""
+    """doc_id, n (set size), a digest of the set, how common its n-grams are, its probing prefix in global order, and the classes of odd size."""
     sent = rows.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
 
     def run(batches):
         counts = sent.value
         for batch in slices(batches):
-            size, d1, d2, prefix, classes = [], [], [], [], []
+            size, d1, d2, common, prefix, odd = [], [], [], [], [], []
             for grams in shingle_sets(batch.column("text"), n):
                 size.append(len(grams))
                 d1.append(int(grams.sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(mix(grams)).view(np.int64)) if len(grams) else 0)
-                order = np.lexsort((grams, counts[(grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
+                found = counts[(grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                common.append(int(1e6 * np.log2(1.0 + found).mean()) if len(grams) else 0)
+                order = np.lexsort((grams, found))
                 prefix.append(grams[order[:probing(len(grams), num, den)]].view(np.int64) if len(grams) else np.zeros(0, np.int64))
-                classes.append(np.minimum(np.bincount((grams & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
+                odd.append(np.packbits(np.bincount((grams & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) & 1).view(np.int64))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]), pa.int32())
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(classes, pa.binary())], ["doc_id", "n", "d1", "d2", "prefix", "classes"])
+                 pa.array(common, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([list(x) for x in odd], pa.list_(pa.int64()))],
+                ["doc_id", "n", "d1", "d2", "common", "prefix", "odd"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>, classes binary")
+    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, common long, prefix array<long>, odd array<long>")
 
 
 def meetings(reps: DataFrame, counts: np.ndarray, num: int, den: int) -> DataFrame:
-    """One pass over the lists: (h, rep, n, pos) of lists with several sets, and `first`, the list's smallest set, where the two may link.
+    """One pass over the lists: (h, rep, n, pos) of lists with several sets, and `a`, `b`: the row's set and the list's centre, the smaller
+    one first, where the two may link.
 
-    Rows of a list arrive smallest set first, so the pass keeps two rows and no list.
+    Rows of a list arrive with the centre first, so the pass keeps two rows and no list.
     """
     hot = max(HOT_LEAST, int(HOT_MEANS * counts.mean()))
     salts = {int(b): int(-(-counts[b] // hot)) for b in np.flatnonzero(counts > hot)}
@@ -136,7 +141,7 @@ def meetings(reps: DataFrame, counts: np.ndarray, num: int, den: int) -> DataFra
             prefix = batch.column("prefix")
             lengths = np.diff(prefix.offsets.to_numpy()).astype(np.int64)
             h = prefix.flatten().to_numpy()
-            rep, n = (np.repeat(batch.column(c).to_numpy(), lengths) for c in ("rep", "n"))
+            rep, n, common = (np.repeat(batch.column(c).to_numpy(), lengths) for c in ("rep", "n", "common"))
             pos = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             salt = np.zeros(len(h), dtype=np.int32)
             if salts:
@@ -144,69 +149,48 @@ def meetings(reps: DataFrame, counts: np.ndarray, num: int, den: int) -> DataFra
                 for b in np.intersect1d(bucket, np.fromiter(salts, np.int64)):
                     at = bucket == b
                     salt[at] = 1 + (mix(rep[at].view(np.uint64) ^ h[at].view(np.uint64)) % np.uint64(salts[int(b)])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, salt, rep, n, pos)], ["h", "salt", "rep", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, salt, common, rep, n, pos)], ["h", "salt", "common", "rep", "n", "pos"])
 
     def meet(batches):
-        before = np.zeros(0, np.int64)  # the last row seen: h, salt, rep, n, pos, whether it was put out
-        first = None  # the list's first row that lies in the indexing prefix
+        before = None  # the last row: h, salt, rep, n, pos, and whether it was put out
+        centre = (0, 0, 0)  # rep, n, pos of its list's first row
         for batch in batches:
             h, salt, rep, n, pos = (batch.column(c).to_numpy() for c in ("h", "salt", "rep", "n", "pos"))
             if not len(h):
                 continue
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
-            carried = len(before) and before[0] == h[0] and before[1] == salt[0]
-            new[0] = not carried
-            more = ~np.concatenate([new[1:], [True]])
-            several = ~new | more | (salt > 0)  # a salted list's others may lie elsewhere
-            out = [(h[several], rep[several], n[several], pos[several])]
-            if carried and not before[5]:
-                out.insert(0, tuple(np.array([before[i]]) for i in (0, 2, 3, 4)))
-            # carry the first indexed row of each list on to its rows
-            indexed = pos < indexing(n, num, den)
-            group = np.cumsum(new)
-            at = np.where(indexed, np.arange(len(h)), len(h))
-            heads = np.flatnonzero(np.concatenate([[True], new[1:]]))
-            lead = np.minimum.reduceat(at, heads)
-            lead_of = np.repeat(lead, np.diff(np.concatenate([heads, [len(h)]])))
-            known = lead_of < np.arange(len(h))
-            lead_at = np.minimum(lead_of, len(h) - 1)
-            f_rep, f_n, f_pos = rep[lead_at].copy(), n[lead_at].copy(), pos[lead_at].copy()
-            if carried and first is not None:
-                own = group == group[0]
-                known |= own
-                f_rep[own], f_n[own], f_pos[own] = first
-            need = (num * (n + f_n) + num + den - 1) // (num + den)
-            fits = known & (f_rep != rep) & (f_n * den >= num * n) & (np.minimum(n - pos, f_n - f_pos) >= need)
-            if not carried or first is None or len(heads) > 1:
-                tail = lead[-1]
-                first = (rep[tail], n[tail], pos[tail]) if tail < len(h) else None
-            before = np.array([h[-1], salt[-1], rep[-1], n[-1], pos[-1], several[-1]])
-            for part, lead_rep in zip(out, ([np.array([-1])] if len(out) > 1 else []) + [np.where(fits, f_rep, -1)[several]]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in part] + [pa.array(lead_rep, mask=lead_rep == -1)], ["h", "rep", "n", "pos", "first"])
-
-    rows = reps.select("rep", "n", "prefix").mapInArrow(deal, "h long, salt int, rep long, n long, pos long")
-    rows = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "rep")
-    return rows.mapInArrow(meet, "h long, rep long, n long, pos long, first long")
+            new = np.concatenate([[before is None or before[0] != h[0] or before[1] != salt[0]], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
+            last = np.concatenate([new[1:], [True]])
+            several = ~new | ~last | (salt > 0)  # a salted list's others may lie elsewhere
+            head = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))  # -1: the list began in an earlier batch
+            c_rep, c_n, c_pos = (np.where(head < 0, c, x[head]) for c, x in zip(centre, (rep, n, pos)))
+            need = (num * (n + c_n) + num + den - 1) // (num + den)
+            fits = ~new & (c_rep != rep) & (np.minimum(n, c_n) * den >= num * np.maximum(n, c_n)) & (np.minimum(n - pos, c_n - c_pos) >= need)
+            less = (c_n < n) | ((c_n == n) & (c_rep < rep))
+            pair = np.where(less, c_rep, rep), np.where(less, rep, c_rep)
+            if not new[0] and not before[5]:  # its list has more rows after all
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([before[i]], pa.int64()) for i in (0, 2, 3, 4)] + [none, none], ["h", "rep", "n", "pos", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (h, rep, n, pos)] + [pa.array(x[several], mask=~fits[several]) for x in pair],
+                                             ["h", "rep", "n", "pos", "a", "b"])
+            centre = int(c_rep[-1]), int(c_n[-1]), int(c_pos[-1])
+            before = [int(x[-1]) for x in (h, salt, rep, n, pos)] + [bool(several[-1])]
+
+    rows = reps.select("rep", "n", "common", "prefix").mapInArrow(deal, "h long, salt int, common long, rep long, n long, pos long")
+    rows = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", F.desc("common"), "rep")
+    return rows.mapInArrow(meet, "h long, rep long, n long, pos long, a long, b long")
+
+
+def may_link(x: str, y: str, num: int, den: int) -> str:
+    """SQL of the length and suffix filters on two rows with `n` and `odd`, named with the suffixes x and y."""
+    apart = " + ".join(f"bit_count(odd{x}[{i}] ^ odd{y}[{i}])" for i in range(CLASSES // 64))
+    return (f"least(n{x}, n{y}) * {den} >= {num} * greatest(n{x}, n{y}) and "
+            f"{den} * (n{x} + n{y} - ({apart})) >= {num} * (n{x} + n{y} + {apart})")
 
 
 def suffix_filter(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Keep the pairs (a, b) whose sizes by hash class allow enough of an intersection: the difference of two sets is at least the sum of
-    the differences of their class sizes."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int64) for c in ("ca", "cb"))
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            apart = np.maximum(np.abs(ca - cb).sum(axis=1), np.abs(batch.column("na").to_numpy() - batch.column("nb").to_numpy()))
-            keep = den * (total - apart) >= num * (total + apart)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("classes").alias("ca"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("classes").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+    """Keep the pairs (a, b) whose filters allow enough of an intersection."""
+    left, right = (reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").where(may_link("_a", "_b", num, den)).select("a", "b").distinct()
 
 
 def verify(pairs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -244,23 +228,24 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
                       .select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")), "members")
     chosen = members.where("rep = doc_id").select("doc_id").distinct()
     reps = (full.join(F.broadcast(chosen) if small_enough(chosen) else chosen, "doc_id", "left_semi")
-            .withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "d1", "d2"]).select("rep", "n", "prefix", "classes"))
+            .withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "d1", "d2"]).select("rep", "n", "common", "prefix", "odd"))
     lists = written(meetings(reps, counts, num, den), "lists")
 
-    tried = written(lists.where("first is not null").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "tried")
-    links = verify(written(suffix_filter(tried, full.withColumnRenamed("doc_id", "rep"), num, den), "pairs"), rows, n, num, den)
+    tried = written(lists.where("a is not null").select("a", "b").distinct(), "tried")
+    known = full.withColumnRenamed("doc_id", "rep")
+    links = verify(written(suffix_filter(tried, known, num, den), "pairs"), rows, n, num, den)
     parts = components(links)
 
-    # a repeated doc_id with another text has two sets and one node
-    labels = F.coalesce("component", "rep")
-    labelled = written(lists.select("h", "rep", "n", "pos").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", labels).drop("component"), "labelled")
+    labelled = written(lists.select("h", "rep", "n", "pos").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+                       .select("h", "rep", "n", "pos", F.coalesce("component", "rep").alias("part")), "labelled")
     mixed = labelled.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("h")
-    left = written(labelled.join(mixed, "h", "left_semi"), "mixed")
-    small = left.where(F.col("pos") < F.expr(f"n - ((2 * n * {num} + {num + den - 1}) div {num + den}) + 1")).withColumnsRenamed({c: f"{c}_a" for c in ("rep", "n", "pos", "part")})
-    across = left.join(small, "h").where(f"part <> part_a and (n_a < n or n_a = n and rep_a < rep) and n_a * {den} >= {num} * n and "
-                                         f"least(n - pos, n_a - pos_a) >= (({num} * (n + n_a) + {num + den - 1}) div {num + den})")
-    pairs = across.select(F.col("rep_a").alias("a"), F.col("rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    pairs = written(suffix_filter(pairs, full.withColumnRenamed("doc_id", "rep"), num, den), "pairs")
+    left = labelled.join(mixed, "h", "left_semi")
+    left = written(left.join(known.select("rep", "n", "odd"), ["rep", "n"]).distinct(), "mixed")
+    small = left.where(f"pos < n - ((2 * n * {num} + {num + den - 1}) div {num + den}) + 1").withColumnsRenamed({c: f"{c}_a" for c in left.columns if c != "h"})
+    across = left.withColumnsRenamed({c: f"{c}_b" for c in left.columns if c != "h"}).join(small, "h").where(
+        f"part_b <> part_a and (n_a < n_b or n_a = n_b and rep_a < rep_b) and least(n_b - pos_b, n_a - pos_a) >= (({num} * (n_b + n_a) + {num + den - 1}) "
+        f"div {num + den}) and {may_link('_a', '_b', num, den)}")
+    pairs = written(across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links = links.union(verify(pairs, rows, n, num, den))
         parts = components(links)
