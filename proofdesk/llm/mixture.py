@@ -15,6 +15,8 @@ often as they come; null doc_ids stay null; an empty table gives no rows; furthe
 from __future__ import annotations
 
 import zlib
+from heapq import heapify, heappop, heapreplace
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,8 @@ class Schedule:
         self.totals, self.weights, self.window = totals, weights, window
         self.all = sum(totals)
         self.rate = max(1, sum(w for w, t in zip(weights, totals) if t))
-        self.known: dict[int, list[int]] = {}
+        self.known: dict[int, tuple[list[int], list[int]]] = {}
+        self.near: dict[int, int] = {}  # the window of the last piece of each queue
 
     def served(self, time: int) -> list[int]:
         """Ids of each queue with a virtual time of at most `time` (in units of 2 ** -SHIFT)."""
@@ -48,41 +51,47 @@ class Schedule:
         before, until = self.served(time - 1), self.served(time)
         return sum(before) + sum(u - b for b, u in zip(before[:queue], until[:queue])) + x - before[queue]
 
-    def taken(self, window: int) -> list[int]:
-        """Ids of each queue in the windows before this one."""
+    def taken(self, window: int) -> tuple[list[int], list[int]]:
+        """Ids of each queue in the windows before this one, and the same of all earlier queues together."""
         if window not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
-            want = min(self.all, window * self.window)
-            low = -1  # served(low) <= want < served(high)
-            high = guess = (want << SHIFT) // self.rate + 1
-            step = (len(self.totals) + 1 << SHIFT) // self.rate + 1
-            if sum(self.served(max(-1, guess - step))) <= want:
-                low = max(-1, guess - step)
-            top = max((((t << SHIFT) // w) for t, w in zip(self.totals, self.weights) if t), default=0)
-            while high <= top and sum(self.served(high)) <= want:
-                low, high, step = high, min(high + step, top + 1), step * 4
-            while high - low > 1:
-                mid = (low + high) // 2
-                low, high = (mid, high) if sum(self.served(mid)) <= want else (low, mid)
-            out, more = self.served(low), self.served(low + 1)
-            rest = want - sum(out)
-            for q in range(len(out)):
-                extra = min(rest, more[q] - out[q])
-                out[q] += extra
-                rest -= extra
-            self.known[window] = out
+            want, n = min(self.all, window * self.window), len(self.totals)
+            low, high = -1, max((((t << SHIFT) // w) for t, w in zip(self.totals, self.weights) if t), default=0) + 1
+            guess = ((want << SHIFT) // self.rate) - ((n << SHIFT) // self.rate)  # right while no queue has run dry
+            out = self.served(low)
+            while True:
+                if low < guess < high:
+                    tried = self.served(guess)
+                    low, high, out = (guess, high, tried) if sum(tried) <= want else (low, guess, out)
+                rest = want - sum(out)
+                if rest <= 4 * n or high - low <= 1:
+                    break
+                guess = (low + high) // 2
+            # the next few ids by (time, queue)
+            heap = [(((out[q] + 1) << SHIFT) // self.weights[q], q) for q in range(n) if out[q] < self.totals[q]]
+            heapify(heap)
+            for _ in range(rest):
+                q = heap[0][1]
+                out[q] += 1
+                if out[q] < self.totals[q]:
+                    heapreplace(heap, (((out[q] + 1) << SHIFT) // self.weights[q], q))
+                else:
+                    heappop(heap)
+            self.known[window] = out, [0, *accumulate(out)]
         return self.known[window]
 
     def cut(self, queue: int, begin: int, end: int):
         """(position in the queue, length, window, offset in it) of each piece of the queue's ids [begin, end)."""
-        window = self.rank(queue, begin) // self.window if begin < end else 0
+        window = self.near.get(queue, 0)
+        if begin < end and not self.taken(window)[0][queue] <= begin < self.taken(window + 1)[0][queue]:
+            window = self.rank(queue, begin) // self.window
         while begin < end:
-            first, last = self.taken(window), self.taken(window + 1)
+            (first, before), (last, until) = self.taken(window), self.taken(window + 1)
             stop = min(end, last[queue])
             if stop > begin:
-                yield begin, stop - begin, window, sum(last[:queue]) - sum(first[:queue]) + begin - first[queue]
-                begin = stop
+                yield begin, stop - begin, window, until[queue] - before[queue] + begin - first[queue]
+                begin, self.near[queue] = stop, window
             window += 1
 
 
