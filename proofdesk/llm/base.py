@@ -1,6 +1,7 @@
 """What the operators share: the shared folder, written tables, ragged word arrays and hashes of words."""
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 8 << 20
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -57,15 +58,21 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 
 
 class Memo(dict):
-    """Results by key, computed when first asked for; emptied when full, so its size is bounded."""
+    """Results by key, computed when first asked for.
+
+    Bounded: when full, it becomes the old generation, and what was not asked for since the last time is forgotten.
+    """
 
     def __init__(self, compute: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.compute, self.entries = compute, entries
+        self.compute, self.entries, self.old = compute, entries, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.entries:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -82,7 +89,7 @@ class Words:
     """The words of many texts, each distinct one once.
 
     Words are what ASCII white space (space, \\t, \\n, \\v, \\f, \\r) separates. `codes` numbers the words of all texts in order,
-    `bounds[i]:bounds[i + 1]` are those of text i, `distinct` are the words as bytes.
+    `bounds[i]:bounds[i + 1]` are those of text i, `values` are the words as an array, `distinct` as bytes.
     """
 
     def __init__(self, column: pa.Array, lower: bool = False):
@@ -93,18 +100,27 @@ class Words:
         flat = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = offsets - offsets[0]
-        self.distinct: list[bytes] = flat.dictionary.cast(pa.binary()).to_pylist()
-        full = np.array([bool(w) for w in self.distinct], dtype=bool)
-        if len(full) and not full.all():  # leading or trailing white space leaves an empty word
-            keep = full[codes]
+        self.values: pa.Array = flat.dictionary
+        empty = np.flatnonzero(pc.equal(pc.binary_length(self.values), 0).to_numpy(zero_copy_only=False))
+        if len(empty):  # leading or trailing white space leaves an empty word
+            keep = codes != empty[0]
             before = np.concatenate([[0], np.cumsum(keep)])
             codes, offsets = codes[keep], before[offsets]
         self.codes, self.bounds = codes, offsets
 
+    @functools.cached_property
+    def distinct(self) -> list[bytes]:
+        return listed(self.values.cast(pa.binary()))
+
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
 
+def listed(column: pa.Array) -> list:
+    """The values of a string or binary array without nulls."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 

@@ -16,6 +16,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -160,15 +161,15 @@ class WordBPE:
 @functools.lru_cache(maxsize=2)
 def word_bpe(path: str) -> tuple[WordBPE, Memo]:
     bpe = WordBPE(path)
-    return bpe, Memo(lambda w: np.array(bpe.encode_word(w), dtype=np.uint32))
+    return bpe, Memo(lambda w: array("I", bpe.encode_word(w)).tobytes())
 
 
 def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in order, bounds of each text)."""
     words, (_, memo) = Words(column), word_bpe(path)
     each = [memo[w] for w in words.distinct]
-    lengths = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-    flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
+    lengths = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+    flat = np.frombuffer(b"".join(each), dtype=np.uint32)
     starts, of_words = np.cumsum(lengths) - lengths, lengths[words.codes]
     ids = flat[ragged(starts[words.codes], of_words)] if len(of_words) else np.zeros(0, np.uint32)
     return ids, np.concatenate([[0], np.cumsum(of_words)])[words.bounds]

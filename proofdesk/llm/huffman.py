@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import shared_dir, texts, written
+from .base import shared_dir, small_enough, texts, written
 from .tokens import END_ID, encoded
 
 LIMIT = 20  # longest code in bits; more only if there are more ids than 2 ** LIMIT
@@ -107,12 +107,17 @@ def unpack_bits(bits: bytes, marks: np.ndarray, n: int, table: np.ndarray, width
     return out.T.reshape(-1)[:n]
 
 
-def id_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids as little-endian uint32) of every document, tokenised once and written."""
+def id_type(vocabulary: int) -> str:
+    """How ids travel between the stages."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def id_table(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, ids as little-endian integers) of every document, tokenised once and written."""
 
     def run(batches):
         for batch, ids, bounds in encoded(batches, tokenizer, end_id):
-            raw = ids.astype("<u4", copy=False)
+            raw = ids.astype(id_type(vocabulary))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["doc_id", "ids"])
 
@@ -125,7 +130,7 @@ def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"), minlength=vocabulary)
+            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), id_type(vocabulary)), minlength=vocabulary)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["id", "n"])
 
@@ -139,7 +144,7 @@ def write_documents(docs: DataFrame, folder: str, tokenizer: str, vocabulary: in
                     block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every document and write the folder."""
     spark = docs.sparkSession
-    ids = id_table(docs, tokenizer, end_id)
+    ids = id_table(docs, tokenizer, vocabulary, end_id)
     lengths = code_lengths(id_counts(ids, vocabulary), max(limit, (vocabulary - 1).bit_length()) if vocabulary > 1 << limit else limit)
     codes = canonical_codes(lengths)
     spark.createDataFrame([(EVERY, bytearray(lengths.tobytes()))], "every int, lengths binary").coalesce(1).write.parquet(f"{folder}/book")
@@ -161,7 +166,7 @@ def write_documents(docs: DataFrame, folder: str, tokenizer: str, vocabulary: in
             if batch.num_rows:
                 part = batch.column("part")[0].as_py()
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                held.append((doc, np.frombuffer(raw.as_buffer(), "<u4")))
+                held.append((doc, np.frombuffer(raw.as_buffer(), id_type(vocabulary))))
                 size += len(held[-1][1])
                 if size >= block_tokens:
                     yield block()
@@ -202,7 +207,7 @@ def read_documents(spark: SparkSession, folder: str, with_ids: bool = False) ->
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    placed = blocks.join(starts, "part").select("doc_ids", "doc_tokens", "n_tokens", "marks", "bits", (F.col("part_start") + F.col("before")).alias("start"))
+    placed = blocks.join(F.broadcast(starts) if small_enough(starts, 1_000_000) else starts, "part").select("doc_ids", "doc_tokens", "n_tokens", "marks", "bits", (F.col("part_start") + F.col("before")).alias("start"))
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 

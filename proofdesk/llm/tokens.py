@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .base import Memo, Words, ragged, slices
+from .base import Memo, Words, listed, ragged, slices
 
 END_ID = 2
 
@@ -23,8 +25,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of Latin letters with marks behind it: lower-casing is all that normalising does to it, and letters and marks are a pre-token each.
+SIMPLE = r"^(?P<core>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+)(?P<tail>[.,;:!?]*)$"
+
+
 @functools.lru_cache(maxsize=2)
-def word_memo(path: str) -> Memo:
+def unit_memo(path: str) -> Memo:
+    """Ids, as bytes, of a pre-token in lower case, which the library's model alone encodes, or of a word with a space before it."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -32,25 +39,15 @@ def word_memo(path: str) -> Memo:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     checked(tokenizer)
-    model, spell = tokenizer.model, byte_letters()
-
-    def of_run(text: str) -> np.ndarray:
-        """Ids of one pre-token that is already normal: the library's model alone."""
-        return np.array([t.id for t in model.tokenize(text.encode().decode("latin-1").translate(spell))], dtype=np.uint32)
+    tokenize, encode, spell = tokenizer.model.tokenize, tokenizer.encode, byte_letters()
 
-    runs = Memo(of_run, 200_000)
+    def compute(unit: str) -> bytes:
+        if unit[0] == " ":  # a whole word
+            return array("I", encode(unit[1:], add_special_tokens=False).ids).tobytes()
+        text = unit if unit.isascii() else unit.encode().decode("latin-1").translate(spell)
+        return array("I", [t.id for t in tokenize(text)]).tobytes()
 
-    def of_word(word: bytes) -> np.ndarray:
-        text = word.decode("utf-8", "replace")
-        if text.isascii():  # lower-casing is all that normalising does to ASCII
-            low = text.lower()
-            core = low.rstrip(".,;:!?")
-            if core.isalpha():
-                tail = low[len(core):]
-                return np.concatenate([runs[core], runs[tail]]) if tail else runs[core]
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-    return Memo(of_word)
+    return Memo(compute, 300_000)
 
 
 def checked(tokenizer) -> None:
@@ -72,18 +69,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
 
+def gathered(each: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the units that `codes` name, in order, length of each)."""
+    lengths = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+    flat = np.frombuffer(b"".join(each), dtype=np.uint32)
+    own = lengths[codes]
+    return (flat[ragged((np.cumsum(lengths) - lengths)[codes], own)] if len(own) else flat[:0]), own
+
+
 def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in order, bounds of each text)."""
     words = Words(column)
-    memo = word_memo(path)
-    each = [memo[w] for w in words.distinct]
-    lengths = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-    flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
-    starts = np.cumsum(lengths) - lengths
-    of_words = lengths[words.codes]
-    ids = flat[ragged(starts[words.codes], of_words)] if len(of_words) else np.zeros(0, np.uint32)
-    ends = np.concatenate([[0], np.cumsum(of_words)])
-    return ids, ends[words.bounds]
+    memo = unit_memo(path)
+    distinct = words.values
+    parts = pc.extract_regex(distinct, SIMPLE)
+    simple = parts.is_valid()
+    # each distinct word is two units: core and marks, or itself and nothing
+    units = pa.concat_arrays([pc.if_else(simple, pc.utf8_lower(pc.struct_field(parts, 0)), pc.binary_join_element_wise("", distinct, " ")), pc.if_else(simple, pc.struct_field(parts, 1), "")])
+    units = pc.fill_null(units, "").dictionary_encode()
+    ids, own = gathered([memo[u] if u else b"" for u in listed(units.dictionary)], units.indices.to_numpy().reshape(2, -1).T.reshape(-1))
+    own = own.reshape(-1, 2).sum(axis=1)  # of each distinct word
+    ids = ids[ragged((np.cumsum(own) - own)[words.codes], own[words.codes])] if len(words.codes) else ids[:0]
+    return ids, np.concatenate([[0], np.cumsum(own[words.codes])])[words.bounds]
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
