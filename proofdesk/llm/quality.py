@@ -103,7 +103,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, confiden
     whole = Window.partitionBy("stratum", "rule")
     tried = every.select("stratum", "rule", "level", F.sum("good").over(above).alias("k"), F.sum("bad").over(above).alias("caught"),
                          F.sum("good").over(whole).alias("n")).where("level > 0")
-    tests = F.lit(len(RULES) * len(CUTOFFS)) * F.lit(measured.select(stratum().alias("s")).distinct().count())
+    tests = F.lit(len(RULES) * len(CUTOFFS)) * F.lit(max(1, measured.select(stratum().alias("s")).distinct().count()))
     sure = tried.where("caught > 0").where(F.expr(tail("n", "k", risk / len(RULES))) <= F.log(F.lit(confidence) / tests))
     best = sure.groupBy("stratum", "rule").agg(F.max(F.struct("caught", "level")).alias("best")).withColumn("cutoff", F.element_at(grid, F.col("best.level")))
     return best.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).select("stratum", *[F.col(r).cast("double").alias(f"max_{r}") for r in RULES])
