@@ -210,6 +210,12 @@ def oracle_sql() -> dict[str, str]:
         "context_full": f"""WITH e AS ({ENTRIES}), f AS (SELECT url, arg_min(modified, doc_id) AS page_modified FROM e GROUP BY url)
           SELECT page_modified, url, doc_id, {HEAD} AS header FROM e JOIN f USING (url) ORDER BY page_modified, url, doc_id""",
         "pool_filter": f"SELECT doc_id, id FROM ({ENTRIES}) WHERE url IN ({_in(ENGLISH_PAGES)}) AND len({WORDS.format(c='answer')}) >= 25",
+        "reply_overlap": rf"""WITH p AS (SELECT a.conv_id, a.turn, {TOKS.format(c='a.text')} AS r, {TOKS.format(c='m.text')} AS m FROM conversations a
+          JOIN conversations m ON m.conv_id = a.conv_id AND m.turn + 1 = a.turn AND m.role = 'user' WHERE a.role = 'assistant'),
+          w AS (SELECT conv_id, turn, list_distinct(r) AS r, list_distinct(m) AS m, list_distinct([array_to_string(r[i:i + 2], ' ') for i in range(1, len(r) - 1)]) AS rs,
+            list_distinct([array_to_string(m[i:i + 2], ' ') for i in range(1, len(m) - 1)]) AS ms FROM p)
+          SELECT conv_id, turn, CASE WHEN len(r) = 0 OR len(m) = 0 THEN 0 ELSE round(len(list_intersect(r, m))::DOUBLE / len(list_distinct(r || m)), 6) END AS jaccard,
+            CASE WHEN len(rs) = 0 THEN 0 ELSE round(len(list_intersect(rs, ms))::DOUBLE / len(rs), 6) END AS held_in_mail FROM w""",
         "lookup_strict": "SELECT conv_id, turn, source FROM conversations JOIN documents ON doc_id = conv_id",
         "lookup_lenient": "SELECT doc_id, coalesce('label ' || quality, doc_id::VARCHAR) AS label FROM documents LEFT JOIN labels USING (doc_id)",
         "only_cases": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",

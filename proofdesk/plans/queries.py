@@ -399,6 +399,15 @@ def texts_to_embed(spark, sf):
     return S.missing_texts(_t(spark, sf, "documents").select("text"), known).select("text_key")
 
 
+def reply_overlap(spark, sf):
+    """How much of each assistant turn's words and 3-word shingles the user's turn before it has."""
+    c = _t(spark, sf, "conversations")
+    replies = c.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("reply"))
+    mails = c.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("mail"))
+    return replies.join(mails, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("reply"), F.col("mail")), 6).alias("jaccard"),
+                                                           F.round(T.containment(F.col("reply"), F.col("mail"), 3), 6).alias("held_in_mail"))
+
+
 def answer_prompts(spark, sf):
     """Packed evidence to answering jobs: prompt, words and header lines of what each reader received."""
     packed = _packed(spark, sf).join(_emails(spark, sf), "query_id")
@@ -423,4 +432,4 @@ QUERIES = {f.__name__: f for f in (
     json_fields, faq_extract, exclude_urls, page_verify, page_missing, fingerprint, jaccard_pairs, containment, holdout_semi,
     holdout_anti, title_ratio, variants_all, bm25_stats, bm25_top40, dense_top40, rrf, rerank_shared, rerank_listwise, budget_pack,
     passage_units, passage_pack, passage_pack_v1, context_full, pool_filter, seeded_sample, lookup_strict, lookup_lenient, only_cases,
-    grade_parse, outcome_summary, paired, call_key, missing_calls, texts_to_embed, answer_prompts, grader_prompts)}
+    grade_parse, outcome_summary, paired, call_key, missing_calls, texts_to_embed, reply_overlap, answer_prompts, grader_prompts)}

@@ -295,7 +295,7 @@ def run(spark: SparkSession, cfg, runner, make_embedder=None, scorer=None, reade
 
 
 def read_graded(spark: SparkSession, cfg, src: str = "graded", extra: str = "") -> DataFrame:
-    return spark.read.schema(GRADED_SCHEMA + extra).json(cfg.path("out", src))
+    return S.read_rows(spark, cfg.path("out", src), GRADED_SCHEMA + extra, "row_ord")
 
 
 def regrade(spark: SparkSession, cfg, runner, make_embedder=None, scorer=None, src="graded", dst="graded_site",

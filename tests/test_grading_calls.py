@@ -182,3 +182,24 @@ def test_config_and_cases(spark, tmp_path):
     notes, cases = S.load_cases(spark, cfg.path("cases"))
     assert notes == "n" and [r["id"] for r in cases.orderBy("case_ord").collect()] == ["x", "y", "z"]
     assert S.load_transfer(spark, cfg.path("out", "none")).count() == 0
+
+
+def test_recorded_runs_are_read(spark, tmp_path):
+    from proofdesk.plans import workflow as W
+    (tmp_path / "c.json").write_text(json.dumps({"out": "."}))
+    cfg = S.Config(str(tmp_path / "c.json"))
+    (tmp_path / "graded.json").write_text(json.dumps([
+        {"experiment": "e", "case": c, "reader": r, "answer": "a", "received": [["u", "2024-01-01", "q"]], "keeps": ["k"], "loses": [], "outcome": o, "success": o == "correct"}
+        for c, r, o in (("x", "A", "correct"), ("x", "B", "incomplete"))], indent=1))
+    rows = W.read_graded(spark, cfg).orderBy("row_ord").collect()
+    assert [(r["row_ord"], r["reader"], r["received"][0]["updated"], r["keeps"]) for r in rows] == [(0, "A", "2024-01-01", ["k"]), (1, "B", "2024-01-01", ["k"])]
+    assert as_report(*W.report(spark, cfg))["paired"]["e"]["A vs B"] == {"wins": 1, "losses": 0, "ties": 0, "n": 1}
+    (tmp_path / "t.json").write_text(json.dumps([{"id": "i", "title": "t", "answerable": True, "support": ["s"]}, {"id": "j"}]))
+    assert [(r["sample_ord"], r["id"], r["support"]) for r in S.load_transfer(spark, str(tmp_path / "t")).orderBy("sample_ord").collect()] == [(0, "i", ["s"]), (1, "j", None)]
+
+
+def test_pairwise_overlap(spark):
+    table = [("a b c d", "b c d e", 3 / 5, 1 / 2), ("", "a", 0.0, 0.0), ("a b", "a b", 1.0, 0.0), ("A b C", "a B c x", 3 / 4, 1.0), ("a a a a", "a", 1.0, 0.0)]
+    df = spark.createDataFrame([(i, *t[:2]) for i, t in enumerate(table)], "i int, a string, b string").orderBy("i")
+    got = df.select(T.jaccard(F.col("a"), F.col("b")), T.containment(F.col("a"), F.col("b"), 3)).collect()
+    assert [tuple(g) for g in got] == [t[2:] for t in table]
