@@ -99,12 +99,13 @@ DENSE = """em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 CANDS = f"""{LEXICAL}, ca AS (SELECT lex.item_id, lex.doc_id, lex.rank, d.text, b.text AS question, len({WORDS.format(c='d.text')}) AS nw
   FROM lex JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id))"""
 
-PACKED = f"""{CANDS}, li AS (SELECT item_id, list({{'u': doc_id, 'n': nw, 't': text}} ORDER BY rank) AS c FROM ca GROUP BY item_id),
+PACK_STEPS = f"""li AS (SELECT item_id, list({{'u': doc_id, 'n': nw, 't': text}} ORDER BY rank) AS c FROM ca GROUP BY item_id),
   go AS (SELECT item_id, 1 AS i, 0::BIGINT AS used, []::BIGINT[] AS ids, c FROM li
     UNION ALL SELECT item_id, i + 1, CASE WHEN used + c[i].n <= {BUDGET} THEN used + c[i].n ELSE used END,
       CASE WHEN used + c[i].n <= {BUDGET} THEN list_append(ids, i) ELSE ids END, c FROM go WHERE i <= len(c)),
   pk AS (SELECT item_id, used AS context_words, array_to_string(list_transform(ids, lambda i: c[i].u), ',') AS units,
     array_to_string(list_transform(ids, lambda i: c[i].t), chr(10) || chr(10)) AS context FROM go WHERE i = len(c) + 1)"""
+PACKED = f"{CANDS}, {PACK_STEPS}"
 
 WRAPPED = """pg AS (SELECT doc_id, 'https://' || source || '.example/' || lang || '/' AS url, '<div class="schema-faq-section" id="faq-' AS h, text FROM documents),
   body AS (SELECT doc_id, url, array_to_string(list_transform(string_split(text, chr(10)), lambda ln, i: h || ((i - 1) % 3)
@@ -202,13 +203,19 @@ def oracle_sql() -> dict[str, str]:
           FROM sc2 WHERE rerank_score >= {MIN_SHARED}""",
         "rerank_listwise": f"""WITH {CANDS} SELECT item_id, doc_id, (row_number() OVER (PARTITION BY item_id ORDER BY nw, rank) - 1)::BIGINT AS position
           FROM ca QUALIFY position < 15""",
+        "hybrid_pack": f"""WITH RECURSIVE {LEXICAL}, {DENSE}, lists AS (SELECT item_id, doc_id, rank FROM lex UNION ALL SELECT item_id, doc_id, rank FROM den),
+          fu AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS s FROM lists GROUP BY item_id, doc_id),
+          fz AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) - 1 AS rank FROM fu QUALIFY rank < 40),
+          cf AS (SELECT fz.*, d.text, b.text AS question, len({WORDS.format(c='d.text')}) AS nw FROM fz JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
+          rs AS (SELECT *, {shared} AS score FROM cf), ca AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank) - 1 AS rank, text, nw
+          FROM rs WHERE score >= {MIN_SHARED}), {PACK_STEPS} SELECT item_id, context_words, units, sha256(context) AS context_sha FROM pk""",
         "budget_pack": f"WITH RECURSIVE {PACKED} SELECT item_id, context_words, units, sha256(context) AS context_sha FROM pk",
         "passage_units": rf"""WITH e AS ({ENTRIES}), l AS (SELECT doc_id, {HEAD} AS head, {SENTS.format(c='answer')} AS s FROM e),
           st AS (SELECT *, CASE WHEN len(s) = 0 THEN [] WHEN len(s) <= 3 THEN [0] ELSE range(0, len(s) - 1, 2) END AS a FROM l),
           x AS (SELECT doc_id, head, s, unnest(a) AS i, generate_subscripts(a, 1) - 1 AS k FROM st)
           SELECT (doc_id * {1 << extract.WINDOW_BITS} + k)::BIGINT AS unit_ord, doc_id, k::BIGINT AS k, head || ' ' || array_to_string(s[i + 1:i + 3], ' ') AS text FROM x""",
         "context_full": f"""WITH e AS ({ENTRIES}), f AS (SELECT url, arg_min(modified, doc_id) AS page_modified FROM e GROUP BY url)
-          SELECT page_modified, url, doc_id, {HEAD} AS header FROM e JOIN f USING (url) ORDER BY page_modified, url, doc_id""",
+          SELECT page_modified, url, doc_id, {HEAD} AS header, sha256({HEAD} || chr(10) || answer) AS text_sha FROM e JOIN f USING (url) ORDER BY page_modified, url, doc_id""",
         "pool_filter": f"SELECT doc_id, id FROM ({ENTRIES}) WHERE url IN ({_in(ENGLISH_PAGES)}) AND len({WORDS.format(c='answer')}) >= 25",
         "reply_overlap": rf"""WITH p AS (SELECT a.conv_id, a.turn, {TOKS.format(c='a.text')} AS r, {TOKS.format(c='m.text')} AS m FROM conversations a
           JOIN conversations m ON m.conv_id = a.conv_id AND m.turn + 1 = a.turn AND m.role = 'user' WHERE a.role = 'assistant'),

@@ -278,10 +278,21 @@ def _packed(spark, sf) -> DataFrame:
     return packing.pack_answers(_candidates(spark, sf).withColumnRenamed("rank", "position"), BUDGET)
 
 
+def _packed_columns(packed: DataFrame) -> DataFrame:
+    return packed.select(F.col("query_id").alias("item_id"), _big(F.col("context_words")).alias("context_words"),
+                         F.array_join(F.transform("units", lambda u: u.cast("string")), ",").alias("units"), F.sha2("context", 256).alias("context_sha"))
+
+
 def budget_pack(spark, sf):
-    return _packed(spark, sf).select(F.col("query_id").alias("item_id"), _big(F.col("context_words")).alias("context_words"),
-                                     F.array_join(F.transform("units", lambda u: u.cast("string")), ",").alias("units"),
-                                     F.sha2("context", 256).alias("context_sha"))
+    return _packed_columns(_packed(spark, sf))
+
+
+def hybrid_pack(spark, sf):
+    """The whole chain: BM25 and cosine ranks fused, the fused candidates reranked, those not left out packed into the budget."""
+    emails = _emails(spark, sf)
+    fused = ranking.rrf([_lexical(spark, sf), _dense(spark, sf)], round_to=12).select("query_id", "unit_ord", "rank")
+    named = packing.attach(fused, _units(spark, sf), emails.count() * ranking.CANDIDATES).join(emails.withColumnRenamed("text", "question"), "query_id")
+    return _packed_columns(packing.pack_answers(rerank.rerank(named, shared_words), BUDGET))
 
 
 def passage_units(spark, sf):
@@ -307,7 +318,8 @@ def context_full(spark, sf):
     """The whole corpus in reading order, row by row: the order is that of the three key columns."""
     e = packing.ordered_entries(_entries(spark, sf))
     return e.select("page_modified", "url", F.col("entry_ord").alias("doc_id"),
-                    T.header(F.col("url"), F.col("modified"), F.col("question")).alias("header")).orderBy("page_modified", "url", "doc_id")
+                    T.header(F.col("url"), F.col("modified"), F.col("question")).alias("header"),
+                    F.sha2(T.entry_text(F.col("url"), F.col("modified"), F.col("question"), F.col("answer")), 256).alias("text_sha")).orderBy("page_modified", "url", "doc_id")
 
 
 # ---------- sampling and lookups ----------
@@ -430,6 +442,6 @@ def grader_prompts(spark, sf):
 QUERIES = {f.__name__: f for f in (
     token_counts, nwords, sentences, windows3, chunk_words, shingle_counts, html_clean, visible_text, quote_check, received_headers,
     json_fields, faq_extract, exclude_urls, page_verify, page_missing, fingerprint, jaccard_pairs, containment, holdout_semi,
-    holdout_anti, title_ratio, variants_all, bm25_stats, bm25_top40, dense_top40, rrf, rerank_shared, rerank_listwise, budget_pack,
+    holdout_anti, title_ratio, variants_all, bm25_stats, bm25_top40, dense_top40, rrf, rerank_shared, rerank_listwise, budget_pack, hybrid_pack,
     passage_units, passage_pack, passage_pack_v1, context_full, pool_filter, seeded_sample, lookup_strict, lookup_lenient, only_cases,
     grade_parse, outcome_summary, paired, call_key, missing_calls, texts_to_embed, reply_overlap, answer_prompts, grader_prompts)}
