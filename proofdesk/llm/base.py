@@ -4,6 +4,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 MEMO_ENTRIES = 250_000
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -61,11 +62,18 @@ class Memo(dict):
     """Results by key, computed when first asked for.
 
     Bounded: when full, it becomes the old generation, and what was not asked for since the last time is forgotten.
+    A worker process serves one operator after the other; `alone` empties what earlier ones left in it.
     """
 
+    every: weakref.WeakSet = weakref.WeakSet()
+
     def __init__(self, compute: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.compute, self.entries, self.old = compute, entries, {}
+        Memo.every.add(self)
+
+    __hash__ = object.__hash__
+    __eq__ = object.__eq__
 
     def __missing__(self, key):
         value = self.old.pop(key, None)
@@ -77,6 +85,18 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+    def alone(self, *others: Memo) -> Memo:
+        """This memo, after all but `others` have been emptied."""
+        for memo in list(Memo.every):
+            if memo is not self and memo not in others and (memo or memo.old):
+                memo.forget()
+                pa.default_memory_pool().release_unused()
+        return self
+
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the concatenated runs [starts[i], starts[i] + lengths[i])."""
@@ -125,6 +145,15 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+WORD_HASHES = Memo(word_hash)
+
+
+def word_hashes(words: Words) -> np.ndarray:
+    """The 64-bit hash of each distinct word."""
+    memo = WORD_HASHES.alone()
+    return np.fromiter((memo[w] for w in words.distinct), dtype=np.uint64, count=len(words.distinct))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that every bit depends on all bits."""
     h = h.astype(np.uint64, copy=True)

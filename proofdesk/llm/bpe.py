@@ -166,7 +166,8 @@ def word_bpe(path: str) -> tuple[WordBPE, Memo]:
 
 def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in order, bounds of each text)."""
-    words, (_, memo) = Words(column), word_bpe(path)
+    words, (bpe, memo) = Words(column), word_bpe(path)
+    memo.alone(bpe.runs)
     each = [memo[w] for w in words.distinct]
     lengths = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
     flat = np.frombuffer(b"".join(each), dtype=np.uint32)

@@ -19,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Memo, Words, mix, slices, small_enough, texts, word_hash, written
+from .base import Words, mix, slices, small_enough, texts, word_hashes, written
 
 MEAN, LEAST, MOST = 5, 3, 12
 RUN = 16
-_hashes = Memo(word_hash)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -45,7 +44,7 @@ def chunk_ends(cuts: np.ndarray, n: int) -> list[int]:
 def cut_column(column: pa.Array):
     """(text number, first word, words, digest) of all chunks of the texts, as arrays."""
     words = Words(column)
-    known = np.fromiter((_hashes[w] for w in words.distinct), dtype=np.uint64, count=len(words.distinct))
+    known = word_hashes(words)
     g = known[words.codes]
     doc = np.repeat(np.arange(len(words)), np.diff(words.bounds))
     h = g.copy()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Memo, Words, mix, slices, small_enough, texts, word_hash, written
+from .base import Words, mix, slices, small_enough, texts, word_hashes, written
 from .components import components
 
 BUCKET_BITS = 20
@@ -33,7 +33,6 @@ CLASSES = 512
 HOT_MEANS, HOT_LEAST = 20, 10_000
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
-_hashes = Memo(word_hash)
 
 
 def factor(i: int) -> np.uint64:
@@ -43,7 +42,7 @@ def factor(i: int) -> np.uint64:
 def shingle_sets(column: pa.Array, n: int):
     """The sorted distinct n-gram hashes of each text."""
     words = Words(column, lower=True)
-    known = np.fromiter((_hashes[w] for w in words.distinct), dtype=np.uint64, count=len(words.distinct))
+    known = word_hashes(words)
     h = known[words.codes]
     if len(h) >= n:
         grams = h[:len(h) - n + 1] * factor(0)

@@ -151,6 +151,7 @@ def piece_counter(path: str) -> tuple[PieceCounter, Memo]:
 def count_column(column: pa.Array, path: str) -> np.ndarray:
     """Tokens of every text of an Arrow string array without nulls."""
     counter, memo = piece_counter(path)
+    memo.alone()
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     odd = pc.or_(pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, MARK)), pc.starts_with(column, " "))
     odd = pc.or_(odd, pc.equal(column, "")).to_numpy(zero_copy_only=False)

@@ -80,7 +80,7 @@ def gathered(each: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in order, bounds of each text)."""
     words = Words(column)
-    memo = unit_memo(path)
+    memo = unit_memo(path).alone()
     distinct = words.values
     parts = pc.extract_regex(distinct, SIMPLE)
     simple = parts.is_valid()

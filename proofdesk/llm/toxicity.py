@@ -141,6 +141,7 @@ def scorer(weights: dict[str, float], bias: float):
 
     def score(column: pa.Array) -> np.ndarray:
         words = Words(column, lower=True)
+        memo.alone()
         hits = [memo[w] for w in words.distinct]
         size = np.fromiter(map(len, hits), dtype=np.int64, count=len(hits))
         doc = np.repeat(np.arange(len(words)), np.diff(words.bounds))
