@@ -118,3 +118,12 @@ def test_scoring_shuffles_only_the_best(spark, texts):
     units = spark.createDataFrame(list(enumerate(docs)), "unit_ord long, text string")
     plan = R.bm25_topk(units, spark.createDataFrame([(0, queries[0])], "query_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_no_queries_and_int_ids(spark):
+    units = spark.createDataFrame([(0, "red fox", [1.0, 0.0]), (1, "blue hen", [0.0, 1.0])], "unit_ord long, text string, embedding array<float>")
+    asked = spark.createDataFrame([(7, "fox", [1.0, 0.0])], "query_id int, text string, embedding array<float>")
+    for rank in (R.bm25_topk, R.dense_topk):
+        got = rank(units, asked, 1)
+        assert [(g["query_id"], g["unit_ord"]) for g in got.collect()] == [(7, 0)] and dict(got.dtypes)["query_id"] == "int"
+        assert rank(units, asked.where("query_id < 0"), 1).count() == 0
