@@ -1,9 +1,14 @@
-"""Substring deduplication by content-defined chunking.
+"""Substring deduplication by content-defined chunking, exact from RUN words on.
 
-A gear hash rolls over the words of a text (shifted by 16 bits a word, so that it forgets after four) and ends a chunk where its upper half
-falls below 2 ** 32 / MEAN; a chunk has LEAST to MOST words. Where chunks end depends on the words around alone, so an insertion shifts text
-but not chunks. Chunks are deduplicated by digest over all documents: the first occurrence by (doc_id, place) stays. Later occurrences that
-lie side by side are a span, and spans of at least RUN words are duplicates; shorter ones are common phrases and stay.
+A passage is a duplicate if it has at least `run_words` words and occurred before: a word goes if a window of that many words around it has an
+earlier place, by (doc_id, place). The first occurrence of each window stays, so a later copy is cut to its ends, whichever documents hold parts of it.
+Anchors find the windows that can repeat: the least hash of the half-length grams in each window, the last among equals. That depends on the
+window's words alone, so equal windows have equal anchors and no repeated one is missed. The windows of one anchor are a piece. Where all pieces of an
+anchor are equal, as inside repeated passages, whole pieces are compared; where they differ, as at the ends, their windows are. Both go by 64-bit digests,
+in an aggregate and a join: no pairs of occurrences are made.
+
+A gear hash over the words (shifted by 16 bits a word, so that it forgets after four) cuts a text where its upper half falls below
+2 ** 32 / MEAN, into chunks of LEAST to MOST words; their digests and places together tell texts apart.
 
 Defined results: words are split by ASCII white space, and white space is not compared; a null text has no words; rows without an id come last
 among the occurrences; rows that repeat a doc_id are told apart by their text's digest, and exact repeats of a row are one document, none a duplicate of another;
@@ -69,31 +74,106 @@ def cut_column(column: pa.Array):
     return owner, starts, sizes, mix(digest + sizes.astype(np.uint64))
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, twin: digest of the whole text, digest, at, n): the chunks of every document."""
+def twins(column: pa.Array) -> np.ndarray:
+    """A digest of each whole text; 0 for one without words."""
+    owner, at, _, digest = cut_column(column)
+    out = np.zeros(len(column), np.uint64)
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else owner
+    if len(owner):
+        out[owner[heads]] = np.add.reduceat(mix(digest + at.astype(np.uint64)), heads)
+    return out.view(np.int64)
+
+
+def grams(g: np.ndarray, n: int) -> np.ndarray:
+    """The digest of the `n` words from each on."""
+    count = max(0, len(g) - n + 1)
+    out = np.zeros(count, np.uint64)
+    for j in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + g[j:j + count]
+    return mix(out)
+
+
+def anchored(column: pa.Array, run_words: int):
+    """(word hashes, bounds, first words of all windows of `run_words` words, the anchor of each, digests of the grams) over the words of all texts."""
+    words = Words(column)
+    g = word_hashes(words)[words.codes]
+    h = grams(g, (run_words + 1) // 2)
+    n = max(0, len(g) - run_words + 1)
+    least, anchor = h[:n].copy(), np.arange(n)
+    for j in range(1, run_words - (run_words + 1) // 2 + 1):
+        less = np.flatnonzero(h[j:j + n] <= least)
+        least[less], anchor[less] = h[less + j], less + j
+    whole = np.flatnonzero(np.repeat(words.bounds[1:], np.diff(words.bounds))[:n] >= np.arange(n) + run_words)  # ends in its text
+    return g, words.bounds, whole, anchor[whole], h
+
+
+def piece_table(docs: DataFrame, run_words: int) -> DataFrame:
+    """(doc_id, twin: digest of the whole text, digest: the anchor's, piece: digest of its piece, at, lead: words before the anchor, n): all pieces."""
 
     def run(batches):
         for batch in slices(batches):
-            owner, at, n, digest = cut_column(batch.column("text"))
-            if len(owner):
-                heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                twin = np.repeat(np.add.reduceat(mix(digest + at.astype(np.uint64)), heads), np.diff(np.concatenate([heads, [len(owner)]])))
+            g, bounds, first, anchor, h = anchored(batch.column("text"), run_words)
+            if len(first):
+                heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+                start, n, anchor = first[heads], np.diff(np.append(heads, len(first))), anchor[heads]
+                owner = np.searchsorted(bounds, start, side="right") - 1
+                piece = mix(np.add.reduceat(mix(grams(g, run_words)[first] + (first - np.repeat(start, n)).astype(np.uint64)), heads) + n.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(owner)), pa.array(twin.view(np.int64)), pa.array(digest.view(np.int64)),
-                     pa.array(at, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "twin", "digest", "at", "n"])
+                    [batch.column("doc_id").take(pa.array(owner)), pa.array(twins(batch.column("text"))[owner]), pa.array(h[anchor].view(np.int64)),
+                     pa.array((mix(piece + (anchor - start).astype(np.uint64))).view(np.int64)), pa.array(start - bounds[owner], pa.int32()),
+                     pa.array(anchor - start, pa.int32()), pa.array(n + run_words - 1, pa.int32())], ["doc_id", "twin", "digest", "piece", "at", "lead", "n"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, twin long, digest long, at int, n int")
+    return texts(docs).mapInArrow(run, "doc_id long, twin long, digest long, piece long, at int, lead int, n int")
 
 
-def duplicate_spans(docs: DataFrame, run_words: int = RUN) -> DataFrame:
-    """One row a duplicate span: doc_id, twin, start_word, end_word (behind it), n_words, and where its first chunk first occurred."""
-    chunks = written(chunk_table(docs), "chunks")
+def with_firsts(rows: DataFrame, *more) -> DataFrame:
+    """`rows` whose digest has two places or more, with the first place, whether it is the row's own, and the aggregates `more`."""
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("at").alias("p"), F.col("twin").alias("t"), F.col("doc_id"))
-    firsts = written(chunks.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
-                     .select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.p").alias("first_word"), F.col("first.t").alias("first_twin")), "firsts")
-    later = chunks.join(firsts, "digest").where("not (doc_id <=> first_doc_id and at = first_word and twin = first_twin)")
-    # a document's chunks, in order; at most as many as it has
-    ordered = later.select("doc_id", "twin", "at", "n", "first_doc_id", "first_word").repartition("doc_id", "twin").sortWithinPartitions("doc_id", "twin", "at")
+    firsts = written(rows.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("first"), *more).where("times > 1")
+                     .select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.p").alias("first_word"), F.col("first.t").alias("first_twin"),
+                             *[c for c in ("mixed",) if more]), "firsts")
+    return rows.join(firsts, "digest").withColumn("own", F.expr("doc_id <=> first_doc_id and at = first_word and twin = first_twin"))
+
+
+def window_table(docs: DataFrame, anchors: DataFrame, run_words: int) -> DataFrame:
+    """(doc_id, twin, digest, at): the windows of the anchors, given as (doc_id, twin, place)."""
+    places = (anchors.groupBy("doc_id", "twin").agg(F.collect_set("place").alias("places"))
+              .select(F.col("doc_id").alias("_id"), F.col("twin").alias("_twin"), "places"))
+    places = written(places, "places")
+    places = F.broadcast(places) if small_enough(places, 200_000) and small_enough(anchors, 3_000_000) else places
+
+    def named(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(twins(batch.column("text"))), batch.column("text")], ["doc_id", "twin", "text"])
+
+    def run(batches):
+        for batch in slices(batches):
+            g, bounds, first, anchor, _ = anchored(batch.column("text"), run_words)
+            places = batch.column("places")
+            shared = np.zeros(len(g), bool)
+            shared[np.repeat(bounds[:-1], places.value_lengths().to_numpy()) + places.flatten().to_numpy()] = True
+            first = first[shared[anchor]]
+            if len(first):
+                owner = np.searchsorted(bounds, first, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(owner)), batch.column("twin").take(pa.array(owner)), pa.array(grams(g, run_words)[first].view(np.int64)),
+                     pa.array(first - bounds[owner], pa.int32())], ["doc_id", "twin", "digest", "at"])
+
+    whole = texts(docs).mapInArrow(named, "doc_id long, twin long, text string")
+    joined = whole.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("twin") == F.col("_twin"))).select("doc_id", "twin", "text", "places")
+    return joined.mapInArrow(run, "doc_id long, twin long, digest long, at int")
+
+
+def duplicate_spans(docs: DataFrame, run_words: int = RUN) -> DataFrame:
+    """One row a duplicate span: doc_id, twin, start_word, end_word (behind it), n_words, and where its first piece or window first occurred."""
+    pieces = with_firsts(written(piece_table(docs, run_words), "pieces"), (F.min("piece") != F.max("piece")).alias("mixed"))
+    pieces = written(pieces.where("mixed or not own").select("doc_id", "twin", "at", "lead", "n", "mixed", "first_doc_id", "first_word"), "shared")
+    anchors = pieces.where("mixed").select("doc_id", "twin", (F.col("at") + F.col("lead")).alias("place"))
+    windows = with_firsts(written(window_table(docs, anchors, run_words), "windows")).withColumn("n", F.lit(run_words))
+    columns = ["doc_id", "twin", "at", "n", "first_doc_id", "first_word"]
+    later = pieces.where("not mixed").select(columns).unionByName(windows.where("not own").select(columns))
+    # a document's pieces and windows, in order; at most as many as it has words
+    ordered = later.repartition("doc_id", "twin").sortWithinPartitions("doc_id", "twin", "at")
 
     def join(batches):
         held = None
@@ -101,7 +181,7 @@ def duplicate_spans(docs: DataFrame, run_words: int = RUN) -> DataFrame:
             out = []
             for doc, twin, at, n, first, word in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if held and held[0] == doc and held[1] == twin and held[3] >= at:
-                    held[3] = max(held[3], at + n)  # the next chunk, or the same of a repeated row
+                    held[3] = max(held[3], at + n)  # the next one, or the same of a repeated row
                 else:
                     out.append(held)
                     held = [doc, twin, at, at + n, first, word]
@@ -109,7 +189,7 @@ def duplicate_spans(docs: DataFrame, run_words: int = RUN) -> DataFrame:
         yield from rows([held])
 
     def rows(spans):
-        spans = [s for s in spans if s and s[3] - s[2] >= run_words]
+        spans = [s for s in spans if s]
         if spans:
             doc, twin, start, end, first, word = zip(*spans)
             yield pa.RecordBatch.from_arrays(
@@ -146,8 +226,7 @@ def drop_spans(docs: DataFrame, run_words: int = RUN) -> DataFrame:
 
     def shorter(text, by_twin):
         own = dict(by_twin)
-        owner, at, _, digest = cut_column(pa.array([text]))
-        twin = int(mix(digest + at.astype(np.uint64)).sum(dtype=np.uint64).view(np.int64)) if len(owner) else None
+        twin = int(twins(pa.array([text]))[0])
         return without_spans(text, [(s["start_word"], s["end_word"]) for s in own[twin]]) if twin in own else text
 
     per_doc = F.broadcast(per_doc) if small_enough(per_doc, 200_000) else per_doc

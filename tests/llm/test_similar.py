@@ -131,6 +131,30 @@ def test_shared_passages_are_found_and_clean_documents_left_alone(spark, odd_doc
     assert whole.schema == odd_docs.schema and [r["doc_id"] for r in whole.where("doc_id = 7").collect()] == [7, 7], "equal rows are one document"
 
 
+def test_every_repeated_passage_is_cut_to_its_ends(spark):
+    """Many passages of 51 words and of just RUN words, also such as other documents hold parts of, against brute force."""
+    r = random.Random(7)
+    fresh = lambda k: [f"u{r.randrange(10**9)}" for _ in range(k)]
+    bodies = []
+    for i in range(400):
+        p = fresh(51 if i % 4 else chunks.RUN)
+        bodies += [p[10:35], fresh(20) + p + fresh(20), fresh(9) + p + fresh(3)] if i % 2 else [fresh(20) + p + fresh(20), p + fresh(r.randint(0, 40)), p[:chunks.RUN - 1] + fresh(5)]
+    bodies.append(["on", "and"] * 30)
+    want, seen = {}, set()
+    for d, body in enumerate(bodies):
+        for i in range(len(body) - chunks.RUN + 1):
+            window = tuple(body[i:i + chunks.RUN])
+            if window in seen:
+                want.setdefault(d, set()).update(range(i, i + chunks.RUN))
+            seen.add(window)
+    got = {}
+    for s in chunks.duplicate_spans(spark.createDataFrame([(d, " ".join(b)) for d, b in enumerate(bodies)], "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(s["doc_id"], set()).update(range(s["start_word"], s["end_word"]))
+        body, first = bodies[s["doc_id"]], bodies[s["first_doc_id"]]
+        assert body[s["start_word"]:][:chunks.RUN] == first[s["first_word"]:][:chunks.RUN]
+    assert got == want and len(want) == 601
+
+
 def test_a_whole_copy_goes(spark):
     text = " ".join(f"q{i}" for i in range(90))
     docs = spark.createDataFrame([(2, text, 5), (1, text, 5), (3, text + " more words of its own", 5)], "doc_id long, text string, n_chars long")
