@@ -7,6 +7,9 @@ memory of deficits, so what each queue has been served by the end of any window
 documents by it; deficits thereby carry across windows and partitions, and no ids are shuffled. A queue that runs dry leaves its share to
 the others in proportion. Only the last window of all is not full.
 
+There is no bound on sources: each is a queue of its own, and the schedule holds a few integers of each. With more of them a task keeps fewer
+windows of it, so time grows with the sources, but the result does not depend on that.
+
 Without given targets the weights are the queues' own totals, so that every window has the corpus's mixture.
 
 Defined results: a null text is empty (its end id alone); a null source shares the queue of the empty name; rows that repeat are packed as
@@ -27,7 +30,7 @@ from .base import texts, written
 from .tokens import END_ID, encoded
 
 WINDOW = 4096
-MAX_QUEUES = 1024
+KEPT = 1_000_000
 SHIFT = 64
 
 
@@ -54,7 +57,7 @@ class Schedule:
     def taken(self, window: int) -> tuple[list[int], list[int]]:
         """Ids of each queue in the windows before this one, and the same of all earlier queues together."""
         if window not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) > max(4, KEPT // len(self.totals)):
                 self.known.clear()
             want, n = min(self.all, window * self.window), len(self.totals)
             low, high = -1, max((((t << SHIFT) // w) for t, w in zip(self.totals, self.weights) if t), default=0) + 1
@@ -92,22 +95,17 @@ class Schedule:
             if stop > begin:
                 yield begin, stop - begin, window, until[queue] - before[queue] + begin - first[queue]
                 begin, self.near[queue] = stop, window
-            window += 1
-
-
-def queued(docs: DataFrame, max_queues: int) -> DataFrame:
-    """doc_id, text and the queue: the source, or one of `max_queues` hash classes of sources where there are more sources."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    if docs.select(source.alias("s")).distinct().limit(max_queues + 1).count() > max_queues:
-        source = F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string")
-    return docs.select("*").withColumn("source", source)
+                window += 1
+            else:  # a queue of few ids: not in each window
+                window = self.rank(queue, begin) // self.window
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: dict[str, float] | None = None, end_id: int = END_ID,
-         max_queues: int = MAX_QUEUES, with_ids: bool = False) -> DataFrame:
+         max_queues: int | None = None, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, and the ids on request.
 
-    `targets` are shares by source; a source without one is served as if it had a thousandth of the smallest.
+    `targets` are shares by source; a source without one is served as if it had a thousandth of the smallest. `max_queues` has no effect any more:
+    every source is a queue of its own.
     """
 
     def lay(batches):
@@ -122,12 +120,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: dict[st
                  pa.array([raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())],
                 ["doc_id", "queue", "part", "before", "n", "ids"])
 
-    rows = texts(queued(docs, max_queues), "source").withColumn("part", F.spark_partition_id())
+    rows = texts(docs.withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit(""))), "source").withColumn("part", F.spark_partition_id())
     laid = written(rows.mapInArrow(lay, "doc_id long, queue string, part int, before long, n long, ids binary"), "queues")
     # a row for each queue in each part: its place in the whole queue
     sums = laid.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     places = written(sums.select("queue", "part", "n", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base")), "places")
-    totals = {r["queue"]: int(r["n"]) for r in places.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # max_queues rows at most
+    totals = {r["queue"]: int(r["n"]) for r in places.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row a source
     names = sorted(totals)
     if targets:
         least = min(v for v in targets.values() if v > 0)

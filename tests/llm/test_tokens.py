@@ -117,6 +117,27 @@ def test_pack_fills_windows_with_the_mixture(odd_docs, no_docs, library):
     assert mixture.pack(odd_docs, WORD, 64, max_queues=2).agg({"length": "sum"}).first()[0] == sum(len(b) // 4 * k for (_, b), k in whole.items())
 
 
+def test_every_source_is_a_queue_of_its_own(spark, odd_docs):
+    """However many sources there are, targets hold and each window has each source's share."""
+    whole = lambda **k: sorted(map(str, mixture.pack(odd_docs, WORD, 64, {"s1": 0.75, "s2": 0.25}, **k).collect()))
+    assert whole(max_queues=2) == whole()
+    sources, each = 1100, 14
+    docs = spark.createDataFrame([(i, "a " * (each - 1), f"s{i:04}") for i in range(sources)] + [(5000, "a " * (each * sources - 1), "hot")], "doc_id long, text string, source string")
+    served = defaultdict(Counter)
+    for r in mixture.pack(docs, WORD, 4400).collect():
+        served[r["sequence_id"]][r["queue"]] += r["length"]
+    assert len(served) == 7 and all(sum(c.values()) == 4400 and abs(c["hot"] - 2200) <= 1101 for c in served.values())
+    assert {(q, n) for c in served.values() for q, n in c.items() if q != "hot"} == {(f"s{i:04}", 2) for i in range(sources)}
+
+
+def test_targets_hold_beyond_1024_sources(spark):
+    docs = spark.createDataFrame([(i, "a", f"s{i:04}") for i in range(1030)] + [(5000, "a " * 400, "x"), (5001, "a " * 400, "y")], "doc_id long, text string, source string")
+    first = Counter()
+    for r in mixture.pack(docs, WORD, 200, {"x": 0.75, "y": 0.25}).where("sequence_id = 0").collect():
+        first[r["queue"]] += r["length"]
+    assert sum(first.values()) == 200 and abs(first["x"] - 3 * first["y"]) <= 4 and first["x"] > 100
+
+
 def test_counts_are_the_librarys(odd_docs, no_docs):
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
