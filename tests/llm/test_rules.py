@@ -62,6 +62,32 @@ def test_cutoffs_keep_their_promise(spark):
     assert share["en", 0] == 0 and share["en", 1] > 0.99 and share[None, 1] == 1
 
 
+def measured_rows(spark, rows):
+    """From (lang, quality, symbols in 1,000 characters, repeated words in 1,000)."""
+    return spark.createDataFrame([(i, lang, q, 1000, 1000, sym, 0, rep, 10, 0, 0, False) for i, (lang, q, sym, rep) in enumerate(rows)],
+                                 "doc_id long, lang string, quality int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+                                 "n_lines long, n_capitals long, n_marks long, base_failed boolean")
+
+
+def test_few_labels_give_joint_cutoffs(spark):
+    """300 good labels in each of four languages are enough, and stray languages don't matter."""
+    rows = [(lang, int(i < 300), 5 if i < 300 else 300, 0) for lang in ("en", "fr", "de", "es") for i in range(340)] + [(f"x{i}", 1, 0, 0) for i in range(30)]
+    df = measured_rows(spark, rows)
+    limits = quality.joint_cutoffs(df, df.select("doc_id", "quality"))
+    assert sorted((x["stratum"], x["max_symbols"], x["max_repeats"]) for x in limits.collect()) == [(s, 0.25, None) for s in ("de", "en", "es", "fr")]
+    kept = quality.judged(df, limits).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    assert {x["quality"]: x["k"] for x in kept} == {0: 0, 1: 1}
+
+
+def test_joint_cutoffs_bound_all_rules_together(spark):
+    """Two rules reject 0.8 % and 1.5 % of the good documents: each is sure to be below 2 %, both together are not."""
+    good = [("en", 1, 300, 0)] * 24 + [("en", 1, 0, 300)] * 45 + [("en", 1, 0, 0)] * 2931
+    for bad, want in (([("en", 0, 300, 0)] * 50 + [("en", 0, 0, 300)] * 40, (0.25, None)), ([("en", 0, 300, 0)] * 50 + [("en", 0, 0, 600)] * 40, (0.25, 0.5))):
+        df = measured_rows(spark, good + bad)
+        limits = quality.joint_cutoffs(df, df.select("doc_id", "quality")).collect()
+        assert [(x["max_symbols"], x["max_repeats"]) for x in limits] == [want]
+
+
 def test_kept_documents_keep_their_columns(odd_docs, no_docs, labels):
     kept = quality.keep_good(odd_docs, labels)
     assert kept.schema == odd_docs.schema and sorted(r["doc_id"] for r in kept.collect()) == [5]
