@@ -74,4 +74,26 @@ best AS (SELECT page_id, arg_max(rule, n) AS rule, arg_max(verdict, n) AS verdic
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
 """
 
-ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op3_quality_rules": OP3, "op9_pivot_index": OP9, "op10_url_trie": OP10}
+# crc32 byte by byte over a table of 256; features are single words
+OP13 = fr"""
+WITH steps AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+               FROM range(256) r(i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT rid, unnest(w) AS w FROM d), bw AS (SELECT unnest(w) AS w FROM b),
+words AS (SELECT w, list_transform(range(0, octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT) AS bytes
+          FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM words, steps),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN hashed USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM bw JOIN hashed USING (w) GROUP BY bucket),
+gain AS (SELECT k AS bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0)::BIGINT FROM s) + 10000))::DOUBLE
+                                             / ((coalesce(s.n, 0) + 1) * ((SELECT coalesce(sum(n), 0)::BIGINT FROM t) + 10000))))::BIGINT AS g
+         FROM range(10000) r(k) LEFT JOIN s ON s.bucket = k LEFT JOIN t ON t.bucket = k),
+weighed AS (SELECT rid, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY rid),
+scored AS (SELECT rid, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+           FROM d LEFT JOIN weighed USING (rid)),
+placed AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS fit FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * fit // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (rid)
+"""
+
+ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op3_quality_rules": OP3, "op9_pivot_index": OP9, "op10_url_trie": OP10, "op13_importance_resampling": OP13}

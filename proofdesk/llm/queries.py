@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunks, huffman, jaccard, mixture, piececount, pivots, quality, toxicity, urls
+from . import bpe, chunks, huffman, importance, jaccard, mixture, periods, pii, piececount, pivots, quality, toxicity, urls
 from .oracle import ORACLE_SQL  # noqa: F401
 from .tokens import tokenizer_file
 
@@ -57,4 +57,17 @@ def op10_url_trie(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_huffman, op2_ngram_jaccard, op3_quality_rules, op4_chunk_dedup, op5_toxicity, op6_mixture_packing, op7_token_counts, op8_backtracking_bpe, op9_pivot_index, op10_url_trie)}
+def op11_personal_data(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periods.find_runs(table(spark, sf_dir, "documents"), rewrite=periods.repeated_tails).drop("runs")
+
+
+def op13_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_huffman, op2_ngram_jaccard, op3_quality_rules, op4_chunk_dedup, op5_toxicity, op6_mixture_packing, op7_token_counts,
+                                   op8_backtracking_bpe, op9_pivot_index, op10_url_trie, op11_personal_data, op12_periodic_runs, op13_importance_resampling)}
