@@ -1,6 +1,7 @@
 """What the operators share: the shared folder, written tables, ragged word arrays and hashes of words."""
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -56,6 +57,23 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(total, total[start] + limit, side="right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed pages to the system: a worker process serves one operator after the other, and allocators keep what an earlier one used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL(None)
+    except OSError:
+        return None
 
 
 class Memo(dict):
@@ -141,17 +159,9 @@ def listed(column: pa.Array) -> list:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-WORD_HASHES = Memo(word_hash)
-
-
 def word_hashes(words: Words) -> np.ndarray:
     """The 64-bit hash of each distinct word."""
-    memo = WORD_HASHES.alone()
-    return np.fromiter((memo[w] for w in words.distinct), dtype=np.uint64, count=len(words.distinct))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.distinct), dtype=np.uint64, count=len(words.distinct))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -258,10 +258,20 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents, with all their columns, but of each component only the one with the smallest doc_id. Rows without an id stay."""
+    """The documents, with all their columns, but of each component only the one with the smallest doc_id.
+
+    Rows without an id stay. Rows that share an id are one document: the one whose text has the smallest digest stays, of equal texts the first by the row's
+    JSON form. A row travels as one value, so no column of the caller's can clash with those used here.
+    """
     found = written(near_documents(docs, n, num, den), "near")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(F.broadcast(gone) if small_enough(gone) else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    bounded = lambda ids: F.broadcast(ids) if small_enough(ids) else ids
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(bounded(gone), "id", "left_anti")
+    many = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    if many.isEmpty():
+        return kept.select("row.*")
+    many = bounded(many)
+    order = F.struct(F.xxhash64("row.text"), F.to_json("row"))
+    again = kept.join(many, "id", "left_semi").groupBy("id").agg(F.min_by("row", order).alias("row"))
+    return kept.join(many, "id", "left_anti").select("row.*").unionByName(again.select("row.*"))

@@ -167,9 +167,11 @@ def rate(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: flo
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """The documents that are kept, with all their columns: measured once for the cutoffs and once where they are read, so no text is shuffled."""
-    measured = written(measures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), "doc_id", "lang"), "measures")
-    limits = written(joint_cutoffs(measured, labels, risk, confidence), "cutoffs")
+    """The documents that are kept, with all their columns: labelled ones are measured for the cutoffs, and all are measured once where they are read."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    ids = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    holdout = source.join(F.broadcast(ids) if small_enough(ids) else ids, "doc_id", "left_semi")
+    limits = written(joint_cutoffs(written(measures(holdout, "doc_id", "lang"), "measures"), labels, risk, confidence), "cutoffs")
     columns = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "lang", "text")
     return judged(measures(whole, "_row", "lang"), limits).where("kept").select("_row.*")

@@ -7,7 +7,7 @@ change of the score is penalised, so that mentioning a group does not make a tex
 
 Defined results: a null text is empty; an empty text gets the score of no feature; labels other than 0 and 1 are ignored, and of labels that
 contradict each other the toxic one counts; if only one class is labelled, the scores lean to it without regard to the text; without any label each score is 0.
-Repeated rows stay; an empty table gives no rows; further columns are not read.
+Repeated rows stay; of texts that share a labelled id, the one with the smallest digest is learnt from; an empty table gives no rows; further columns are not read.
 """
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .base import Memo, Words, slices, texts, written
 
@@ -56,7 +57,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
              .where(~held_out()))
     order = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # 2 * sample ids at most are broadcast
+    rows = (texts(docs).join(F.broadcast(chosen), "doc_id")  # 2 * sample ids at most are broadcast
+            .groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("r")).select("doc_id", "r.text", "r.toxic"))
 
     def run(batches):
         for batch in slices(batches):
@@ -173,14 +175,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns, whatever their names: a row travels as one value beside its text."""
     weights, bias = fit(docs, labels, **options)
-    names = docs.columns
 
     def run(batches):
         score = scorer(weights, bias)
-        for batch in slices(batches, "_text"):
-            rows = batch.filter(pa.array(score(batch.column("_text")) < 0.5))
-            yield pa.RecordBatch.from_arrays([rows.column(c) for c in names], names)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(score(batch.column("text")) < 0.5))], ["row"])
 
-    return docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
