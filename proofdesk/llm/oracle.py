@@ -17,8 +17,19 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 SELECT doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id)
 """
 
-RATIOS = " UNION ALL ".join(f"SELECT rid, '{rule}' AS rule, coalesce({ratio.replace(' / ', '::DOUBLE / nullif(')}, 0), 0) AS value FROM m"
-                            for rule, ratio in quality.RULES.items())
+RATIOS = ", ".join(f"coalesce({ratio.replace(' / ', '::DOUBLE / nullif(')}, 0), 0)" for ratio in quality.RULES.values())
+NEVER = len(quality.CUTOFFS) + 1
+ENOUGH = f"ln({quality.CONFIDENCE} / {len(quality.RULES)} / greatest(1, (SELECT count(*) FROM state0)))"
+TAIL = f"""ln((SELECT sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END
+                            + i * ln({quality.RISK}) + (n - i) * ln(1 - {quality.RISK}))) FROM (SELECT unnest(range(0, k + 1)) AS i)))"""
+# one rule after the other: what it adds to what the rules before it reject
+TURNS = ",\n".join(f"""every{j} AS (SELECT lang, n, level, {ENOUGH} - ln(list_product(choices[1:{j + 1}]) / list_max(choices[1:{j + 1}])) AS enough, sum(good)::BIGINT AS good, sum(bad) AS bad
+  FROM (SELECT s.*, good, bad, CASE WHEN len(list_filter(range(1, {len(quality.RULES) + 1}), lambda i: levels[i] >= limits[i])) > 0 THEN {NEVER} ELSE levels[rules[{j + 1}]] END AS level
+        FROM labelled r JOIN state{j} s USING (lang) WHERE len(rules) > {j}) GROUP BY ALL),
+best{j} AS (SELECT lang, min(level) AS level FROM (SELECT *, (sum(good) OVER (PARTITION BY lang ORDER BY level DESC))::BIGINT AS k FROM every{j})
+  WHERE bad > 0 AND level BETWEEN 1 AND {NEVER - 1} AND k < n * {quality.RISK} AND {TAIL} <= enough GROUP BY lang),
+state{j + 1} AS (SELECT s.* REPLACE (list_transform(range(1, {len(quality.RULES) + 1}), lambda i: CASE WHEN i = rules[{j + 1}] AND level IS NOT NULL THEN level ELSE limits[i] END) AS limits)
+  FROM state{j} s LEFT JOIN best{j} b USING (lang))""" for j in range(len(quality.RULES)))
 OP3 = fr"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, {WORDS} AS w FROM d),
@@ -33,18 +44,17 @@ m AS (SELECT d.rid, doc_id, lang, len(w) AS n_words, length(regexp_replace(text,
              length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks
       FROM d JOIN w USING (rid) LEFT JOIN c ON c.rid = d.rid LEFT JOIN l ON l.rid = d.rid),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-ratios AS ({RATIOS}),
+levels AS (SELECT rid, list_transform([{RATIOS}], lambda v: len(list_filter({quality.CUTOFFS}::DOUBLE[], lambda c: v > c))) AS levels FROM m),
 good AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
-grid AS (SELECT unnest({quality.CUTOFFS}::DOUBLE[]) AS cutoff),
-tried AS (SELECT lang, rule, cutoff, sum(good) AS n, coalesce(sum(good) FILTER (value > cutoff), 0)::BIGINT AS k, coalesce(sum(1 - good) FILTER (value > cutoff), 0) AS caught
-          FROM f JOIN good USING (doc_id) JOIN ratios USING (rid), grid WHERE NOT base_failed GROUP BY ALL),
-sure AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END
-                               + i * ln({quality.RISK} / {len(quality.RULES)}) + (n - i) * ln(1 - {quality.RISK} / {len(quality.RULES)})))
-                    FROM (SELECT unnest(range(0, k + 1)) AS i)) AS p
-         FROM tried WHERE caught > 0 AND n > 0 AND k < n * {quality.RISK} / {len(quality.RULES)}),
-best AS (SELECT lang, rule, arg_max(cutoff, caught * 1000.0 + cutoff) AS cutoff FROM sure
-         WHERE p <= {quality.CONFIDENCE} / ({len(quality.RULES) * len(quality.CUTOFFS)} * (SELECT count(DISTINCT lang) FROM d)) GROUP BY lang, rule),
-bad AS (SELECT DISTINCT rid FROM ratios JOIN f USING (rid) JOIN best USING (lang, rule) WHERE value > cutoff)
+labelled AS (SELECT lang, levels, sum(good) AS good, sum(1 - good) AS bad FROM f JOIN good USING (doc_id) JOIN levels USING (rid) WHERE NOT base_failed GROUP BY ALL),
+caught AS (SELECT lang, rule, sum(bad) AS caught, 1 + count(DISTINCT levels[rule]) AS choices FROM labelled, range(1, {len(quality.RULES) + 1}) r(rule)
+           WHERE bad > 0 AND levels[rule] > 0 GROUP BY ALL),
+sizes AS (SELECT lang, sum(good)::BIGINT AS n FROM labelled GROUP BY lang HAVING sum(good) >= ln({quality.CONFIDENCE} / {len(quality.RULES)}) / ln(1 - {quality.RISK})),
+state0 AS (SELECT lang, n, list(rule ORDER BY caught DESC, rule) AS rules, list(choices::DOUBLE ORDER BY caught DESC, rule) AS choices,
+                  list_transform(range(0, {len(quality.RULES)}), lambda i: {NEVER}::BIGINT) AS limits FROM caught JOIN sizes USING (lang) GROUP BY lang, n),
+{TURNS},
+bad AS (SELECT rid FROM f JOIN levels USING (rid) JOIN state{len(quality.RULES)} USING (lang)
+        WHERE len(list_filter(range(1, {len(quality.RULES) + 1}), lambda i: levels[i] >= limits[i])) > 0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM f
 """
 

@@ -1,17 +1,16 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
-Every rule is a ratio of a document's counts and rejects above a cutoff. Labelled documents are the holdout: in each stratum (lang) each cutoff
-of each rule is a hypothesis that more than RISK / rules of the good documents would be rejected. It is refuted by the exact binomial tail of
-the good documents that were rejected, at CONFIDENCE over all hypotheses (Bonferroni). Of a rule's refuted cutoffs the one that rejects
-most bad documents is chosen, the loosest where several do; a rule without one never rejects in that stratum. So with probability
-1 - CONFIDENCE no stratum loses more than RISK of its good documents. These are the cutoffs of `rate`, which its SQL fixes.
-
-`keep_good`, the pipeline's stage, makes the same promise with less waste (`joint_cutoffs`). The rules of a stratum are taken in turn, by the bad documents
-they catch, and what they reject together is tested at RISK. Only cutoffs at which a rule catches further bad documents are candidates; which ones
-these are and the order depend on bad documents alone, so the good ones are still a fresh sample. Rejections grow with tightening, so a false refutation
-of any choice is one of a loosest choice that is too tight too. Choices of which none is looser than another are at most the product of the rules'
-numbers of choices, divided by the largest. So rule j is tested at CONFIDENCE / (rules * strata * that number over the first j rules), which is 1 for the
-first rule: with four languages 297 good documents of which none is rejected give it a cutoff. Strata whose good labels could never give one are not counted.
+Every rule is a ratio of a document's counts and rejects above a cutoff. Labelled documents are the holdout: in each stratum (lang) the rules are taken in turn,
+by the bad documents they catch, and what they reject together is tested at RISK, by the exact binomial tail of the good documents that were rejected. So with
+probability 1 - CONFIDENCE no stratum loses more than RISK of its good documents. A rule without a cutoff never rejects in that stratum.
+
+Only cutoffs at which a rule catches further bad documents are candidates; which ones these are and the order depend on bad documents alone, so the good ones are
+still a fresh sample. Rejections grow with tightening, so a false refutation of any choice is one of a loosest choice that is too tight too. Choices of which none is
+looser than another are at most the product of the rules' numbers of choices, divided by the largest. So rule j is tested at CONFIDENCE / (rules * strata * that number
+over the first j rules), which is 1 for the first rule: with four languages 297 good documents of which none is rejected give it a cutoff. Strata whose good
+labels could never give one are not counted.
+
+`cutoffs` is the plain alternative: each rule bounded by RISK / rules on its own, with Bonferroni over all rules, cutoffs and strata.
 
 Defined results: words are split by ASCII white space; a null text has no words and fails the base; null languages are a stratum of their own;
 labels of one document that contradict each other count as good; labels other than 0 and 1 and labels without a document are ignored;
@@ -162,7 +161,7 @@ def rate(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: flo
     """doc_id, the counts, base_failed and kept of every document."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     measured = written(measures(source, "doc_id", "lang"), "measures")
-    limits = written(cutoffs(measured, labels, risk, confidence), "cutoffs")
+    limits = written(joint_cutoffs(measured, labels, risk, confidence), "cutoffs")
     return judged(measured, limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
