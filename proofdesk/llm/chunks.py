@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_bounded
 from .base import Words, mix, ragged, slices, written
 
 RUN = 16
@@ -39,6 +40,7 @@ SLICE = 2 << 20
 FILTER_BITS = 1 << 29
 BITS_OF_BIN = 17
 FLUSH = 1 << 20
+LISTS_BYTES = 32 << 20
 ODD = 0x9E3779B97F4A7C15
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -299,10 +301,12 @@ def drop_spans(docs: DataFrame, run_words: int = RUN) -> DataFrame:
         return pa.array([None if t is None else without_spans(t, [(s["start_word"], s["end_word"]) for s in x]) for t, x in zip(text.to_pylist(), spans.to_pylist())],
                         pa.string())
 
-    rows = identified(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # the lists travel where they are measured small, else the rows do, each with its text once
+    lists = broadcast_if_bounded(written(lists, "lists"), max_bytes=LISTS_BYTES)
+    rows = identified(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).drop("text")
     joined = rows.join(lists, ["doc_id", "twin"], "left")
     found = F.col("spans").isNotNull()
-    done = joined.withColumn("cut", cut(F.when(found, F.col("text")), F.col("spans")))
+    done = joined.withColumn("cut", cut(F.when(found, F.col("row.text").cast("string")), F.col("spans")))
     left = ~found | (F.length(F.translate("cut", " \t\n\x0b\x0c\r", "")) > 0)
     kinds, text = dict(docs.dtypes), F.when(found, F.col("cut").cast(docs.schema["text"].dataType)).otherwise(F.col("row.text"))
     new = {"text": text, "n_chars": F.char_length(text).cast(kinds.get("n_chars", "long"))}
