@@ -154,7 +154,7 @@ def shingle_sets(df: DataFrame, text: str, *keep: str, n: int = SHINGLE_WORDS, o
     return listed.select(*keep, F.coalesce(F.array_distinct(grams), F.array().cast("array<string>")).alias(out))
 
 
-def _named(value: Column, body) -> Column:
+def named(value: Column, body) -> Column:
     """`body` of a value that is computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), 0)
 
@@ -163,7 +163,7 @@ def jaccard(a: Column, b: Column) -> Column:
     """Shared part of the distinct tokens of two texts; 0 where either has none."""
     def of(x, y):
         return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
-    return _named(F.array_distinct(words(a)), lambda x: _named(F.array_distinct(words(b)), lambda y: of(x, y)))
+    return named(F.array_distinct(words(a)), lambda x: named(F.array_distinct(words(b)), lambda y: of(x, y)))
 
 
 def shingles(c: Column, n: int = SHINGLE_WORDS) -> Column:
@@ -171,9 +171,9 @@ def shingles(c: Column, n: int = SHINGLE_WORDS) -> Column:
     def of(t):
         some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
         return F.when(F.size(t) >= n, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
-    return _named(words(c), of)
+    return named(words(c), of)
 
 
 def containment(a: Column, b: Column, n: int = SHINGLE_WORDS) -> Column:
     """Share of a's distinct shingles that b has; 0 where a has none."""
-    return _named(shingles(a, n), lambda x: F.when(F.size(x) > 0, F.size(F.array_intersect(x, shingles(b, n))) / F.size(x)).otherwise(F.lit(0.0)))
+    return named(shingles(a, n), lambda x: F.when(F.size(x) > 0, F.size(F.array_intersect(x, shingles(b, n))) / F.size(x)).otherwise(F.lit(0.0)))

@@ -4,9 +4,6 @@ A query's candidates are at most `CANDIDATES`, so packing works on one bounded a
 """
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +14,8 @@ from .extract import WINDOW_BITS, pack_ordinal
 MAX_CONTEXT_BYTES = 64 << 20
 BUDGET_WORDS = 1000
 GAP = "[...]"
+PARTS = "array<struct<i:int,s:int,t:string>>"
+ATTACH_LIMIT = 1_000_000
 
 
 def _head():
@@ -36,7 +35,7 @@ def passage_units(entries: DataFrame) -> DataFrame:
                     F.concat("head", F.lit(" "), "window").alias("text"))
 
 
-def attach(candidates: DataFrame, units: DataFrame, bounded_rows: int, limit: int = 1_000_000) -> DataFrame:
+def attach(candidates: DataFrame, units: DataFrame, bounded_rows: int, limit: int = ATTACH_LIMIT) -> DataFrame:
     """Look the candidates' columns up in `units`. `bounded_rows` (queries x k) decides broadcast or shuffle."""
     side = F.broadcast(candidates) if bounded_rows <= limit else candidates
     return units.join(side, "unit_ord")
@@ -64,74 +63,61 @@ def pack_answers(ranked: DataFrame, budget: int = BUDGET_WORDS) -> DataFrame:
 
 # ---------- passages ----------
 
-def _span(k: int, n: int) -> range:
-    """Sentences of window k in an answer of n sentences."""
-    if n <= T.WINDOW_SIZE:
-        return range(n)
-    return range(k * T.WINDOW_STRIDE, min(k * T.WINDOW_STRIDE + T.WINDOW_SIZE, n))
-
-
-class _Excerpt:
-    """The sentences of one entry picked so far, and the words they take once rendered."""
-
-    def __init__(self, head: str, sents: list[str]):
-        self.head, self.sents = head, sents
-        self.sizes = [len(s.split()) for s in sents]
-        self.windows: set[int] = set()
-        self.picked: list[int] = []
-        self.words = 0
-
-    def _gaps(self, picked: list[int]) -> int:
-        return sum(b - a > 1 for a, b in zip(picked, picked[1:]))
-
-    def with_windows(self, ks) -> tuple[list[int], int]:
-        picked = list(self.picked)
-        for i in sorted({i for k in ks for i in _span(k, len(self.sents))}):
-            at = bisect_left(picked, i)
-            if at == len(picked) or picked[at] != i:
-                insort(picked, i)
-        size = len(self.head.split()) + sum(self.sizes[i] for i in picked) + self._gaps(picked)
-        return picked, size
-
-    def text(self) -> str:
-        out, last = [], None
-        for i in self.picked:
-            if last is not None and i - last > 1:
-                out.append(GAP)
-            out.append(self.sents[i])
-            last = i
-        return self.head + "\n" + " ".join(out)
-
-    def windows_text(self) -> str:
-        joined = [" ".join(self.sents[i] for i in _span(k, len(self.sents))) for k in sorted(self.windows)]
-        return self.head + "\n" + f" {GAP} ".join(joined)
-
-
-def _n_windows(n: int) -> int:
-    return min(n, 1) if n <= T.WINDOW_SIZE else len(range(0, n - T.WINDOW_SIZE + T.WINDOW_STRIDE, T.WINDOW_STRIDE))
-
-
-def _pack_one(pdf: pd.DataFrame, budget: int, version: int) -> tuple[str, int]:
-    used, excerpts = 0, {}
-    for r in pdf.sort_values("position").itertuples():
-        ex = excerpts.get(r.entry_ord) or _Excerpt(r.head, list(r.sents))
-        near = [k for k in (r.k - 1, r.k, r.k + 1) if 0 <= k < _n_windows(len(ex.sents)) and k not in ex.windows]
-        if not near:
-            continue
-        if version >= 2:
-            picked, size = ex.with_windows(near)
-            extra = size - ex.words
-        else:
-            extra = sum(len(ex.head.split()) + sum(ex.sizes[i] for i in _span(k, len(ex.sents))) for k in near)
-            picked, size = ex.picked, ex.words + extra
-        if used + extra > budget:
-            continue
-        ex.windows.update(near)
-        ex.picked, ex.words = picked, size
-        excerpts.setdefault(r.entry_ord, ex)
-        used += extra
-    blocks = [e.text() if version >= 2 else e.windows_text() for e in excerpts.values()]
-    return "\n\n".join(blocks), used
+def _covers(n, k, i):
+    """Whether window k of an answer of n sentences holds sentence i."""
+    first = k * T.WINDOW_STRIDE
+    return (n <= T.WINDOW_SIZE) | ((i >= first) & (i < first + T.WINDOW_SIZE))
+
+
+def passage_hits(ranked: DataFrame, entries: DataFrame, bounded_rows: int) -> DataFrame:
+    """Each hit with its neighbouring windows (`near`) and the sentences of these alone (`parts`: number, words, text).
+
+    Answers are split once per entry that has a hit; what leaves the join is a few sentences and their count, however long the answer.
+    """
+    hits = ranked.select("query_id", "position", F.shiftright("unit_ord", WINDOW_BITS).alias("unit_ord"), (F.col("unit_ord") % (1 << WINDOW_BITS)).cast("int").alias("k"))
+    wanted = hits.select("unit_ord").distinct()
+    found = entries.withColumnRenamed("entry_ord", "unit_ord").join(F.broadcast(wanted) if bounded_rows <= ATTACH_LIMIT else wanted, "unit_ord", "left_semi")
+    split = found.select("unit_ord", _head().alias("head"), T.sentences(F.col("answer")).alias("sents"))
+    n, size, step = F.size("sents"), T.WINDOW_SIZE, T.WINDOW_STRIDE
+    windows = F.when(n <= size, F.least(n, F.lit(1))).otherwise(F.floor((n - size + 2 * step - 1) / step).cast("int"))
+    near = F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("k") + d), lambda k: (k >= 0) & (k < F.col("windows")))
+    first = F.when(F.col("n") <= size, F.lit(0)).otherwise(F.greatest(F.col("k") - 1, F.lit(0)) * step)
+    last = F.when(F.col("n") <= size, F.col("n")).otherwise(F.least(F.col("n"), (F.col("k") + 1) * step + size))
+    parts = F.transform(F.slice("sents", F.col("first") + 1, F.greatest(F.col("last") - F.col("first"), F.lit(0))),
+                        lambda t, i: F.struct((F.col("first") + i).alias("i"), T.nwords(t).alias("s"), t.alias("t")))
+    rows = attach(hits, split, bounded_rows).withColumns({"n": n, "windows": windows}).withColumns({"first": first, "last": last})
+    return rows.select("query_id", "position", F.col("unit_ord").alias("e"), "head", T.nwords(F.col("head")).alias("hw"), "n", near.alias("near"), parts.alias("parts"))
+
+
+def _total(sizes):
+    return F.aggregate(sizes, F.lit(0), lambda a, b: a + b)
+
+
+def _gaps(picked):
+    """How many neighbours of the sorted sentences are not next to each other."""
+    return _total(F.zip_with(F.slice(picked, 1, F.size(picked) - 1), F.slice(picked, 2, F.size(picked) - 1), lambda a, b: F.when(b["i"] - a["i"] > 1, 1).otherwise(0)))
+
+
+def _pick_sentences(x, block, new):
+    """(what the block holds after the windows `new`, its words): overlapping sentences once, a mark at each gap."""
+    more = F.filter(x["parts"], lambda q: F.exists(new, lambda k: _covers(x["n"], k, q["i"])))
+    picked = F.array_sort(F.array_union(F.coalesce(block["p"], F.array().cast(PARTS)), more))
+    return picked, lambda p: x["hw"] + _total(F.transform(p, lambda q: q["s"])) + _gaps(p)
+
+
+def _pick_windows(x, block, new):
+    """The same where every window is charged and printed on its own, each with the header's words."""
+    def window(k):
+        own = F.filter(x["parts"], lambda q: _covers(x["n"], k, q["i"]))
+        return F.struct(k.alias("i"), (x["hw"] + _total(F.transform(own, lambda q: q["s"]))).alias("s"), F.array_join(F.transform(own, lambda q: q["t"]), " ").alias("t"))
+    return F.array_sort(F.concat(F.coalesce(block["p"], F.array().cast(PARTS)), F.transform(new, window))), lambda p: _total(F.transform(p, lambda q: q["s"]))
+
+
+def _joined(picked):
+    """Sentences in order, the gap mark where some are left out."""
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit("").alias("text"))
+    mark = lambda a, q: F.when(a["last"].isNull(), "").when(q["i"] - a["last"] > 1, f" {GAP} ").otherwise(" ")
+    return F.aggregate(picked, start, lambda a, q: F.struct(q["i"].alias("last"), F.concat(a["text"], mark(a, q), q["t"]).alias("text")), lambda a: a["text"])
 
 
 def pack_passages(ranked: DataFrame, entries: DataFrame, bounded_rows: int, budget: int = BUDGET_WORDS,
@@ -140,21 +126,32 @@ def pack_passages(ranked: DataFrame, entries: DataFrame, bounded_rows: int, budg
 
     Each hit brings its neighbouring windows. Version 2 charges the words of the rendered text: one header per
     entry, overlapping sentences once, a gap mark between non-adjacent ones. Version 1 charges every window with
-    its own header and prints overlaps twice.
+    its own header and prints overlaps twice. A query's hits, `CANDIDATES` at most, are folded in order; the state is a block for each entry
+    that was taken: its windows, and its sentences or window texts in order. A hit that would exceed the budget is skipped.
     """
-    hits = ranked.select("query_id", "position", F.shiftright("unit_ord", WINDOW_BITS).alias("unit_ord"),
-                         (F.col("unit_ord") % (1 << WINDOW_BITS)).cast("int").alias("k"))
-    texts = entries.select(F.col("entry_ord").alias("unit_ord"), _head().alias("head"), "answer")
-    rows = attach(hits, texts, bounded_rows).select(
-        "query_id", "position", F.col("unit_ord").alias("entry_ord"), "k", "head", T.sentences(F.col("answer")).alias("sents"))
-    id_type = ranked.schema["query_id"].dataType.simpleString()
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        context, _ = _pack_one(pdf, budget, version)
-        return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]], "context": [context],
-                             "context_words": [len(context.split())]})
-
-    return rows.groupBy("query_id").applyInPandas(pack, f"query_id {id_type}, context string, context_words int")
+    pick = _pick_sentences if version >= 2 else _pick_windows
+    item = F.struct("position", "e", "head", "hw", "n", "near", "parts")
+    listed = passage_hits(ranked, entries, bounded_rows).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast(f"array<struct<e:bigint,head:string,w:array<int>,p:{PARTS},words:int>>").alias("blocks"))
+
+    def step(acc, x):
+        def with_new(block, new):
+            picked, words = pick(x, block, new)
+            return T.named(picked, lambda p: T.named(words(p), lambda n: after(block, new, p, n)))
+
+        def after(block, new, p, n):
+            used = acc["used"] + n - F.coalesce(block["words"], F.lit(0))
+            mine = F.struct(x["e"].alias("e"), x["head"].alias("head"), F.concat(F.coalesce(block["w"], F.array().cast("array<int>")), new).alias("w"), p.alias("p"), n.alias("words"))
+            blocks = F.when(block.isNull(), F.concat(acc["blocks"], F.array(mine))).otherwise(F.transform(acc["blocks"], lambda b: F.when(b["e"] == x["e"], mine).otherwise(b)))
+            return F.when((F.size(new) > 0) & (used <= budget), F.struct(used.alias("used"), blocks.alias("blocks"))).otherwise(acc)
+
+        return T.named(F.get(F.filter(acc["blocks"], lambda b: b["e"] == x["e"]), 0), lambda block: T.named(
+            F.array_except(x["near"], F.coalesce(block["w"], F.array().cast("array<int>"))), lambda new: with_new(block, new)))
+
+    packed = listed.select("query_id", F.aggregate("c", start, step).alias("f"))
+    text = _joined if version >= 2 else (lambda p: F.array_join(F.transform(p, lambda q: q["t"]), f" {GAP} "))
+    context = F.array_join(F.transform("f.blocks", lambda b: F.concat(b["head"], F.lit("\n"), text(b["p"]))), "\n\n")
+    return packed.select("query_id", context.alias("context")).select("query_id", "context", T.nwords(F.col("context")).alias("context_words"))
 
 
 # ---------- whole corpus ----------

@@ -107,6 +107,51 @@ PACK_STEPS = f"""li AS (SELECT item_id, list({{'u': doc_id, 'n': nw, 't': text}}
     array_to_string(list_transform(ids, lambda i: c[i].t), chr(10) || chr(10)) AS context FROM go WHERE i = len(c) + 1)"""
 PACKED = f"{CANDS}, {PACK_STEPS}"
 
+# passages ranked by BM25, then packed hit by hit: w holds the windows taken so far, n, z and hw are the entry's sentences, their words and its header's words
+PASSAGES = rf"""en AS ({ENTRIES}), sn AS (SELECT doc_id, {HEAD} AS head, {SENTS.format(c='answer')} AS s FROM en),
+  st AS MATERIALIZED (SELECT doc_id, head, len({WORDS.format(c='head')}) AS hw, s, len(s) AS n, list_transform(s, lambda x: len({WORDS.format(c='x')})) AS z,
+    CASE WHEN len(s) <= 3 THEN least(len(s), 1) ELSE len(s) // 2 END AS nw FROM sn),
+  pu AS MATERIALIZED (SELECT doc_id, k, doc_id * {1 << extract.WINDOW_BITS} + k AS u, {TOKS.format(c="head || ' ' || array_to_string(CASE WHEN n <= 3 THEN s ELSE s[2 * k + 1:2 * k + 3] END, ' ')")} AS ts
+    FROM (SELECT *, unnest(range(0, nw)) AS k FROM st)),
+  q AS (SELECT item_id, unnest({TOKS.format(c='text')}) AS t FROM benchmark), av AS (SELECT count(*) AS n, sum(len(ts)) / count(*) AS a FROM pu),
+  tf AS (SELECT u, t, count(*) AS f FROM (SELECT u, unnest(ts) AS t FROM pu) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+  sc AS (SELECT item_id, u, sum(ln(1 + (av.n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (1 - 0.75 + 0.75 * len(ts) / a))) AS s
+         FROM q JOIN tf USING (t) JOIN df USING (t) JOIN pu USING (u), av GROUP BY item_id, u),
+  hits AS MATERIALIZED (SELECT b.item_id, pu.doc_id, pu.k, row_number() OVER (PARTITION BY b.item_id ORDER BY round(coalesce(s, 0.0), 6) DESC, pu.u) AS pos
+           FROM benchmark b CROSS JOIN pu LEFT JOIN sc ON sc.item_id = b.item_id AND sc.u = pu.u QUALIFY pos <= 40)"""
+
+
+def _covered(ks: str) -> str:
+    return f"list_filter(range(0, n), lambda i: len(list_filter({ks}, lambda x: n <= 3 OR (i >= 2 * x AND i <= 2 * x + 2))) > 0)"
+
+
+def _passage_pack(version: int) -> str:
+    def words(cov: str) -> str:
+        return (f"CASE WHEN len({cov}) = 0 THEN 0 ELSE hw + list_sum(list_transform({cov}, lambda i: z[i + 1])) "
+                f"+ len(list_filter(range(2, len({cov}) + 1), lambda j: {cov}[j] - {cov}[j - 1] > 1)) END")
+
+    single = "list_sum(list_transform(CASE WHEN n <= 3 THEN range(0, n) ELSE range(2 * x, least(n, 2 * x + 3)) END, lambda i: z[i + 1]))"
+    cost = f"{words('c1')} - {words('c0')}" if version == 2 else f"list_sum(list_transform(near, lambda x: hw + {single}))"
+    block = ("array_to_string(list_transform(range(1, len(cov) + 1), lambda j: CASE WHEN j > 1 AND cov[j] - cov[j - 1] > 1 THEN '[...] ' ELSE '' END || s[cov[j] + 1]), ' ')"
+             if version == 2 else
+             "array_to_string(list_transform(list_sort(ks), lambda x: array_to_string(CASE WHEN n <= 3 THEN s ELSE s[2 * x + 1:2 * x + 3] END, ' ')), ' [...] ')")
+    return rf"""WITH RECURSIVE {PASSAGES},
+  go AS (SELECT item_id, 0::BIGINT AS i, 0::BIGINT AS used, []::STRUCT(e BIGINT, k BIGINT)[] AS w FROM benchmark
+    UNION ALL SELECT item_id, i + 1, (CASE WHEN fits THEN used + extra ELSE used END)::BIGINT,
+      CASE WHEN fits THEN list_concat(w, list_transform(near, lambda x: {{'e': doc_id, 'k': x}})) ELSE w END
+    FROM (SELECT *, len(near) > 0 AND used + extra <= {BUDGET} AS fits FROM (SELECT *, {cost} AS extra
+      FROM (SELECT *, {_covered('old')} AS c0, {_covered('list_concat(old, near)')} AS c1
+        FROM (SELECT *, list_filter([k - 1, k, k + 1], lambda x: x >= 0 AND x < nw AND NOT list_contains(old, x)) AS near
+          FROM (SELECT g.*, h.doc_id, h.k, st.hw, st.n, st.z, st.nw, list_transform(list_filter(w, lambda x: x.e = h.doc_id), lambda x: x.k) AS old
+            FROM go g JOIN hits h ON h.item_id = g.item_id AND h.pos = g.i + 1 JOIN st USING (doc_id))))))),
+  ended AS (SELECT item_id, w FROM go QUALIFY i = max(i) OVER (PARTITION BY item_id)),
+  taken AS (SELECT item_id, x.e AS doc_id, x.k AS k, o FROM (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) AS o FROM ended)),
+  blocks AS (SELECT item_id, doc_id, list(k) AS ks, min(o) AS o FROM taken GROUP BY ALL),
+  shown AS (SELECT item_id, o, head || chr(10) || {block} AS t FROM (SELECT *, {_covered('ks')} AS cov FROM blocks JOIN st USING (doc_id))),
+  done AS (SELECT item_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY o), '') AS context FROM ended LEFT JOIN shown USING (item_id) GROUP BY item_id)
+  SELECT item_id, context, len({WORDS.format(c='context')})::BIGINT AS context_words FROM done"""
+
+
 WRAPPED = """pg AS (SELECT doc_id, 'https://' || source || '.example/' || lang || '/' AS url, '<div class="schema-faq-section" id="faq-' AS h, text FROM documents),
   body AS (SELECT doc_id, url, array_to_string(list_transform(string_split(text, chr(10)), lambda ln, i: h || ((i - 1) % 3)
     || '"><strong class="schema-faq-question">' || regexp_extract(ln, '^[^.!?]*') || '</strong> <p class="schema-faq-answer">' || ln || '</p></div>'), '') AS b FROM pg),
@@ -214,6 +259,8 @@ def oracle_sql() -> dict[str, str]:
           st AS (SELECT *, CASE WHEN len(s) = 0 THEN [] WHEN len(s) <= 3 THEN [0] ELSE range(0, len(s) - 1, 2) END AS a FROM l),
           x AS (SELECT doc_id, head, s, unnest(a) AS i, generate_subscripts(a, 1) - 1 AS k FROM st)
           SELECT (doc_id * {1 << extract.WINDOW_BITS} + k)::BIGINT AS unit_ord, doc_id, k::BIGINT AS k, head || ' ' || array_to_string(s[i + 1:i + 3], ' ') AS text FROM x""",
+        "passage_pack": _passage_pack(2),
+        "passage_pack_v1": _passage_pack(1),
         "context_full": f"""WITH e AS ({ENTRIES}), f AS (SELECT url, arg_min(modified, doc_id) AS page_modified FROM e GROUP BY url)
           SELECT page_modified, url, doc_id, {HEAD} AS header, sha256({HEAD} || chr(10) || answer) AS text_sha FROM e JOIN f USING (url) ORDER BY page_modified, url, doc_id""",
         "pool_filter": f"SELECT doc_id, id FROM ({ENTRIES}) WHERE url IN ({_in(ENGLISH_PAGES)}) AND len({WORDS.format(c='answer')}) >= 25",
