@@ -5,9 +5,9 @@ import html
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions import text as T
 
@@ -34,6 +34,19 @@ def _unescape_all(s: pd.Series) -> pd.Series:
     return s.map(lambda xs: [html.unescape(x) for x in xs], na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _occurrences(s: pd.Series) -> pd.Series:
+    """For each value of a list, how often it has come by then; lists without repeats are not sent here."""
+    def numbered(values):
+        seen: dict[str, int] = {}
+        out = []
+        for v in values:
+            seen[v] = seen.get(v, 0) + 1
+            out.append(seen[v])
+        return out
+    return s.map(numbered, na_action="ignore")
+
+
 def extract_entries(pages: DataFrame) -> DataFrame:
     """pages(page_ord, id, link, modified, content.rendered) -> one row per non-empty question/answer block.
 
@@ -65,17 +78,14 @@ def extract_entries(pages: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.size("block") - 1).alias("pos"), F.col("block"),
         tidy(F.col("q")).alias("question"), tidy(F.col("a")).alias("answer")).alias("e"))
     kept = zipped.select(*keep, F.filter("e", lambda x: (x["question"] != "") & (x["answer"] != "")).alias("e"))
-    names = kept.select(*keep, "e", F.transform("e", lambda x: x["block"]).alias("b"))
-    # the page's block list stays out of the exploded rows
-    rows = names.select(*keep, (F.size(F.array_distinct("b")) < F.size("b")).alias("repeats"), F.posexplode_outer("e").alias("i", "x")).where(F.col("i").isNotNull())
-    rows = rows.select(pack_ordinal(F.col("page_ord"), F.col("x.pos"), SECTION_BITS).alias("entry_ord"), "page_ord", "page", "url", "modified", "repeats", "i",
-                       F.col("x.block").alias("block"), F.col("x.question").alias("question"), F.col("x.answer").alias("answer"))
-    # only pages that repeat a block number its occurrences
-    again = Window.partitionBy("page_ord", "block").orderBy("i")
-    counted = rows.where(~F.col("repeats")).withColumn("nth", F.lit(1)).unionByName(
-        rows.where("repeats").withColumn("nth", F.row_number().over(again)))
-    suffix = F.when(F.col("nth") > 1, F.concat(F.lit("#"), F.col("nth").cast("string"))).otherwise("")
-    return counted.select("entry_ord", F.concat("page", F.lit(":"), "block", suffix).alias("id"), "url", "modified", "block", "question", "answer")
+    blocks = F.transform("e", lambda x: x["block"])
+    repeated = F.when(F.size(F.array_distinct(blocks)) < F.size(blocks), blocks)
+    counted = kept.select(*keep, "e", _occurrences(repeated).alias("nth"))
+    zipped = F.transform("e", lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get("nth", i), F.lit(1)).alias("nth")))
+    rows = counted.select(*keep, F.posexplode_outer(zipped).alias("i", "e")).where(F.col("i").isNotNull())
+    suffix = F.when(F.col("e.nth") > 1, F.concat(F.lit("#"), F.col("e.nth").cast("string"))).otherwise("")
+    return rows.select(pack_ordinal(F.col("page_ord"), F.col("e.x.pos"), SECTION_BITS).alias("entry_ord"), F.concat("page", F.lit(":"), "e.x.block", suffix).alias("id"),
+                       "url", "modified", F.col("e.x.block").alias("block"), F.col("e.x.question").alias("question"), F.col("e.x.answer").alias("answer"))
 
 
 def exclude_urls(entries: DataFrame, urls: Iterable[str]) -> DataFrame:
