@@ -17,14 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import broadcast_if_bounded, cut_lineage, fits_broadcast
+from ..session import broadcast_if_bounded, cut_lineage
 
 # Inclusive thresholds of the three similarity signals.
 QUESTION_RATIO, JACCARD_MIN, CONTAINMENT_MIN = 0.6, 0.3, 0.2
 
 HELD_TITLE_LIMIT = 5_000
 PAIR_CELLS = 2_000_000  # titles x held titles compared at a time within a task
-_PAIR = "held_ord bigint, entry_ord bigint, ratio double"
 
 
 def jaccard_pairs(held: DataFrame, other: DataFrame, minimum: float = JACCARD_MIN) -> DataFrame:
@@ -100,66 +99,60 @@ def _may_reach(common: int, total: int, minimum: float) -> bool:
 
 
 def question_pairs(held: DataFrame, other: DataFrame, minimum: float = QUESTION_RATIO) -> DataFrame:
-    """held(held_ord, question) x other(entry_ord, question): difflib ratio of lower-cased questions >= minimum."""
-    h = held.select("held_ord", F.lower("question").alias("q"))
-    o = other.select("entry_ord", F.lower("question").alias("q"))
-    if fits_broadcast(h, max_rows=HELD_TITLE_LIMIT):
-        kept = [(r["held_ord"], r["q"]) for r in h.collect()]
-        return o.mapInPandas(_against_held(kept, minimum), _PAIR)
-    # Beyond the bound: equal-length join. A held question lists every length the threshold admits.
-    length = F.length("q")
-    low = F.greatest(F.ceil(length * (minimum / (2 - minimum)) - 1e-6), F.lit(0))
-    high = F.floor(length * ((2 - minimum) / minimum) + 1e-6)
-    spread = h.select("held_ord", F.col("q").alias("hq"), F.explode(F.sequence(low, high)).alias("len"))
-    pairs = o.select("entry_ord", "q", F.length("q").cast("bigint").alias("len")).join(spread, "len")
-    return pairs.select("held_ord", "hq", "entry_ord", "q").mapInPandas(_pairwise(minimum), _PAIR)
-
-
-def _against_held(kept: list, minimum: float):
+    """held(held_ord, question) x other(entry_ord, question): difflib ratio of lower-cased questions >= minimum.
+
+    One plan at every size: the distinct held titles are dealt by hash into blocks of about HELD_TITLE_LIMIT, and each block meets all other titles in the tasks
+    that scan them. No titles are shuffled against each other; a title's pairs are then handed to all held entries that bear it. A null question has no pairs.
+    """
+    h = held.select("held_ord", F.lower("question").alias("q")).where("q is not null")
+    o = other.select("entry_ord", F.lower("question").alias("q")).where("q is not null")
+    titles = cut_lineage(h.select("q").distinct().withColumn("title", F.monotonically_increasing_id()))
+    blocks = max(1, -(-titles.count() // max(1, HELD_TITLE_LIMIT)))
+    named = titles.withColumn("block", F.pmod(F.xxhash64("title"), F.lit(blocks)))
+    pairs = None
+    for at in range(blocks):
+        kept = [(r["title"], r["q"]) for r in named.where(F.col("block") == at).collect()]  # about HELD_TITLE_LIMIT titles
+        found = o.mapInPandas(_against_titles(kept, minimum), "title long, entry_ord long, ratio double")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    bearers = broadcast_if_bounded(h.join(titles, "q").select("title", "held_ord"))
+    return pairs.join(bearers, "title").select("held_ord", "entry_ord", "ratio")
+
+
+def _against_titles(kept: list, minimum: float):
+    """Pairs of a block's titles with those of each batch: by length, then by shared characters, then by common subsequence, then exactly."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         alphabet = np.unique(np.concatenate([_codes(q + " ") for _, q in kept] or [_codes(" ")]))
         letters = _letters([q for _, q in kept], alphabet)
         sizes, places = [len(q) for _, q in kept], [_places(q) for _, q in kept]
         step = max(16, PAIR_CELLS // max(1, len(kept)))
+        matcher = SequenceMatcher()
         for pdf in (b.iloc[at:at + step] for b in batches for at in range(0, len(b), step)):
             titles, where = np.unique(pdf["q"].to_numpy(dtype=object).astype(str), return_inverse=True)
-            mine = _letters(titles, alphabet)
-            total = np.array([len(t) for t in titles])
+            length = np.fromiter(map(len, titles), np.int64, len(titles))
+            order = np.argsort(length, kind="stable")
+            mine, length = _letters(titles[order], alphabet), length[order]
+            near: dict[int, list[int]] = {}
+            for j, size in enumerate(sizes):
+                # 2 * common >= minimum * (both lengths), and no more is common than the shorter one has
+                low = np.searchsorted(length, np.floor(size * minimum / (2 - minimum) - 1e-6), side="left")
+                high = np.searchsorted(length, np.ceil(size * (2 - minimum) / minimum + 1e-6), side="right")
+                common = np.minimum(mine[low:high], letters[j]).sum(1)
+                for i in np.flatnonzero(2.0 * common >= minimum * (length[low:high] + size) - 1e-6).tolist():
+                    near.setdefault(low + i, []).append(j)
             found = []
-            matcher = SequenceMatcher()
-            hits = [np.flatnonzero(2.0 * np.minimum(mine, letters[j]).sum(1) >= minimum * (total + sizes[j]) - 1e-6)
-                    for j in range(len(kept))]
-            by_title: dict[int, list[int]] = {}
-            for j, rows in enumerate(hits):
-                for i in rows:
-                    by_title.setdefault(int(i), []).append(j)
-            for i, held_rows in by_title.items():
-                title = str(titles[i])
-                held_rows = [j for j in held_rows if _may_reach(
-                    _common_subsequence(places[j], sizes[j], title), sizes[j] + len(title), minimum)]
+            for i, held_rows in near.items():
+                title = str(titles[order[i]])
+                held_rows = [j for j in held_rows if _may_reach(_common_subsequence(places[j], sizes[j], title), sizes[j] + len(title), minimum)]
                 if held_rows:
                     matcher.set_seq2(title)  # the index over the second text serves every held one
                 for j in held_rows:
                     matcher.set_seq1(kept[j][1])
                     ratio = matcher.ratio()
                     if ratio >= minimum:
-                        found.append((i, kept[j][0], ratio))
-            hit = pd.DataFrame(found, columns=["i", "held_ord", "ratio"]).astype(
-                {"i": "int64", "held_ord": "int64", "ratio": "float64"})
+                        found.append((order[i], kept[j][0], ratio))
+            hit = pd.DataFrame(found, columns=["i", "title", "ratio"]).astype({"i": "int64", "title": "int64", "ratio": "float64"})
             rows = pd.DataFrame({"i": where.astype("int64"), "entry_ord": pdf["entry_ord"].to_numpy()})
-            yield rows.merge(hit, on="i")[["held_ord", "entry_ord", "ratio"]]
-    return run
-
-
-def _pairwise(minimum: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            near = [_may_reach(_common_subsequence(_places(a), len(a), b), len(a) + len(b), minimum)
-                    for a, b in zip(pdf["hq"], pdf["q"])]
-            pdf = pdf[np.array(near, dtype=bool)]
-            ratios = [SequenceMatcher(None, a, b).ratio() for a, b in zip(pdf["hq"], pdf["q"])]
-            out = pdf[["held_ord", "entry_ord"]].assign(ratio=np.array(ratios, dtype=float))
-            yield out[out["ratio"] >= minimum]
+            yield rows.merge(hit, on="i")[["title", "entry_ord", "ratio"]]
     return run
 
 

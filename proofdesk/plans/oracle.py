@@ -79,6 +79,37 @@ VARIANTS = f"""he AS ({HELD}), en AS ({ENTRIES}), {_signals('whole', 'text')},
     UNION SELECT item_id, doc_id FROM he JOIN en USING (id)
     UNION SELECT item_id, doc_id FROM he JOIN en ON he.block = en.block AND he.url <> en.url)"""
 
+# ratio of matching blocks of lower-cased titles: the longest common stretch, first in a, then in b, and so on to its left and right. Characters that are frequent
+# in a second title of 200 or more start no stretch, but extend one. ev and di are maximal equal stretches on a diagonal, with all and with infrequent characters.
+TITLES = r"""ti AS (SELECT item_id, lower(regexp_extract(text, '^[^.!?\n]*')) AS a FROM benchmark),
+  td AS (SELECT doc_id, lower(regexp_extract(text, '^[^.!?\n]*')) AS b FROM documents),
+  ua AS (SELECT a, row_number() OVER () AS x FROM (SELECT DISTINCT a FROM ti)), ub AS (SELECT b, row_number() OVER () AS y FROM (SELECT DISTINCT b FROM td)),
+  ca AS (SELECT x, unnest(range(0, length(a))) AS i, substr(a, i + 1, 1) AS c FROM ua), cb AS (SELECT y, unnest(range(0, length(b))) AS j, substr(b, j + 1, 1) AS c FROM ub),
+  na AS (SELECT x, c, count(*) AS n FROM ca GROUP BY ALL), nb AS (SELECT y, c, count(*) AS n FROM cb GROUP BY ALL),
+  may AS (SELECT x, y, sum(least(na.n, nb.n)) AS m FROM na JOIN nb USING (c) GROUP BY ALL),
+  pr AS MATERIALIZED (SELECT x, y, length(a) AS la, length(b) AS lb FROM may JOIN ua USING (x) JOIN ub USING (y) WHERE 2 * m >= 0.6 * (length(a) + length(b)) - 1e-6),
+  eq AS (SELECT pr.x, pr.y, ca.i, cb.j, lb >= 200 AND nb.n > lb // 100 + 1 AS often FROM pr JOIN ca ON ca.x = pr.x JOIN cb ON cb.y = pr.y AND cb.c = ca.c
+         JOIN nb ON nb.y = pr.y AND nb.c = ca.c),
+  ev AS MATERIALIZED (SELECT x, y, i - j AS d, min(i) AS i0, max(i) + 1 AS i1
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY x, y, i - j ORDER BY i) AS g FROM eq) GROUP BY x, y, d, g),
+  di AS MATERIALIZED (SELECT x, y, i - j AS d, min(i) AS i0, max(i) + 1 AS i1
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY x, y, i - j ORDER BY i) AS g FROM eq WHERE NOT often) GROUP BY x, y, d, g),
+  ma AS (SELECT x, y, 0::BIGINT AS alo, la::BIGINT AS ahi, 0::BIGINT AS blo, lb::BIGINT AS bhi, 0::BIGINT AS k, false AS hit FROM pr
+    UNION ALL SELECT x, y, u.alo, u.ahi, u.blo, u.bhi, u.k, u.hit FROM (
+      SELECT x, y, unnest([{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': i - d, 'k': 0, 'hit': false}, {'alo': i + k, 'ahi': ahi, 'blo': i + k - d, 'bhi': bhi, 'k': 0, 'hit': false},
+                           {'alo': i, 'ahi': i, 'blo': i - d, 'bhi': i - d, 'k': k, 'hit': true}]) AS u
+      FROM (SELECT s.*, e.d, greatest(e.i0, s.alo, s.blo + e.d) AS i, least(e.i1, s.ahi, s.bhi + e.d) - greatest(e.i0, s.alo, s.blo + e.d) AS k
+            FROM (SELECT r.x, r.y, r.alo, r.ahi, r.blo, r.bhi,
+                         max({'k': least(di.i1, r.ahi, r.bhi + di.d) - greatest(di.i0, r.alo, r.blo + di.d), 'i': -greatest(di.i0, r.alo, r.blo + di.d),
+                              'j': di.d - greatest(di.i0, r.alo, r.blo + di.d)}) AS best
+                  FROM ma r LEFT JOIN di ON di.x = r.x AND di.y = r.y AND least(di.i1, r.ahi, r.bhi + di.d) > greatest(di.i0, r.alo, r.blo + di.d)
+                  WHERE NOT r.hit AND r.ahi > r.alo AND r.bhi > r.blo GROUP BY ALL) s
+            JOIN ev e ON e.x = s.x AND e.y = s.y AND e.d = CASE WHEN best.k IS NULL THEN alo - blo ELSE best.j - best.i END
+              AND e.i0 <= CASE WHEN best.k IS NULL THEN alo ELSE -best.i END AND e.i1 > CASE WHEN best.k IS NULL THEN alo ELSE -best.i END))),
+  rt AS (SELECT x, y, 2.0::DOUBLE * sum(k) / (la + lb) AS ratio FROM ma JOIN pr USING (x, y) GROUP BY x, y, la, lb
+         UNION ALL SELECT x, y, 1.0 FROM ua, ub WHERE a = '' AND b = ''),
+  tr AS (SELECT item_id, doc_id, ratio FROM rt JOIN ua USING (x) JOIN ti USING (a) JOIN ub USING (y) JOIN td USING (b) WHERE ratio >= 0.6)"""
+
 LEXICAL = f"""q AS (SELECT item_id, unnest({TOKS.format(c='text')}) AS t FROM benchmark),
   dt AS (SELECT doc_id, {TOKS.format(c='text')} AS ts FROM documents),
   ll AS (SELECT doc_id, len(ts) AS len FROM dt), av AS (SELECT count(*) AS n, sum(len) / count(*) AS a FROM ll),
@@ -235,6 +266,8 @@ def oracle_sql() -> dict[str, str]:
                        f"round(other_in_held, 6) AS other_in_held FROM con",
         "holdout_semi": f"WITH {VARIANTS} SELECT item_id, doc_id FROM rm",
         "holdout_anti": f"WITH {VARIANTS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM rm)",
+        "title_ratio": f"WITH RECURSIVE {TITLES} SELECT item_id, doc_id, round(ratio, 6) AS ratio FROM tr",
+        "variants_all": f"WITH RECURSIVE {TITLES}, {VARIANTS} SELECT item_id, doc_id FROM rm UNION SELECT item_id, doc_id FROM tr",
         "bm25_stats": f"""WITH tf AS (SELECT unnest(list_distinct({TOKS.format(c='text')})) AS term FROM documents), c AS (SELECT count(*) AS n FROM documents)
           SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM tf, c GROUP BY term""",
         "bm25_top40": f"WITH {LEXICAL} SELECT item_id, doc_id, score, rank::BIGINT AS rank FROM lex",
