@@ -21,14 +21,18 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: `spark.checkpoint.dir`; one of our own only where it is unset."""
+    """The folder that the driver and all executors see: `spark.checkpoint.dir`, else the one set on the context; one of our own only on a local master without either."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="llm-tables-")
-    return _LOCAL_DIRS[app]
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="llm-tables-")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
 Features are a text's distinct words and the beginnings of its longer words. A logistic regression is fitted on a bounded sample of
-labelled documents (SAMPLE rows of each class, by hash of the id) over the FEATURES features that tell the classes apart best there.
+labelled documents (SAMPLE rows of each class, by hash of the id) over the FEATURES features that tell the classes apart best there: in LEAST_ROWS rows or more, by a chi-square above LEAST_CHI.
 For each sampled document that names a group, the group terms of its sentences are swapped for other terms of the same kind, and the squared
 change of the score is penalised, so that mentioning a group does not make a text toxic. All documents are scored.
 
@@ -23,6 +23,7 @@ from .base import Memo, Words, slices, texts, written
 
 SAMPLE = 6_000
 FEATURES = 8_192
+LEAST_ROWS, LEAST_CHI = 3, 12
 STEPS = 150
 RIDGE = 2e-4
 FAIRNESS = 5.0
@@ -87,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
     b = F.col("n") - F.col("a")
     chi = ((F.col("a") * (n0 - b) - b * (n1 - F.col("a"))) ** 2 * float(n0 + n1)
            / (F.col("n").cast("double") * (n0 + n1 - F.col("n")).cast("double") * float(n1) * float(n0)))
-    top = found.where(F.col("n") >= 3).where(F.col("n") < n0 + n1).withColumn("chi", chi).where("chi > 12").orderBy(F.desc("chi"), "f").limit(most)
+    top = found.where(F.col("n") >= LEAST_ROWS).where(F.col("n") < n0 + n1).withColumn("chi", chi).where(F.col("chi") > LEAST_CHI).orderBy(F.desc("chi"), "f").limit(most)
     names = [r["f"] for r in top.select("f").collect()]  # `most` at most
     number = {f: i for i, f in enumerate(sorted(names))}
 

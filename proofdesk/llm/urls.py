@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULE_BYTES = 64 << 20
+from .base import written
+
+PART_BYTES = 64 << 20
 
 
 class RuleTrie:
@@ -24,11 +26,9 @@ class RuleTrie:
 
     def __init__(self, rules):
         self.root: dict = {}
-        self.size = 0
         for verdict, host, path in rules:
             if verdict not in ("allow", "block"):
                 raise ValueError(f"a rule allows or blocks, not {verdict!r}")
-            self.size += len(host) + len(path)
             node = self.root
             for label in reversed(host.split(".")):
                 node = node.setdefault(label, {})
@@ -57,25 +57,48 @@ class RuleTrie:
         return best and (best[2], best[1])
 
 
+def rule_parts(rules, most: int) -> list[list]:
+    """The rules in order, in parts of at most `most` bytes; a longer rule is a part of its own."""
+    parts, size = [[]], 0
+    for verdict, host, path in rules:
+        own = len(host.encode()) + len(path.encode())
+        if parts[-1] and size + own > most:
+            parts.append([])
+            size = 0
+        parts[-1].append((verdict, host, path))
+        size += own
+    return parts
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], fallback: str = "allow") -> DataFrame:
-    """page_id, host, path, rule and verdict of every row; `rules` are (allow or block, host, path)."""
-    trie = RuleTrie(rules)
-    if trie.size > MAX_RULE_BYTES:
-        raise ValueError("the rules are too large to be sent to every executor")
-    sent = pages.sparkSession.sparkContext.broadcast(trie)
-
-    def run(batches):
-        judge = sent.value.judge
-        for batch in batches:
-            found = [judge(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array([f and f[0] for f in found], pa.string()),
-                 pa.array([f[1] if f else fallback for f in found], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+    """page_id, host, path, rule and verdict of every row; `rules` are (allow or block, host, path).
+
+    A trie of at most PART_BYTES of rules is sent to the executors. More rules make several tries, which judge one after the other; the longest fit of all decides.
+    """
+
+    def with_trie(frame, trie):
+        sent = frame.sparkSession.sparkContext.broadcast(trie)
+
+        def run(batches):
+            judge = sent.value.judge
+            for batch in batches:
+                best = []
+                for host, path, rule, verdict in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rule", "verdict"))):
+                    found = judge(host, path)
+                    best.append(found if found and (rule is None or (len(found[0]), found[1]) > (len(rule), verdict)) else (rule, verdict))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.string())],
+                    ["page_id", "host", "path", "rule", "verdict"])
+
+        return frame.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
 
     # the part behind the first "://"; \z and (?s) keep line breaks inside it
     behind = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
     host = F.regexp_extract("behind", r"(?s)\A([^/?#]*)", 1)
-    parts = (pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(behind, F.lit("")).alias("behind"))
-             .select("page_id", F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"),
-                     F.regexp_extract("behind", r"(?s)\A[^/?#]*([^?#]*)", 1).alias("path")))
-    return parts.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    none = F.lit(None).cast("string")
+    judged = (pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(behind, F.lit("")).alias("behind"))
+              .select("page_id", F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"),
+                      F.regexp_extract("behind", r"(?s)\A[^/?#]*([^?#]*)", 1).alias("path"), none.alias("rule"), none.alias("verdict")))
+    for at, part in enumerate(rule_parts(rules, PART_BYTES)):
+        judged = with_trie(written(judged, "judged") if at else judged, RuleTrie(part))  # one trie in a task at a time
+    return judged.withColumn("verdict", F.coalesce("verdict", F.lit(fallback)))

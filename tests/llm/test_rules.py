@@ -148,3 +148,12 @@ def test_url_trie_matches_a_plain_search(spark):
     assert [tuple(g)[1:] for g in got] == [judged_plainly(u) for u in URLS + ["x://a.org/"]]
     assert urls.judge_urls(pages.limit(0), URL_RULES).count() == 0
     assert urls.RuleTrie([("allow", "a.b", "/x"), ("block", "a.b", "/x")]).judge("a.b", "/x1") == ("a.b/x", "block")
+
+
+def test_more_rules_than_one_trie_holds(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    monkeypatch.setattr(urls, "PART_BYTES", 16)
+    assert [len(p) for p in urls.rule_parts(URL_RULES, 16)] == [1, 1, 1, 2]
+    got = urls.judge_urls(pages, URL_RULES).orderBy("page_id").collect()
+    assert [tuple(g)[1:] for g in got] == [judged_plainly(u) for u in URLS]
+    assert {r["verdict"] for r in urls.judge_urls(pages, [], "block").collect()} == {"block"}
