@@ -2,6 +2,7 @@
 import os
 
 import duckdb
+import pandas
 import pytest
 
 import __spark_entry__ as entry
@@ -19,8 +20,10 @@ def con():
 
 
 def rows(frame):
+    """Rows in order, columns by name; a missing value of any kind is null and comes last."""
     frame = frame[sorted(frame.columns)]
-    return sorted(map(tuple, frame.itertuples(index=False, name=None)))
+    every = [tuple(None if v is None or v is pandas.NA or v != v else v for v in r) for r in frame.itertuples(index=False, name=None)]
+    return sorted(every, key=lambda r: [(v is None, 0 if v is None else v) for v in r])
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
