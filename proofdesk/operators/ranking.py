@@ -3,6 +3,7 @@
 Scoring visits each unit once, in the task that scans it: the (measured, bounded) query block travels to the
 tasks, every task keeps its k best per query, and only those k rows per query and task are shuffled. Neither
 postings nor (query, unit) scores are exchanged. More queries than a block holds are scored block by block.
+BM25 keeps sparse triples and skips chunks of units whose largest contributions cannot reach a query's k-th best score.
 
 units(unit_ord bigint, text [, hidden array<string>]): unit_ord breaks ties; `hidden` lists the corpus ids
 that must not see the unit. queries(query_id, text [, corpus_id]).
@@ -21,7 +22,7 @@ from pyspark.sql import types as ty
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from ..session import cut_lineage
+from ..session import broadcast_if_bounded, cut_lineage
 
 # BM25, fusion and candidate constants, and the floor of a vector norm.
 K1, B = 1.5, 0.75
@@ -32,6 +33,8 @@ NORM_FLOOR = 1e-9
 BLOCK_QUERIES = 2_000
 BLOCK_BYTES = 32 << 20
 CHUNK_CELLS = 4_000_000
+CHUNK_UNITS = 512  # units whose largest contributions are bounded together
+BOUND_SLACK = 1e-9  # bounds are rounded differently from scores, by far less
 
 
 def _optional(df: DataFrame, name: str, kind: str):
@@ -126,20 +129,28 @@ def term_stats(units: DataFrame) -> DataFrame:
     return df.select("term", "df", idf(F.lit(float(n)), F.col("df")).alias("idf"))
 
 
-def _block_stats(tokens: DataFrame, vocab: list[str]):
-    """Unit count, token count and df of the block's terms, overall and per hidden corpus, in one scan.
+def _term_counts(tokens: DataFrame, queries: DataFrame) -> DataFrame:
+    """(corpus, term, n, len) of the terms that queries ask for: units and tokens of the units holding the term, in one scan for all blocks.
 
-    The empty string, which the tokenizer never yields, stands for the unit itself.
+    corpus '' counts every unit; a hidden corpus counts the units kept from it, for the terms of its own queries alone. The empty
+    string, which the tokenizer never yields, stands for the unit itself.
     """
-    spark = tokens.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([("",)] + [(t,) for t in vocab], "term string"))
-    rows = (tokens.select(F.size("t").alias("len"), "hidden",
+    asked = queries.select(F.coalesce("corpus_id", F.lit("")).alias("corpus"), F.explode(F.array_union(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
+    wanted = asked.union(asked.select(F.lit(""), "term")).distinct()
+    rows = (tokens.select(F.size("t").alias("len"), F.concat(F.array(F.lit("")), F.coalesce("hidden", F.array().cast("array<string>"))).alias("c"),
                           F.explode_outer(F.array_union(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
-            .join(wanted, "term")
-            .select("term", "len", F.explode(F.concat(F.array(F.lit("")), F.coalesce(
-                "hidden", F.array().cast("array<string>")))).alias("corpus")))
-    agg = rows.groupBy("corpus", "term").agg(F.count("*").alias("n"), F.sum("len").alias("len"))
-    return {(r["corpus"], r["term"]): (r["n"], r["len"]) for r in agg.collect()}
+            .select("term", "len", F.explode_outer("c").alias("corpus")))
+    return (rows.join(broadcast_if_bounded(wanted), ["corpus", "term"])
+            .groupBy("corpus", "term").agg(F.count("*").alias("n"), F.sum("len").alias("len")))
+
+
+def _block_stats(counts: DataFrame, rows: list, blocks: int) -> dict:
+    """{(corpus, term): (n, len)} of one block's queries, no more entries than the block has tokens."""
+    if blocks > 1:
+        wanted = {(c, t) for r in rows for t in ("", *r["t"]) for c in ("", r["corpus_id"] or "")}
+        keys = counts.sparkSession.createDataFrame(sorted(wanted), "corpus string, term string")
+        counts = counts.join(F.broadcast(keys), ["corpus", "term"])
+    return {(r["corpus"], r["term"]): (r["n"], r["len"]) for r in counts.collect()}
 
 
 def bm25_topk(units: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, k1: float = K1, b: float = B,
@@ -154,11 +165,13 @@ def bm25_topk(units: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, k1:
     qs = queries.select("query_id", "text", T.words(F.col("text")).alias("t"), _optional(queries, "corpus_id", "string"))
     schema = _result_schema(queries)
     id_type = to_arrow_type(schema["query_id"].dataType)
-    parts, blocks = [], 1
+    parts, blocks, counts = [], 1, None
     for rows, blocks in _query_blocks(qs, "text"):
-        vocab = sorted({t for r in rows for t in r["t"]})
-        stats = _block_stats(tokens, vocab)
-        kernel = _bm25_kernel(rows, vocab, stats, k, k1, b, round_to, id_type)
+        if counts is None:
+            counts = _term_counts(tokens, qs)
+            counts = cut_lineage(counts) if blocks > 1 else counts
+        vocab = sorted({t for r in rows for t in r["t"] or ()})
+        kernel = _bm25_kernel(rows, vocab, _block_stats(counts, rows, blocks), k, k1, b, round_to, id_type)
         source = tokens if with_hidden else tokens.drop("hidden")
         parts.append(source.mapInArrow(kernel, schema))
     if not parts:
@@ -166,7 +179,24 @@ def bm25_topk(units: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, k1:
     return _ranked_blocks(parts, k, blocks)
 
 
+def _triples(piece: pa.RecordBatch, known: pa.Array):
+    """(length, starts, unit, tf): the units' token counts, and per vocabulary term the slice of units that hold it with their counts."""
+    toks = piece.column("t")
+    length = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = pc.fill_null(pc.index_in(toks.flatten().cast(pa.string()), value_set=known), -1).to_numpy(zero_copy_only=False)
+    on = code >= 0
+    cell = code[on].astype(np.int64) * len(length) + np.repeat(np.arange(len(length)), length)[on]
+    cell, tf = np.unique(cell, return_counts=True)
+    starts = np.searchsorted(cell, np.arange(len(known) + 1) * len(length))
+    return length, starts, cell % max(1, len(length)), tf.astype(float)
+
+
 def _bm25_kernel(rows, vocab, stats, k, k1, b, round_to, id_type) -> Callable:
+    """k best units per query of the units of a task, from (term, unit, tf) triples.
+
+    The units pass in chunks. A term's largest contribution in a chunk bounds what the chunk can add to a query; a query whose bounds
+    do not reach its k-th best score leaves the chunk unscored. Memory goes with the triples of a chunk and k rows per query.
+    """
     place = {t: i for i, t in enumerate(vocab)}
     members = _members(rows)
     plans = []
@@ -175,55 +205,84 @@ def _bm25_kernel(rows, vocab, stats, k, k1, b, round_to, id_type) -> Callable:
 
         def seen(term, corpus=corpus):
             n, length = stats.get(("", term), (0, 0))
-            if corpus is not None:
+            if corpus:
                 n_out, len_out = stats.get((corpus, term), (0, 0))
                 n, length = n - n_out, length - len_out
             return n, length
 
         n, total = seen("")
-        terms = [(place[t], float(np.log(1 + (n - f + 0.5) / (f + 0.5)))) for t in r["t"] if (f := seen(t)[0])]
-        has_own = corpus is not None and (corpus, "") in stats
-        plans.append((corpus if has_own else None, total / max(1, n), terms))
+        terms = [(place[t], float(np.log(1 + (n - f + 0.5) / (f + 0.5)))) for t in r["t"] or () if (f := seen(t)[0])]
+        plans.append((corpus if corpus and (corpus, "") in stats else None, total / max(1, n), terms))
     ids = pa.array([r["query_id"] for r in rows], type=id_type)
-    chunk = max(64, CHUNK_CELLS // max(1, len(vocab)))
-
-    def scores(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(plans), len(length)))
-        memo: dict = {}
-        for q, (corpus, avg, terms) in enumerate(plans):
-            norm = memo.get(corpus)
-            if norm is None:
-                norm = memo[corpus] = k1 * (1 - b + b * length / avg) if avg else np.full(len(length), k1)
-            for term, weight in terms:
-                part = memo.get((corpus, term))
-                if part is None:
-                    f = tf[term]
-                    part = memo[corpus, term] = weight * f * (k1 + 1) / (f + norm)
-                out[q] += part
-        return out if round_to is None else np.round(out, round_to)
-
-    def chunks(batches: Iterator[pa.RecordBatch]):
-        known = pa.array(vocab, type=pa.string())
-        for batch in batches:
-            for at in range(0, batch.num_rows, chunk):
-                piece = batch.slice(at, chunk)
-                toks = piece.column("t")
-                length = pc.list_value_length(toks).to_numpy(zero_copy_only=False).astype(np.int64)
-                code = pc.fill_null(pc.index_in(toks.flatten().cast(pa.string()), value_set=known), -1).to_numpy()
-                unit = np.repeat(np.arange(len(length)), length)
-                on = code >= 0
-                cell = code[on].astype(np.int64) * len(length) + unit[on]
-                tf = np.bincount(cell, minlength=len(vocab) * len(length)).astype(float).reshape(len(vocab), len(length))
-                s = scores(tf, length)
-                if "hidden" in piece.schema.names:
-                    _mask_hidden(s, piece.column("hidden"), members)
-                yield piece.column("unit_ord").to_numpy(), s
+    step = CHUNK_UNITS
+    # flat (query, term, weight) in query order: one bincount adds a query's bounds in the order of its terms
+    flat_query = np.array([q for q, (_, _, terms) in enumerate(plans) for _ in terms], dtype=np.int64)
+    flat_term = np.array([t for _, _, terms in plans for t, _ in terms], dtype=np.int64)
+    flat_weight = np.array([w for _, _, terms in plans for _, w in terms], dtype=float)
+    longest = max((avg for _, avg, _ in plans), default=0.0)
+
+    def norms(length, avg):
+        return k1 * (1 - b + b * length / avg) if avg else np.full(len(length), k1)
+
+    def bounds(length, starts, unit, tf) -> np.ndarray:
+        """What no unit of the chunk exceeds, per query: the shortest norms, those of the longest average, serve all corpora."""
+        top = np.zeros(len(vocab))
+        filled = np.flatnonzero(np.diff(starts))
+        if len(filled):
+            top[filled] = np.maximum.reduceat(tf * (k1 + 1) / (tf + norms(length, longest)[unit]), starts[filled])
+        most = np.bincount(flat_query, weights=flat_weight * top[flat_term], minlength=len(plans)) * (1 + BOUND_SLACK)
+        return most if round_to is None else np.round(most, round_to)
 
     def run(batches):
-        yield _emit(*_keep_best(chunks(batches), len(plans), k), ids)
+        known = pa.array(vocab, type=pa.string())
+        best = np.full((len(plans), k), -np.inf)
+        which = np.full((len(plans), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
+                ords = piece.column("unit_ord").to_numpy()
+                length, starts, unit, tf = _triples(piece, known)
+                most = bounds(length, starts, unit, tf)
+                live = (most > best[:, -1]) | ((most == best[:, -1]) & (ords.min() < which[:, -1]))
+                hidden = _hidden_rows(piece, members)
+                norm: dict = {}
+                memo: dict = {}
+                for q in np.flatnonzero(live):
+                    corpus, avg, terms = plans[q]
+                    if corpus not in norm:
+                        norm[corpus] = norms(length, avg)
+                    s = np.zeros(len(length))
+                    for term, weight in terms:
+                        at_units = unit[starts[term]:starts[term + 1]]
+                        part = memo.get((corpus, term))
+                        if part is None:
+                            f = tf[starts[term]:starts[term + 1]]
+                            part = memo[corpus, term] = weight * f * (k1 + 1) / (f + norm[corpus][at_units])
+                        s[at_units] += part
+                    if round_to is not None:
+                        s = np.round(s, round_to)
+                    if rows[q]["corpus_id"] in hidden:
+                        s[hidden[rows[q]["corpus_id"]]] = -np.inf
+                    hit = np.flatnonzero((s > best[q, -1]) | ((s == best[q, -1]) & (ords < which[q, -1]) & (s > -np.inf)))
+                    if len(hit):
+                        all_s, all_u = np.concatenate([best[q], s[hit]]), np.concatenate([which[q], ords[hit]])
+                        keep = np.lexsort((all_u, -all_s))[:k]
+                        best[q], which[q] = all_s[keep], all_u[keep]
+        yield _emit(best, which, ids)
     return run
 
 
+def _hidden_rows(piece: pa.RecordBatch, members: dict) -> dict[str, list[int]]:
+    """Per corpus of the block, the rows of the chunk that it must not see."""
+    out: dict[str, list[int]] = {}
+    if members and "hidden" in piece.schema.names:
+        for row, names in enumerate(piece.column("hidden").to_pylist()):
+            for name in set(names or ()):
+                if name in members:
+                    out.setdefault(name, []).append(row)
+    return out
+
+
 # ---------- dense ----------
 
 def dense_topk(units: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, round_to: int | None = None) -> DataFrame:

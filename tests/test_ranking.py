@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from proofdesk.operators import ranking as R
@@ -48,9 +49,10 @@ def texts():
     return docs, [" ".join(r.choices(vocab, k=8)) for _ in range(12)] + ["", "unknownword", "w1 w1 w1 w2"]
 
 
-@pytest.mark.parametrize("block", [2000, 3])
-def test_bm25_equals_the_formula(spark, monkeypatch, texts, block):
+@pytest.mark.parametrize("block, chunk", [(2000, 512), (3, 512), (2000, 7), (2000, 1)])
+def test_bm25_equals_the_formula(spark, monkeypatch, texts, block, chunk):
     monkeypatch.setattr(R, "BLOCK_QUERIES", block)
+    monkeypatch.setattr(R, "CHUNK_UNITS", chunk)
     docs, queries = texts
     units = spark.createDataFrame(list(enumerate(docs)), "unit_ord long, text string").repartition(5)
     qs = spark.createDataFrame(list(enumerate(queries)), "query_id long, text string")
@@ -75,6 +77,27 @@ def test_hidden_units_change_the_statistics_of_their_corpus_only(spark, texts):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want], rtol=1e-12)
 
 
+def test_chunks_that_cannot_reach_the_best_are_not_scored(monkeypatch):
+    """40 strong units fill the best; of 50 later chunks only the one that holds a stronger unit is merged."""
+    texts = [["rare", "rare"]] * 40 + [["rare", "plain", "plain", "plain"]] * 1000
+    texts[700] = ["rare", "rare", "rare"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["unit_ord", "t"])
+    stats = {("", ""): (1040, sum(map(len, texts))), ("", "rare"): (1040, 0)}
+    merged = []
+    monkeypatch.setattr(R, "CHUNK_UNITS", 20)
+    monkeypatch.setattr(R.np, "lexsort", lambda keys, real=np.lexsort: merged.append(1) or real(keys))
+    kernel = R._bm25_kernel([{"query_id": 1, "t": ["rare"], "corpus_id": None}], ["rare"], stats, 40, R.K1, R.B, None, pa.int64())
+    (out,) = list(kernel(iter([batch])))
+    assert out.column("unit_ord").to_pylist() == [700, *range(39)] and len(merged) == 3
+
+
+def test_counts_are_limited_to_what_the_queries_ask(spark):
+    tokens = spark.createDataFrame([(["a", "b"], ["x", "y"]), (["a", "a"], None)], "t array<string>, hidden array<string>")
+    qs = spark.createDataFrame([(1, ["a"], "x"), (2, ["b", "c"], None)], "query_id int, t array<string>, corpus_id string")
+    got = {(r["corpus"], r["term"]): (r["n"], r["len"]) for r in R._term_counts(tokens, qs).collect()}
+    assert got == {("", ""): (2, 4), ("", "a"): (2, 4), ("", "b"): (1, 2), ("x", ""): (1, 2), ("x", "a"): (1, 2)}
+
+
 def test_empty_corpus_gives_no_rows(spark):
     units = spark.createDataFrame([], "unit_ord long, text string")
     assert R.bm25_topk(units, spark.createDataFrame([(1, "a")], "query_id long, text string")).count() == 0
