@@ -22,7 +22,7 @@ from pyspark.sql import types as ty
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from ..session import broadcast_if_bounded, cut_lineage
+from ..session import bounded_blocks, broadcast_if_bounded, cut_lineage
 
 # BM25, fusion and candidate constants, and the floor of a vector norm.
 K1, B = 1.5, 0.75
@@ -42,20 +42,7 @@ def _optional(df: DataFrame, name: str, kind: str):
 
 
 def _query_blocks(queries: DataFrame, payload: str) -> Iterator[tuple[list, int]]:
-    """Bounded lists of query rows. One block normally; else hashed blocks sized from measured rows and bytes."""
-    size = F.octet_length(F.col(payload).cast("string")).cast("bigint")
-    n, total = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK_QUERIES), -(-total // BLOCK_BYTES))
-    if blocks == 1:
-        rows = queries.collect()
-        if rows:
-            yield rows, 1
-        return
-    block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
-    for i in range(2 * blocks):
-        rows = queries.where(block == i).collect()
-        if rows:
-            yield rows, 2 * blocks
+    return bounded_blocks(queries, "query_id", payload, BLOCK_QUERIES, BLOCK_BYTES)
 
 
 def _keep_best(scored: Iterator[tuple[np.ndarray, np.ndarray]], n_queries: int, k: int):

@@ -1,10 +1,10 @@
 """Hold-out hygiene: every copy of a held entry leaves the corpus that answers it.
 
 Five signals mark a copy: same id; same block on another url; similar question; token Jaccard; shingle
-containment. Each is its own join driven by the held side, which is broadcast when measured small, so the
-corpus is scanned and never shuffled; only matches are. No pair is formed without a shared key, except for the
-question ratio, which has no exact index: there each task compares its questions to the held ones in place, after
-bounds on shared letters and on the longest common subsequence.
+containment. Each is its own join driven by the held side: ids and blocks are broadcast when measured small, token and
+shingle sets are indexed in bounded blocks, so the corpus is scanned and never shuffled; only matches are. No pair is formed without
+a shared key, except for the question ratio, which has no exact index: there each task compares its questions to the held ones in
+place, after bounds on shared letters and on the longest common subsequence.
 """
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import broadcast_if_bounded, cut_lineage
+from . import overlap
 
 # Inclusive thresholds of the three similarity signals.
 QUESTION_RATIO, JACCARD_MIN, CONTAINMENT_MIN = 0.6, 0.3, 0.2
@@ -27,36 +28,13 @@ PAIR_CELLS = 2_000_000  # titles x held titles compared at a time within a task
 
 
 def jaccard_pairs(held: DataFrame, other: DataFrame, minimum: float = JACCARD_MIN) -> DataFrame:
-    """held(held_ord, text) x other(entry_ord, text) with distinct-token Jaccard >= minimum (> 0).
+    """held(held_ord, text) x other(entry_ord, text) with distinct-token Jaccard >= minimum (> 0)."""
+    return overlap.jaccard(held, other, minimum)
 
-    Set sizes ride along with the tokens: pairs whose sizes alone rule the threshold out never leave the join,
-    and the count per pair is complete before the exchange because a row's tokens stay in its task.
-    """
-    def sets(df, key, size):
-        listed = df.select(key, F.array_distinct(T.words(F.col("text"))).alias("t"))
-        # never null: a nullable size in the join condition would push a second tokenising filter into the scan
-        return listed.select(key, F.coalesce(F.size("t"), F.lit(0)).alias(size), F.explode_outer("t").alias("token"))
-
-    h = broadcast_if_bounded(sets(held, "held_ord", "hs"))
-    o = sets(other, "entry_ord", "os")
-    fits = (F.col("os") >= minimum * F.col("hs") - 1e-6) & (F.col("hs") >= minimum * F.col("os") - 1e-6)
-    shared = (o.join(h, "token").where(fits)
-              .groupBy("held_ord", "entry_ord", "hs", "os").agg(F.count("*").alias("c")))
-    score = F.col("c") / (F.col("hs") + F.col("os") - F.col("c"))
-    return shared.select("held_ord", "entry_ord", score.alias("jaccard")).where(F.col("jaccard") >= minimum)
-
-
-def containment_pairs(held: DataFrame, other: DataFrame, n: int = T.SHINGLE_WORDS) -> DataFrame:
-    """Pairs sharing a shingle, with the contained share seen from either side."""
-    def grams(df, key, size):
-        s = T.shingle_sets(df, "text", key, n=n)
-        return s.select(key, F.size("shingles").alias(size), F.explode_outer("shingles").alias("g"))
 
-    h = broadcast_if_bounded(grams(held, "held_ord", "hs"))
-    shared = (grams(other, "entry_ord", "os").join(h, "g")
-              .groupBy("held_ord", "entry_ord", "hs", "os").agg(F.count("*").alias("c")))
-    return shared.select("held_ord", "entry_ord", (F.col("c") / F.col("hs")).alias("held_in_other"),
-                         (F.col("c") / F.col("os")).alias("other_in_held"))
+def containment_pairs(held: DataFrame, other: DataFrame, n: int = T.SHINGLE_WORDS, minimum: float = 0.0) -> DataFrame:
+    """Pairs sharing a shingle, with the contained share seen from either side; one of both is at least `minimum`."""
+    return overlap.containment(held, other, n, minimum)
 
 
 def _codes(title: str) -> np.ndarray:
@@ -174,8 +152,7 @@ def variants(entries: DataFrame, held: DataFrame, *, question_ratio: float | Non
         .where(F.col("url") != F.col("held_url")).select(*pair),
         jaccard_pairs(h.select("held_ord", whole), entries.select("entry_ord", whole), jaccard_min).select(*pair),
         containment_pairs(h.select("held_ord", F.col("answer").alias("text")),
-                          entries.select("entry_ord", F.col("answer").alias("text")))
-        .where((F.col("held_in_other") >= containment_min) | (F.col("other_in_held") >= containment_min)).select(*pair),
+                          entries.select("entry_ord", F.col("answer").alias("text")), minimum=containment_min).select(*pair),
     ]
     if question_ratio is not None:
         signals.append(question_pairs(h, entries, question_ratio).select(*pair))

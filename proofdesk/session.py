@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,18 @@ def broadcast_if_bounded(df: DataFrame, **limits) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, **limits) else df
 
 
+def bounded_blocks(df: DataFrame, key: str, payload: str, max_rows: int, max_bytes: int) -> Iterator[tuple[list, int]]:
+    """Bounded lists of rows, and how many there are. One block normally; else blocks by hash of `key`, sized from measured rows and bytes of `payload`."""
+    size = F.octet_length(F.col(payload).cast("string")).cast("bigint")
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(1, -(-n // max_rows), -(-total // max_bytes))
+    blocks = 2 * blocks if blocks > 1 else 1
+    for i in range(blocks):
+        rows = (df if blocks == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)).collect()
+        if rows:
+            yield rows, blocks
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input one partition per core before heavy per-row work.
 

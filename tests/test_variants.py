@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from proofdesk import session
+from proofdesk.operators import overlap
 from proofdesk.operators import variants as V
 
 
@@ -48,6 +49,7 @@ SCHEMA = "entry_ord long, id string, url string, block string, question string,
 def test_variants_equal_the_pairwise_definition(spark, monkeypatch, bounded):
     if not bounded:  # the paths taken when the held side is too large to broadcast
         monkeypatch.setattr(V, "HELD_TITLE_LIMIT", 0)
+        monkeypatch.setattr(overlap, "BLOCK_SETS", 2)
         monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", -1)
     rows = corpus(150, 11)
     entries = spark.createDataFrame(rows, SCHEMA)
