@@ -1,11 +1,14 @@
 """Page sources: the paged REST API, landed JSON snapshots, displayed pages and file fingerprints."""
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,9 @@ PAGES_PATH = "/wp-json/wp/v2/pages?per_page={per_page}&page={page}"
 PER_PAGE, TIMEOUT, PAUSE = 100, 60, 1.0
 AGENT = "Mozilla/5.0 (compatible; proofdesk)"
 
+DIGEST_BYTES = 8 << 20  # read at a time from a file
+DIGEST_TASKS = 4_096
+
 PAGE_SCHEMA = "page_ord bigint, id bigint, link string, modified string, content struct<rendered:string>"
 
 
@@ -133,7 +139,35 @@ def fetch_displayed(urls: DataFrame, fetch: Callable[[str], str] | None = None,
     return urls.select("url").distinct().mapInPandas(run, "url string, html string")
 
 
-def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256) for every file of a snapshot."""
-    return (spark.read.format("binaryFile").load(path)
-            .select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256")))
+def fingerprint(spark: SparkSession, path: str, open_file: Callable[[str], BinaryIO] | None = None) -> DataFrame:
+    """(file, sha256) for every file of a snapshot, each digested in bounded blocks by one task, whatever its length.
+
+    `open_file` opens a path of the store in a task; without it files of a file system that the workers mount are opened as such.
+    Other stores then go through Spark's own reader, which holds a file as one value, refuses one of 2 GB and leaves empty ones out.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    paths = [unquote(p) for p in files.inputFiles()]  # the listing, which the driver holds anyway
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    if open_file is None and not all(p.startswith("file:") for p in paths):
+        return files.select(name, F.sha2("content", 256).alias("sha256"))
+    get = open_file or _open_mounted
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "sha256": [_digest(get, p) for p in pdf["path"]]})
+
+    tasks = max(1, min(len(paths), DIGEST_TASKS))
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    return listed.repartition(tasks).mapInPandas(run, "path string, sha256 string").select(name, "sha256")
+
+
+def _open_mounted(path: str) -> BinaryIO:
+    return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+
+
+def _digest(get: Callable[[str], BinaryIO], path: str) -> str:
+    digest = hashlib.sha256()
+    with get(path) as stream:
+        while block := stream.read(DIGEST_BYTES):
+            digest.update(block)
+    return digest.hexdigest()
