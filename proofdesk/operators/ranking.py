@@ -147,8 +147,25 @@ def bm25_topk(units: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, k1:
     Repeated query tokens count again and contributions are added in query order. `round_to` ranks by rounded
     scores. A query with a corpus_id is scored on the statistics of what its corpus may see.
     """
+    parts, blocks = _bm25_parts(units, queries, k, k1, b, round_to)
+    if not parts:
+        return units.sparkSession.createDataFrame([], _result_schema(queries)).withColumn("rank", F.lit(0))
+    return _ranked_blocks(parts, k, blocks)
+
+
+def bm25_scores(units: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, round_to: int | None = None) -> DataFrame:
+    """(query_id, unit_ord, score) of every unit that shares a token with the query and is not hidden from it; all others score 0.
+
+    Scores are those of `bm25_topk`. Rows leave the tasks as they are made and nothing is shuffled, so only the sink limits them.
+    """
+    parts, _ = _bm25_parts(units, queries, None, k1, b, round_to)
+    return reduce(DataFrame.unionByName, parts) if parts else units.sparkSession.createDataFrame([], _result_schema(queries))
+
+
+def _bm25_parts(units, queries, k, k1, b, round_to) -> tuple[list[DataFrame], int]:
+    """One scan of the units per block of queries, and how many blocks there are."""
     tokens = units.select("unit_ord", T.words(F.col("text")).alias("t"), _optional(units, "hidden", "array<string>"))
-    with_hidden = "hidden" in units.columns
+    source = tokens if "hidden" in units.columns else tokens.drop("hidden")
     qs = queries.select("query_id", "text", T.words(F.col("text")).alias("t"), _optional(queries, "corpus_id", "string"))
     schema = _result_schema(queries)
     id_type = to_arrow_type(schema["query_id"].dataType)
@@ -159,11 +176,8 @@ def bm25_topk(units: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, k1:
             counts = cut_lineage(counts) if blocks > 1 else counts
         vocab = sorted({t for r in rows for t in r["t"] or ()})
         kernel = _bm25_kernel(rows, vocab, _block_stats(counts, rows, blocks), k, k1, b, round_to, id_type)
-        source = tokens if with_hidden else tokens.drop("hidden")
         parts.append(source.mapInArrow(kernel, schema))
-    if not parts:
-        return units.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    return _ranked_blocks(parts, k, blocks)
+    return parts, blocks
 
 
 def _triples(piece: pa.RecordBatch, known: pa.Array):
@@ -179,7 +193,7 @@ def _triples(piece: pa.RecordBatch, known: pa.Array):
 
 
 def _bm25_kernel(rows, vocab, stats, k, k1, b, round_to, id_type) -> Callable:
-    """k best units per query of the units of a task, from (term, unit, tf) triples.
+    """k best units per query of the units of a task, or all that match where k is None, from (term, unit, tf) triples.
 
     The units pass in chunks. A term's largest contribution in a chunk bounds what the chunk can add to a query; a query whose bounds
     do not reach its k-th best score leaves the chunk unscored. Memory goes with the triples of a chunk and k rows per query.
@@ -220,43 +234,66 @@ def _bm25_kernel(rows, vocab, stats, k, k1, b, round_to, id_type) -> Callable:
         most = np.bincount(flat_query, weights=flat_weight * top[flat_term], minlength=len(plans)) * (1 + BOUND_SLACK)
         return most if round_to is None else np.round(most, round_to)
 
-    def run(batches):
+    class Chunk:
+        """Scores of a chunk's units, a query at a time; contributions are shared by the queries of a corpus."""
+
+        def __init__(self, piece: pa.RecordBatch, known: pa.Array):
+            self.ords = piece.column("unit_ord").to_numpy()
+            self.length, self.starts, self.unit, self.tf = _triples(piece, known)
+            self.hidden = _hidden_rows(piece, members)
+            self.norm, self.memo = {}, {}
+
+        def scores(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+            """(score per unit, units that hold a term of the query): hidden units score -inf and are not among them."""
+            corpus, avg, terms = plans[q]
+            if corpus not in self.norm:
+                self.norm[corpus] = norms(self.length, avg)
+            s, met = np.zeros(len(self.length)), np.zeros(len(self.length), dtype=bool)
+            for term, weight in terms:
+                held = slice(self.starts[term], self.starts[term + 1])
+                at_units, f = self.unit[held], self.tf[held]
+                part = self.memo.get((corpus, term))
+                if part is None:
+                    part = self.memo[corpus, term] = weight * f * (k1 + 1) / (f + self.norm[corpus][at_units])
+                s[at_units] += part
+                met[at_units] = True
+            if round_to is not None:
+                s = np.round(s, round_to)
+            out = self.hidden.get(rows[q]["corpus_id"])
+            if out is not None:
+                s[out], met[out] = -np.inf, False
+            return s, met
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         known = pa.array(vocab, type=pa.string())
-        best = np.full((len(plans), k), -np.inf)
-        which = np.full((len(plans), k), np.iinfo(np.int64).max)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
-                piece = batch.slice(at, step)
-                ords = piece.column("unit_ord").to_numpy()
-                length, starts, unit, tf = _triples(piece, known)
-                most = bounds(length, starts, unit, tf)
-                live = (most > best[:, -1]) | ((most == best[:, -1]) & (ords.min() < which[:, -1]))
-                hidden = _hidden_rows(piece, members)
-                norm: dict = {}
-                memo: dict = {}
-                for q in np.flatnonzero(live):
-                    corpus, avg, terms = plans[q]
-                    if corpus not in norm:
-                        norm[corpus] = norms(length, avg)
-                    s = np.zeros(len(length))
-                    for term, weight in terms:
-                        at_units = unit[starts[term]:starts[term + 1]]
-                        part = memo.get((corpus, term))
-                        if part is None:
-                            f = tf[starts[term]:starts[term + 1]]
-                            part = memo[corpus, term] = weight * f * (k1 + 1) / (f + norm[corpus][at_units])
-                        s[at_units] += part
-                    if round_to is not None:
-                        s = np.round(s, round_to)
-                    if rows[q]["corpus_id"] in hidden:
-                        s[hidden[rows[q]["corpus_id"]]] = -np.inf
-                    hit = np.flatnonzero((s > best[q, -1]) | ((s == best[q, -1]) & (ords < which[q, -1]) & (s > -np.inf)))
-                    if len(hit):
-                        all_s, all_u = np.concatenate([best[q], s[hit]]), np.concatenate([which[q], ords[hit]])
-                        keep = np.lexsort((all_u, -all_s))[:k]
-                        best[q], which[q] = all_s[keep], all_u[keep]
+                yield Chunk(batch.slice(at, step), known)
+
+    def every(batches):
+        for c in chunks(batches):
+            for q in range(len(plans)):
+                s, met = c.scores(q)
+                hit = np.flatnonzero(met)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(hit), q))), pa.array(c.ords[hit]), pa.array(s[hit])],
+                                                     names=["query_id", "unit_ord", "score"])
+
+    def run(batches):
+        best = np.full((len(plans), k), -np.inf)
+        which = np.full((len(plans), k), np.iinfo(np.int64).max)
+        for c in chunks(batches):
+            most = bounds(c.length, c.starts, c.unit, c.tf)
+            live = (most > best[:, -1]) | ((most == best[:, -1]) & (c.ords.min() < which[:, -1]))
+            for q in np.flatnonzero(live):
+                s, _ = c.scores(q)
+                hit = np.flatnonzero((s > best[q, -1]) | ((s == best[q, -1]) & (c.ords < which[q, -1]) & (s > -np.inf)))
+                if len(hit):
+                    all_s, all_u = np.concatenate([best[q], s[hit]]), np.concatenate([which[q], c.ords[hit]])
+                    keep = np.lexsort((all_u, -all_s))[:k]
+                    best[q], which[q] = all_s[keep], all_u[keep]
         yield _emit(best, which, ids)
-    return run
+    return every if k is None else run
 
 
 def _hidden_rows(piece: pa.RecordBatch, members: dict) -> dict[str, list[int]]:
@@ -286,11 +323,25 @@ def dense_topk(units: DataFrame, queries: DataFrame, k: int = CANDIDATES, *, rou
     return _ranked_blocks(parts, k, blocks)
 
 
+def dense_scores(units: DataFrame, queries: DataFrame, minimum: float | None = None, *, round_to: int | None = None) -> DataFrame:
+    """(query_id, unit_ord, score): cosine of every unit that a query may see, or of those at `minimum` and above.
+
+    Without a minimum that is a row per query and unit; rows leave the tasks as they are made and nothing is shuffled.
+    """
+    us = units.select("unit_ord", "embedding", *(["hidden"] if "hidden" in units.columns else []))
+    qs = queries.select("query_id", "embedding", _optional(queries, "corpus_id", "string"))
+    schema = _result_schema(queries)
+    id_type = to_arrow_type(schema["query_id"].dataType)
+    floor = -np.inf if minimum is None else minimum
+    parts = [us.mapInArrow(_dense_kernel(rows, None, round_to, id_type, floor), schema) for rows, _ in _query_blocks(qs, "embedding")]
+    return reduce(DataFrame.unionByName, parts) if parts else units.sparkSession.createDataFrame([], schema)
+
+
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.clip(np.linalg.norm(m, axis=1, keepdims=True), NORM_FLOOR, None)
 
 
-def _dense_kernel(rows, k, round_to, id_type) -> Callable:
+def _dense_kernel(rows, k, round_to, id_type, floor=-np.inf) -> Callable:
     q = _unit_rows(np.array([r["embedding"] for r in rows], dtype=float))
     ids = pa.array([r["query_id"] for r in rows], type=id_type)
     members = _members(rows)
@@ -308,9 +359,15 @@ def _dense_kernel(rows, k, round_to, id_type) -> Callable:
                     _mask_hidden(s, piece.column("hidden"), members)
                 yield piece.column("unit_ord").to_numpy(), s
 
+    def every(batches):
+        for ords, s in chunks(batches):
+            at, unit = np.nonzero((s > -np.inf) & (s >= floor))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(ords[unit]), pa.array(s[at, unit])],
+                                             names=["query_id", "unit_ord", "score"])
+
     def run(batches):
         yield _emit(*_keep_best(chunks(batches), len(rows), k), ids)
-    return run
+    return every if k is None else run
 
 
 # ---------- fusion ----------

@@ -271,6 +271,8 @@ def oracle_sql() -> dict[str, str]:
         "bm25_stats": f"""WITH tf AS (SELECT unnest(list_distinct({TOKS.format(c='text')})) AS term FROM documents), c AS (SELECT count(*) AS n FROM documents)
           SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM tf, c GROUP BY term""",
         "bm25_top40": f"WITH {LEXICAL} SELECT item_id, doc_id, score, rank::BIGINT AS rank FROM lex",
+        "bm25_scores": f"WITH {LEXICAL} SELECT item_id, doc_id, round(s, 6) AS score FROM sc",
+        "dense_scores": f"WITH {DENSE} SELECT item_id, doc_id, score FROM dn",
         "dense_top40": f"WITH {DENSE} SELECT item_id, doc_id, score, rank::BIGINT AS rank FROM den",
         "rrf": f"""WITH {LEXICAL}, {DENSE}, lists AS (SELECT item_id, doc_id, rank FROM lex UNION ALL SELECT item_id, doc_id, rank FROM den),
           fu AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS s FROM lists GROUP BY item_id, doc_id)

@@ -225,11 +225,26 @@ def _lexical(spark, sf):
     return ranking.bm25_topk(_units(spark, sf), _emails(spark, sf), round_to=DIGITS)
 
 
-def _dense(spark, sf):
+def _vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(units, queries) of the cosine queries."""
     e = _t(spark, sf, "embeddings")
     asked = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).join(
         e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
-    return ranking.dense_topk(e.select(F.col("vec_id").alias("unit_ord"), "embedding"), asked, round_to=DIGITS)
+    return e.select(F.col("vec_id").alias("unit_ord"), "embedding"), asked
+
+
+def _dense(spark, sf):
+    return ranking.dense_topk(*_vectors(spark, sf), round_to=DIGITS)
+
+
+def bm25_scores(spark, sf):
+    scored = ranking.bm25_scores(_units(spark, sf), _emails(spark, sf), round_to=DIGITS)
+    return scored.select(F.col("query_id").alias("item_id"), F.col("unit_ord").alias("doc_id"), "score")
+
+
+def dense_scores(spark, sf):
+    scored = ranking.dense_scores(*_vectors(spark, sf), round_to=DIGITS)
+    return scored.select(F.col("query_id").alias("item_id"), F.col("unit_ord").alias("doc_id"), "score")
 
 
 def bm25_top40(spark, sf):
@@ -442,6 +457,6 @@ def grader_prompts(spark, sf):
 QUERIES = {f.__name__: f for f in (
     token_counts, nwords, sentences, windows3, chunk_words, shingle_counts, html_clean, visible_text, quote_check, received_headers,
     json_fields, faq_extract, exclude_urls, page_verify, page_missing, fingerprint, jaccard_pairs, containment, holdout_semi,
-    holdout_anti, title_ratio, variants_all, bm25_stats, bm25_top40, dense_top40, rrf, rerank_shared, rerank_listwise, budget_pack, hybrid_pack,
+    holdout_anti, title_ratio, variants_all, bm25_stats, bm25_top40, bm25_scores, dense_top40, dense_scores, rrf, rerank_shared, rerank_listwise, budget_pack, hybrid_pack,
     passage_units, passage_pack, passage_pack_v1, context_full, pool_filter, seeded_sample, lookup_strict, lookup_lenient, only_cases,
     grade_parse, outcome_summary, paired, call_key, missing_calls, texts_to_embed, reply_overlap, answer_prompts, grader_prompts)}

@@ -91,6 +91,39 @@ def test_chunks_that_cannot_reach_the_best_are_not_scored(monkeypatch):
     assert out.column("unit_ord").to_pylist() == [700, *range(39)] and len(merged) == 3
 
 
+@pytest.mark.parametrize("block", [2000, 3])
+def test_scores_of_all_matching_units(spark, monkeypatch, texts, block):
+    monkeypatch.setattr(R, "BLOCK_QUERIES", block)
+    docs, queries = texts
+    units = spark.createDataFrame([(i, d, ["x"] if i % 2 else None) for i, d in enumerate(docs)], "unit_ord long, text string, hidden array<string>").repartition(3)
+    qs = spark.createDataFrame([(q, t, "x" if q == 1 else None) for q, t in enumerate(queries)], "query_id int, text string, corpus_id string")
+    got = {(r["query_id"], r["unit_ord"]): r["score"] for r in R.bm25_scores(units, qs).collect()}
+    want = {}
+    for q, text in enumerate(queries):
+        ids = [i for i in range(len(docs)) if q != 1 or i % 2 == 0]
+        for i, score in zip(ids, bm25([docs[i] for i in ids], text)):
+            if set(toks(docs[i])) & set(toks(text)):
+                want[q, i] = score
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k], rtol=1e-12) for k in want)
+
+
+def test_cosine_of_all_units_and_of_those_at_a_minimum(spark):
+    r = np.random.default_rng(1)
+    vectors = r.normal(size=(60, 8))
+    vectors[7] = 0
+    units = spark.createDataFrame([(i, v.tolist(), ["x"] if i < 5 else None) for i, v in enumerate(vectors)], "unit_ord long, embedding array<double>, hidden array<string>")
+    qs = spark.createDataFrame([(f"q{i}", vectors[i].tolist(), "x" if i == 0 else None) for i in range(4)], "query_id string, embedding array<double>, corpus_id string")
+    length = np.clip(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9, None)
+    cosine = (vectors / length) @ (vectors / length).T
+    want = {(f"q{i}", j): cosine[i, j] for i in range(4) for j in range(60) if not (i == 0 and j < 5)}
+    for minimum in (None, 0.3):
+        got = {(x["query_id"], x["unit_ord"]): x["score"] for x in R.dense_scores(units, qs, minimum).collect()}
+        kept = {k: v for k, v in want.items() if minimum is None or v >= minimum}
+        assert got.keys() == kept.keys() and all(np.isclose(got[k], kept[k]) for k in kept)
+    assert R.dense_scores(units.limit(0), qs).count() == 0 and R.bm25_scores(spark.createDataFrame([], "unit_ord long, text string"),
+                                                                             spark.createDataFrame([(1, "a")], "query_id int, text string")).count() == 0
+
+
 def test_counts_are_limited_to_what_the_queries_ask(spark):
     tokens = spark.createDataFrame([(["a", "b"], ["x", "y"]), (["a", "a"], None)], "t array<string>, hidden array<string>")
     qs = spark.createDataFrame([(1, ["a"], "x"), (2, ["b", "c"], None)], "query_id int, t array<string>, corpus_id string")
