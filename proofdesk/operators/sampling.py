@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 MIN_WORDS = 25
-RANGES, GROUP = 4_096, 64  # splitters, and how many are searched together
+RANGES, GROUP = 1_024, 32  # splitters, and how many are searched together
 
 
 def pool(entries: DataFrame, urls, min_words: int = MIN_WORDS) -> DataFrame:
