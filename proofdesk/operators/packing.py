@@ -4,10 +4,11 @@ A query's candidates are at most `CANDIDATES`, so packing works on one bounded a
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import BROADCAST_MAX_BYTES
 from .extract import WINDOW_BITS, pack_ordinal
 
 # Default budget and the mark printed between non-adjacent sentences.
@@ -176,9 +177,85 @@ def full_context(visible: DataFrame, *corpus: str, max_bytes: int = MAX_CONTEXT_
         "page_modified", "url", "entry_ord",
         T.entry_text(F.col("url"), F.col("modified"), F.col("question"), F.col("answer")).alias("text")).alias("e"))
     size = F.sum(F.octet_length("e.text").cast("bigint"))
-    largest = keyed.groupBy(*corpus).agg(size.alias("b")).agg(F.max("b")).first()[0] or 0
-    if largest > max_bytes:
-        raise ValueError(f"a corpus of {largest} bytes cannot be one prompt (limit {max_bytes}); "
-                         "leave the full-corpus reader out or read it with ordered_entries")
+    _refuse_beyond(max_bytes, keyed.groupBy(*corpus).agg(size.alias("b")).agg(F.max("b")).first()[0])
     return keyed.groupBy(*corpus).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list("e")), lambda x: x["text"]), "\n\n").alias("context"))
+
+
+def _refuse_beyond(max_bytes: int, largest: int | None) -> None:
+    if (largest or 0) > max_bytes:
+        raise ValueError(f"a corpus of {largest} bytes cannot be one prompt (limit {max_bytes}); "
+                         "leave the full-corpus reader out or read it with ordered_entries")
+
+
+def held_contexts(entries: DataFrame, removed: DataFrame, corpora: DataFrame, *site: str, max_bytes: int = MAX_CONTEXT_BYTES) -> DataFrame:
+    """(site.., held_ord, context): the text of each corpus, which is its site without the entries removed from it.
+
+    entries(site.., entry_ord, url, modified, question, answer), removed(site.., held_ord, entry_ord), corpora(site.., held_ord); without
+    `site` all entries are one. Repeated rows count once, removed entries that the site lacks are ignored, a corpus without entries has the text "".
+
+    The entries of a site are put in order once. A corpus is a short list of stretches of that order: what lies between its removed entries,
+    and the rest of a page whose first entries are removed, if the page counts from another date then. So entries are never multiplied by corpora:
+    the sizes come by subtraction, and the stretches from as many rows as are removed. A corpus over `max_bytes` is refused.
+    """
+    at, key = list(site), [*site, "held_ord"]
+    if not site:
+        at, key = ["_site"], ["_site", "held_ord"]
+        entries, removed, corpora = (d.withColumn("_site", F.lit(0)) for d in (entries, removed, corpora))
+    wanted = corpora.select(*key).distinct()
+    text = T.entry_text(F.col("url"), F.col("modified"), F.col("question"), F.col("answer"))
+    ordered = ordered_entries(entries, *at).select(*at, "page_modified", "url", "entry_ord", "modified", text.alias("text"))
+    reading = Window.partitionBy(*at).orderBy("page_modified", "url", "entry_ord")
+    page = Window.partitionBy(*at, "url").orderBy("entry_ord")
+    places = ordered.select(*at, "page_modified", "url", "entry_ord", "modified", F.octet_length("text").cast("bigint").alias("bytes")).select(
+        "*", (F.row_number().over(reading) - 1).alias("place"), (F.row_number().over(page) - 1).alias("nth"))
+    gone = removed.select(*key, "entry_ord").distinct().join(wanted, key, "left_semi").join(places, [*at, "entry_ord"])
+
+    whole = places.groupBy(*at).agg(F.sum("bytes").alias("bytes"), F.count("*").cast("int").alias("n"))
+    less = gone.groupBy(*key).agg(F.sum("bytes").alias("less"))
+    sized = wanted.join(whole, at).join(less, key, "left").select((F.col("bytes") - F.coalesce("less", F.lit(0))).alias("left"))
+    _refuse_beyond(max_bytes, sized.agg(F.max("left")).first()[0])
+
+    cuts = _cuts(gone, places, wanted.join(whole.select(*at, "n"), at), at, key)
+    earlier = Window.partitionBy(*key, "page").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    kept = cuts.withColumn("from", F.max("hi").over(earlier)).where(F.col("lo") > F.col("from"))
+    piece = F.struct(F.coalesce("before", "from").alias("at"), F.col("before").isNull().alias("base"), "dated", "page", "from", (F.col("lo") - F.col("from")).alias("n"))
+    listed = kept.groupBy(*key).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+
+    item = F.struct("page_modified", "url", "entry_ord", "text")
+    texts = ordered.groupBy(*at).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]).alias("texts"))
+    if (whole.agg(F.sum("bytes")).first()[0] or 0) <= BROADCAST_MAX_BYTES // 2:
+        texts = F.broadcast(texts)
+    shown = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice("texts", p["from"] + 1, p["n"]))), "\n\n")
+    found = listed.join(texts, at).select(*key, shown.alias("context"))
+    return wanted.join(found, key, "left").select(*site, "held_ord", F.coalesce("context", F.lit("")).alias("context"))
+
+
+def _cuts(gone: DataFrame, places: DataFrame, counted: DataFrame, at: list[str], key: list[str]) -> DataFrame:
+    """(key.., page, lo, hi, before, dated): what a corpus leaves out of the order, [lo, hi) each.
+
+    What lies between two cuts is kept. `page` is null in the order of the site; the rest of a page that moves has cuts of its own, and goes `before`
+    the place of the first page that comes later than it by its new date.
+    """
+    run = Window.partitionBy(*key, "url").orderBy("nth")
+    lost = gone.withColumn("run", F.row_number().over(run) - 1).where(F.col("run") == F.col("nth")).groupBy(*key, "url").agg(
+        F.count("*").cast("int").alias("nth"), F.first("page_modified").alias("was"))
+    pages = places.groupBy(*at, "url").agg(F.first("page_modified").alias("page_modified"), F.min("place").alias("start"), (F.max("place") + 1).alias("stop"))
+    moved = (lost.join(places.select(*at, "url", "nth", F.col("modified").alias("dated"), F.col("place").alias("lo")), [*at, "url", "nth"])
+             .where(~F.col("dated").eqNullSafe(F.col("was"))).join(pages.select(*at, "url", "stop"), [*at, "url"])
+             .select(*key, F.col("url").alias("page"), "lo", F.col("stop").alias("hi"), "dated"))
+    order = pages.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("page_modified", "url", "start"))).alias("pages"), F.max("stop").alias("n"))
+    later = F.filter("pages", lambda p: F.struct(p["page_modified"], p["url"]) > F.struct(F.col("dated").alias("page_modified"), F.col("page").alias("url")))
+    moved = moved.join(order, at).withColumn("before", F.coalesce(F.get(later, 0)["start"], F.col("n"))).drop("pages", "n")
+
+    def cut(df, lo, hi, page="cast(null as string)", before="cast(null as int)", dated="cast(null as string)"):
+        return df.select(*key, *(F.expr(e).alias(n) for e, n in ((page, "page"), (lo, "lo"), (hi, "hi"), (before, "before"), (dated, "dated"))))
+
+    own = ("page", "before", "dated")
+    inside = gone.select(*key, F.col("url").alias("page"), "place").join(moved, [*key, "page"]).where(F.col("place") >= F.col("lo"))
+    parts = [cut(counted, "0", "0"), cut(counted, "n", "n"), cut(gone, "place", "place + 1"), cut(moved, "lo", "hi"), cut(moved, "before", "before"),
+             cut(moved, "lo", "lo", *own), cut(moved, "hi", "hi", *own), cut(inside, "place", "place + 1", *own)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -52,6 +52,8 @@ ENTRIES = r"""SELECT doc_id, source || ':' || doc_id AS id, 'https://' || source
   'faq-' || n_chars AS block, regexp_extract(text, '^[^.!?\n]*') AS question, text AS answer FROM documents"""
 HELD = r"""SELECT item_id, 'bench:' || item_id AS id, 'https://bench.example/' AS url, 'faq-' || length(text) AS block,
   regexp_extract(text, '^[^.!?\n]*') AS question, text AS answer FROM benchmark"""
+TURNS = r"""SELECT conv_id, turn::BIGINT AS turn, 'https://conv.example/' || role || '/' AS url,
+  '2024-01-' || lpad((length(text) % 28 + 1)::VARCHAR, 2, '0') AS modified, regexp_extract(text, '^[^.!?\n]*') AS question, text AS answer FROM conversations"""
 HEAD = "'[' || url || ' | page updated ' || substr(modified, 1, 10) || ' | entry: ' || question || ']'"
 
 SHINGLES = "CASE WHEN len(t) >= 8 THEN list_distinct(list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i + 7], ' '))) ELSE [] END"
@@ -298,6 +300,15 @@ def oracle_sql() -> dict[str, str]:
         "passage_pack_v1": _passage_pack(1),
         "context_full": f"""WITH e AS ({ENTRIES}), f AS (SELECT url, arg_min(modified, doc_id) AS page_modified FROM e GROUP BY url)
           SELECT page_modified, url, doc_id, {HEAD} AS header, sha256({HEAD} || chr(10) || answer) AS text_sha FROM e JOIN f USING (url) ORDER BY page_modified, url, doc_id""",
+        "page_contexts": rf"""WITH e AS ({TURNS}) SELECT conv_id, url, length(c)::BIGINT AS n_chars, sha256(c) AS context_sha FROM (
+          SELECT conv_id, url, string_agg({HEAD} || chr(10) || answer, chr(10) || chr(10) ORDER BY turn) AS c FROM e GROUP BY ALL)""",
+        "held_contexts": rf"""WITH e AS ({TURNS}), w AS (SELECT *, regexp_extract(answer, '^\S*') AS w FROM e),
+          v AS (SELECT h.turn AS held, s.* FROM w h JOIN w s ON s.conv_id = h.conv_id AND s.w <> h.w),
+          f AS (SELECT conv_id, held, url, arg_min(modified, turn) AS page_modified FROM v GROUP BY ALL),
+          t AS (SELECT conv_id, held, string_agg({HEAD} || chr(10) || answer, chr(10) || chr(10) ORDER BY page_modified, url, turn) AS c
+                FROM v JOIN f USING (conv_id, held, url) GROUP BY ALL)
+          SELECT e.conv_id, turn, length(coalesce(c, ''))::BIGINT AS n_chars, sha256(coalesce(c, '')) AS context_sha
+          FROM e LEFT JOIN t ON t.conv_id = e.conv_id AND t.held = e.turn""",
         "pool_filter": f"SELECT doc_id, id FROM ({ENTRIES}) WHERE url IN ({_in(ENGLISH_PAGES)}) AND len({WORDS.format(c='answer')}) >= 25",
         "reply_overlap": rf"""WITH p AS (SELECT a.conv_id, a.turn, {TOKS.format(c='a.text')} AS r, {TOKS.format(c='m.text')} AS m FROM conversations a
           JOIN conversations m ON m.conv_id = a.conv_id AND m.turn + 1 = a.turn AND m.role = 'user' WHERE a.role = 'assistant'),

@@ -337,6 +337,30 @@ def context_full(spark, sf):
                     F.sha2(T.entry_text(F.col("url"), F.col("modified"), F.col("question"), F.col("answer")), 256).alias("text_sha")).orderBy("page_modified", "url", "doc_id")
 
 
+def _turns(spark, sf) -> DataFrame:
+    """Each conversation as a site of its own: a page per role, an entry per turn, dated by its length."""
+    n = F.length("text")
+    return _t(spark, sf, "conversations").select(
+        "conv_id", F.col("turn").cast("bigint").alias("entry_ord"), F.concat(F.lit("https://conv.example/"), "role", F.lit("/")).alias("url"),
+        F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0")).alias("modified"), F.regexp_extract("text", FIRST_CLAUSE, 0).alias("question"),
+        F.col("text").alias("answer"))
+
+
+def page_contexts(spark, sf):
+    """The joined text of each page of each conversation."""
+    c = packing.full_context(_turns(spark, sf), "conv_id", "url")
+    return c.select("conv_id", "url", _big(F.length("context")).alias("n_chars"), F.sha2("context", 256).alias("context_sha"))
+
+
+def held_contexts(spark, sf):
+    """The joined text of a conversation with a turn held out, and with it all turns that begin with the same word: once for every turn."""
+    t = _turns(spark, sf)
+    word = t.select("conv_id", "entry_ord", F.regexp_extract("answer", r"^\S*", 0).alias("w"))
+    removed = word.withColumnRenamed("entry_ord", "held_ord").join(word, ["conv_id", "w"]).select("conv_id", "held_ord", "entry_ord")
+    c = packing.held_contexts(t, removed, word.select("conv_id", F.col("entry_ord").alias("held_ord")), "conv_id")
+    return c.select("conv_id", F.col("held_ord").alias("turn"), _big(F.length("context")).alias("n_chars"), F.sha2("context", 256).alias("context_sha"))
+
+
 # ---------- sampling and lookups ----------
 
 def pool_filter(spark, sf):
@@ -458,5 +482,5 @@ QUERIES = {f.__name__: f for f in (
     token_counts, nwords, sentences, windows3, chunk_words, shingle_counts, html_clean, visible_text, quote_check, received_headers,
     json_fields, faq_extract, exclude_urls, page_verify, page_missing, fingerprint, jaccard_pairs, containment, holdout_semi,
     holdout_anti, title_ratio, variants_all, bm25_stats, bm25_top40, bm25_scores, dense_top40, dense_scores, rrf, rerank_shared, rerank_listwise, budget_pack, hybrid_pack,
-    passage_units, passage_pack, passage_pack_v1, context_full, pool_filter, seeded_sample, lookup_strict, lookup_lenient, only_cases,
+    passage_units, passage_pack, passage_pack_v1, context_full, page_contexts, held_contexts, pool_filter, seeded_sample, lookup_strict, lookup_lenient, only_cases,
     grade_parse, outcome_summary, paired, call_key, missing_calls, texts_to_embed, reply_overlap, answer_prompts, grader_prompts)}

@@ -73,12 +73,6 @@ def quotes_found(quotes, context_norm):
                     & F.contains(context_norm, T.quote_norm(q)))
 
 
-def _visible(entries: DataFrame, corpora: list, removed: DataFrame) -> DataFrame:
-    """entries once per held corpus, minus the rows removed from it. `corpora` is bounded by the sample size."""
-    per = entries.withColumn("held_ord", F.explode(F.lit(corpora).cast("array<bigint>")))
-    return per.join(removed, ["held_ord", "entry_ord"], "left_anti")
-
-
 # ---------- prepare ----------
 
 def prepare(spark: SparkSession, cfg, runner: S.Runner) -> DataFrame:
@@ -97,9 +91,9 @@ def prepare(spark: SparkSession, cfg, runner: S.Runner) -> DataFrame:
     asked = lookup.lookup_strict(held, emails, "id", "email")
 
     removed = S.land(variants.variants(entries, held.drop("sample_ord")), _table(cfg, "held_removed"))
-    ords = [r["entry_ord"] for r in held.select("entry_ord").collect()]
-    context = S.land(packing.full_context(_visible(entries, ords, removed), "held_ord", max_bytes=_limit(cfg)), _table(cfg, "held_context"))
-    asked = asked.withColumn("held_ord", F.col("entry_ord")).join(context, "held_ord", "left").fillna("", ["context"])
+    corpora = held.select(F.col("entry_ord").alias("held_ord"))
+    context = S.land(packing.held_contexts(entries, removed, corpora, max_bytes=_limit(cfg)), _table(cfg, "held_context"))
+    asked = asked.withColumn("held_ord", F.col("entry_ord")).join(context, "held_ord")
     names = removed.join(entries.select("entry_ord", "id"), "entry_ord").groupBy("held_ord").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("entry_ord", "id"))), lambda x: x["id"]).alias("removed_variants"))
     asked = asked.join(names, "held_ord")
@@ -235,13 +229,10 @@ def build_jobs(spark: SparkSession, cfg, make_embedder=None, scorer=None, runner
 
 def _full_contexts(entries, items, held, removed, limit) -> DataFrame:
     """Reader A: one text for all items that see the whole corpus, one per held entry."""
-    site = packing.full_context(entries.withColumn("held_ord", F.lit(-1).cast("bigint")), "held_ord", max_bytes=limit)
-    ords = [r["entry_ord"] for r in held.select("entry_ord").collect()]
-    if ords:
-        site = site.unionByName(packing.full_context(_visible(entries, ords, removed), "held_ord", max_bytes=limit))
     keyed = items.join(held.select(F.col("id").alias("held_id"), F.col("entry_ord").alias("held_ord")), "held_id", "left")
     keyed = keyed.select("item_ord", F.coalesce("held_ord", F.lit(-1)).alias("held_ord"))
-    return keyed.join(site, "held_ord", "left").select("item_ord", F.lit("A").alias("reader"), F.coalesce("context", F.lit("")).alias("context"))
+    context = packing.held_contexts(entries, removed, keyed, max_bytes=limit)
+    return keyed.join(context, "held_ord").select("item_ord", F.lit("A").alias("reader"), "context")
 
 
 def _source_texts(entries, items) -> DataFrame:

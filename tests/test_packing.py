@@ -110,6 +110,42 @@ def test_full_context_order_and_limit(spark):
         K.full_context(df, "c", max_bytes=10)
 
 
+def read_whole(rows, gone):
+    """Brute force: pages by the date of their first visible entry, then url, then entry."""
+    seen = [r for r in rows if r[1] not in gone]
+    dated = {u: min((r[1], r[3]) for r in seen if r[2] == u)[1] for u in {r[2] for r in seen}}
+    return "\n\n".join(f"[{u} | page updated {m[:10]} | entry: {q}]\n{a}" for _, _, u, m, q, a in sorted(seen, key=lambda r: (dated[r[2]], r[2], r[1])))
+
+
+def test_contexts_of_held_corpora(spark):
+    """Random sites and removals: pages that move, pages and corpora that vanish, removed runs at both ends, repeated and unknown rows."""
+    draw, rows, removed, corpora = random.Random(5), [], [], []
+    for s in range(6):
+        n = draw.randint(1, 14)
+        rows += [(s, i, f"u{draw.randint(0, 3)}", f"202{draw.randint(0, 3)}-01-01", f"q{i}", "a" * draw.randint(0, 3)) for i in range(n)]
+        corpora += [(s, h) for h in range(9)]
+        removed += [(s, h, i) for h in range(8) for i in range(n) if draw.random() < h / 7]
+    removed += removed[:3] + [(0, 1, 999), (0, 77, 0)]
+    entries = spark.createDataFrame(rows, "s int, entry_ord long, url string, modified string, question string, answer string")
+    lost, asked = spark.createDataFrame(removed, "s int, held_ord long, entry_ord long"), spark.createDataFrame(corpora + corpora[:2], "s int, held_ord long")
+    want = {(s, h): read_whole([r for r in rows if r[0] == s], {i for t, g, i in removed if (t, g) == (s, h)}) for s, h in corpora}
+    got = K.held_contexts(entries, lost, asked, "s").collect()
+    assert len(got) == len(want) and {(r["s"], r["held_ord"]): r["context"] for r in got} == want
+    one = K.held_contexts(entries.where("s = 2").drop("s"), lost.where("s = 2").drop("s"), asked.where("s = 2").drop("s"))
+    assert one.columns == ["held_ord", "context"] and {(2, r["held_ord"]): r["context"] for r in one.collect()} == {k: v for k, v in want.items() if k[0] == 2}
+    nothing = K.held_contexts(entries.where("s > 9"), lost, asked, "s").collect()
+    assert len(nothing) == len(want) and {r["context"] for r in nothing} == {""}
+
+
+def test_size_of_a_held_corpus_comes_by_subtraction(spark):
+    rows = [(i, "u", "2024-01-01", "q", "a" * 100) for i in range(4)]
+    entries = spark.createDataFrame(rows, "entry_ord long, url string, modified string, question string, answer string")
+    lost, asked = spark.createDataFrame([(0, 0), (0, 1), (0, 2)], "held_ord long, entry_ord long"), spark.createDataFrame([(0,), (1,)], "held_ord long")
+    assert K.held_contexts(entries, lost, asked.where("held_ord = 0"), max_bytes=200).first()["context"].count("entry:") == 1
+    with pytest.raises(ValueError, match="one prompt"):
+        K.held_contexts(entries, lost, asked, max_bytes=200)
+
+
 def test_rerank_order_and_exclusions(spark):
     cands = spark.createDataFrame([(1, "q", i, 10 + i, f"t{i}") for i in range(5)], "query_id long, question string, rank int, unit_ord long, text string")
     scores = [1.0, RR.LEFT_OUT, 2.0, 1.0, RR.LEFT_OUT]
