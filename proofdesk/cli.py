@@ -11,7 +11,7 @@ from .operators.extract import check_entries, check_summary, exclude_urls, extra
 from .plans import workflow as W
 from .session import build_session
 from .sources import pages
-from .sources.tables import Config, ModelCommand, write_rows
+from .sources.tables import Config, ModelCommand, drop_folders, write_rows
 
 
 def as_report(summary, paired) -> dict:
@@ -27,10 +27,12 @@ def as_report(summary, paired) -> dict:
 def verify(spark, snapshot: str, excluded=(), out: str | None = None, fetch=None):
     """(per-url counts, missing entries, fingerprints) of a snapshot against the displayed pages."""
     entries = exclude_urls(extract_entries(pages.load_pages(spark, snapshot)), excluded)
-    checked = check_entries(entries, pages.fetch_displayed(entries, fetch))
+    store = f"{out}.displayed" if out else None  # a run that breaks off is taken up from here
+    checked = check_entries(entries, pages.fetch_displayed(entries, fetch, store=store))
     if out:
         checked.write.mode("overwrite").parquet(out)  # fetched once, then read back
         checked = spark.read.parquet(out)
+        drop_folders(spark, store)
     return check_summary(checked), checked.where("missing").select("url", "id"), pages.fingerprint(spark, snapshot)
 
 

@@ -97,9 +97,11 @@ def exclude_urls(entries: DataFrame, urls: Iterable[str]) -> DataFrame:
 def check_entries(entries: DataFrame, displayed: DataFrame) -> DataFrame:
     """Per entry: is its whole answer in the displayed text of its page?  displayed(url, html), one row per url.
 
-    An entry whose page was not fetched fails the job instead of being reported as found or missing.
+    An entry whose page was not fetched, or was given twice, fails the job instead of being reported as found or missing.
     """
-    shown = displayed.select("url", T.visible_text(F.col("html")).alias("shown"))
+    twice = F.raise_error(F.concat(F.lit("page given twice: "), "url")).cast("string")
+    shown = (displayed.select("url", T.visible_text(F.col("html")).alias("shown")).groupBy("url").agg(F.first("shown").alias("shown"), F.count("*").alias("n"))
+             .select("url", F.when(F.col("n") > 1, twice).otherwise(F.col("shown")).alias("shown")))
     wanted = entries.select("entry_ord", "id", "url", T.display_norm(F.col("answer")).alias("wanted"))
     joined = wanted.join(shown, "url", "left")
     there = F.when(F.col("shown").isNull(), F.raise_error(F.concat(F.lit("page not fetched: "), "url")).cast("boolean")) \

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..session import spread
+from .tables import append_batch, read_batches
 
 # REST path, page size, timeout and politeness pause.
 PAGES_PATH = "/wp-json/wp/v2/pages?per_page={per_page}&page={page}"
@@ -25,6 +26,8 @@ AGENT = "Mozilla/5.0 (compatible; proofdesk)"
 DIGEST_BYTES = 8 << 20  # read at a time from a file
 DIGEST_TASKS = 4_096
 
+HOST = r"^[^:/?#]+://([^/?#]*)"
+SHOWN_SCHEMA = "url string, html string, problem string"
 PAGE_SCHEMA = "page_ord bigint, id bigint, link string, modified string, content struct<rendered:string>"
 
 
@@ -125,18 +128,52 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def fetch_displayed(urls: DataFrame, fetch: Callable[[str], str] | None = None, pause: float = PAUSE) -> DataFrame:
-    """urls(url) -> (url, html) of the pages as displayed; each distinct url is asked for once."""
+def fetch_displayed(urls: DataFrame, fetch: Callable[[str], str] | None = None, pause: float | None = None, lanes: int | None = None,
+                    store: str | None = None) -> DataFrame:
+    """urls(url) -> (url, html) of the pages as displayed; each distinct url is asked for once, a missing one never.
+
+    All urls of a host are in one of `lanes` tasks (one a core by default), which waits `pause` seconds between two requests to the same host.
+    With `store`, a folder, pages are kept there: a page that cannot be fetched is reported when all others are kept, and the next call asks for the
+    rest alone. Without it the first failure fails the job.
+    """
     get = fetch or (lambda url: http_get(url).decode("utf-8", "replace"))
-    wait = pause if fetch is None else 0.0
+    wait = (PAUSE if fetch is None else 0.0) if pause is None else pause
+    spark = urls.sparkSession
+    wanted = urls.select("url").where(F.col("url").isNotNull()).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for pdf in batches:
-            for url in pdf["url"]:
-                time.sleep(wait)
-                yield pd.DataFrame({"url": [url], "html": [get(url)]})
-
-    return urls.select("url").distinct().mapInPandas(run, "url string, html string")
+            for url, host in zip(pdf["url"], pdf["host"]):
+                if host == last:
+                    time.sleep(wait)
+                last, html, problem = host, None, None
+                try:
+                    html = get(url)
+                except Exception as e:
+                    if store is None:
+                        raise
+                    problem = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"url": [url], "html": [html], "problem": [problem]})
+
+    def asked(todo: DataFrame) -> DataFrame:
+        host = F.lower(F.regexp_extract("url", HOST, 1)).alias("host")
+        lined = todo.select("url", host).repartition(lanes or max(spark.sparkContext.defaultParallelism, 1), "host").sortWithinPartitions("host", "url")
+        return lined.mapInPandas(run, SHOWN_SCHEMA)
+
+    if store is None:
+        return asked(wanted).select("url", "html")
+    kept = read_batches(spark, store, SHOWN_SCHEMA).where("html is not null")
+    todo = wanted.join(kept.select("url"), "url", "left_anti")
+    if not todo.isEmpty():
+        append_batch(asked(todo), store)
+    every = read_batches(spark, store, SHOWN_SCHEMA).join(wanted, "url", "left_semi")
+    kept = every.where("html is not null")
+    lost = every.join(kept.select("url"), "url", "left_anti").groupBy("url").agg(F.max("problem").alias("problem"))
+    if not lost.isEmpty():
+        first = lost.orderBy("url").first()
+        raise RuntimeError(f"{lost.count()} pages were not fetched, the others are kept; {first['url']}: {first['problem']}")
+    return kept.dropDuplicates(["url"]).select("url", "html")
 
 
 def fingerprint(spark: SparkSession, path: str, open_file: Callable[[str], BinaryIO] | None = None) -> DataFrame:

@@ -65,6 +65,44 @@ def test_verify_reports_what_the_page_lacks(spark, tmp_path):
     assert counts.count() == 0
 
 
+def test_a_page_given_twice_is_an_error(spark):
+    entries = spark.createDataFrame([(0, "a", "u", "x")], "entry_ord long, id string, url string, answer string")
+    with pytest.raises(Exception, match="page given twice: u"):
+        X.check_entries(entries, spark.createDataFrame([("u", "x"), ("u", "y")], "url string, html string")).collect()
+
+
+def test_displayed_pages_come_in_host_lanes_and_are_taken_up_again(spark, tmp_path):
+    store, log = str(tmp_path / "shown"), tmp_path / "log"
+    log.mkdir()
+    urls = spark.createDataFrame([(f"https://h{i % 3}.example/{i // 3}",) for i in range(12)] * 2 + [(None,)], "url string")
+
+    def fetch(bad):
+        def get(url):
+            import os
+            import time
+            import uuid
+            (log / uuid.uuid4().hex).write_text(f"{time.time()} {os.getpid()} {url}")
+            if url in bad:
+                raise OSError("unreachable")
+            return f"<p>{url}</p>"
+        return get
+
+    def asked():
+        return sorted(p.read_text().split() for p in log.iterdir())
+
+    with pytest.raises(RuntimeError, match="1 pages were not fetched, the others are kept; https://h1.example/2: OSError: unreachable"):
+        SP.fetch_displayed(urls, fetch({"https://h1.example/2"}), pause=0.3, lanes=3, store=store)
+    assert len(asked()) == 12, "each distinct url once, a failed one too"
+    for host in ("h0", "h1", "h2"):
+        own = [(float(t), pid) for t, pid, u in asked() if f"/{host}." in u]
+        assert len({pid for _, pid in own}) == 1 and all(b[0] - a[0] >= 0.3 for a, b in zip(own, own[1:])), "one paced lane a host"
+    got = SP.fetch_displayed(urls, fetch(()), pause=0.0, store=store).collect()
+    assert sorted(r["url"] for r in got) == sorted({f"https://h{i % 3}.example/{i // 3}" for i in range(12)}) and all(r["html"] == f"<p>{r['url']}</p>" for r in got)
+    assert [u for _, _, u in asked()][12:] == ["https://h1.example/2"], "nothing is fetched twice"
+    with pytest.raises(Exception, match="unreachable"):
+        SP.fetch_displayed(urls, fetch({"https://h1.example/2"})).collect()
+
+
 def test_rest_source_pages_until_short_or_400(spark, tmp_path):
     def site(total, past_end):
         def get(url):

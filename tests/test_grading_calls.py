@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,51 @@ def test_call_key_and_cache(spark, tmp_path):
     assert S.read_calls(spark, path).where(F.col("key") == "k" * 20).count() == 1
 
 
+def test_a_lookup_reads_the_wanted_buckets(spark, tmp_path):
+    path, schema = str(tmp_path / "calls"), "model string, system string, prompt string"
+    many = spark.createDataFrame([("m", "s", f"p{i}") for i in range(300)], schema)
+    S.cached_calls(many, lambda m, s, p: p, path).count()
+    S.append_batch(spark.createDataFrame([("o" * 20, "m", "r", {}, 0.0, [])], S.CALLS_SCHEMA), path)  # as older versions laid them down
+    asked = S.read_calls(spark, path).where("result in ('p7', 'p8')").select("key")
+    found = S.read_calls(spark, path, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan), plan
+    assert {"p7", "p8"} <= {r["result"] for r in found.collect()} and found.count() < 20
+    assert S.read_calls(spark, path, spark.createDataFrame([("o" * 20,)], "key string")).where("key like 'ooo%'").count() == 1
+    before = sorted(map(str, S.read_calls(spark, path).collect()))
+    S.append_calls(S.read_calls(spark, path, asked).where("result = 'p7'"), path)
+    S.compact_calls(spark, path)
+    assert len(S.batches(spark, path)) == 1 and sorted(map(str, S.read_calls(spark, path).collect())) == before
+    S.compact_calls(spark, path)
+    assert len(S.batches(spark, path)) == 1
+
+
+def test_a_failed_job_keeps_its_paid_calls(spark, tmp_path):
+    path, log = str(tmp_path / "calls"), tmp_path / "log"
+    log.mkdir()
+    asks = spark.createDataFrame([("m", "s", f"p{i}") for i in range(40)], "model string, system string, prompt string")
+    first = asks.withColumn("key", S.call_key(F.col("model"), F.col("system"), F.col("prompt"))).orderBy(S.call_bucket(F.col("key")).desc()).first()["prompt"]
+
+    def runner(fails):
+        def call(model, system, prompt):
+            import time
+            import uuid
+            if fails and prompt == first:
+                time.sleep(8)  # the other tasks end before
+                raise RuntimeError("no credit left")
+            (log / uuid.uuid4().hex).write_text(prompt)
+            return prompt
+        return call
+
+    with pytest.raises(Exception, match="no credit left"):
+        S.cached_calls(asks, runner(True), path)
+    kept = S.read_calls(spark, path).count()
+    assert 0 < kept < 40
+    paid = len(list(log.iterdir()))
+    assert S.cached_calls(asks, runner(False), path).count() == 40
+    assert len(list(log.iterdir())) - paid == 40 - kept, "only what was not kept is called again"
+
+
 PROGRAM = """
 import json, sys
 model, system = sys.argv[1:]
