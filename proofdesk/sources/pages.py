@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..session import spread
+from .arrays import json_objects, open_mounted
 from .tables import append_batch, read_batches
 
 # REST path, page size, timeout and politeness pause.
@@ -105,12 +106,17 @@ def fetch_pages(spark: SparkSession, site: str, out: str, source: type[DataSourc
     return out
 
 
-def load_pages(spark: SparkSession, path: str) -> DataFrame:
+def load_pages(spark: SparkSession, path: str, open_file: Callable[[str], BinaryIO] | None = None) -> DataFrame:
     """A landed folder (JSON lines with page_ord) or one file holding a JSON array, whose order becomes page_ord.
 
-    Rows without a page_ord are numbered densely: their place in their partition behind the sizes of the earlier partitions,
+    Tasks read a file by ranges of bytes, through `open_file` where the workers do not mount its file system; without one Spark's
+    own reader takes such a file as one value. Rows without a page_ord are numbered densely: their place in their partition behind the sizes of the earlier partitions,
     which are one row a partition.
     """
+    listed = None if _is_folder(spark, path) else json_objects(spark, path, open_file)
+    if listed is not None:
+        page = listed.select("at", F.from_json("value", PAGE_SCHEMA).alias("p"))
+        return spread(page.select(F.coalesce("p.page_ord", "at").alias("page_ord"), "p.id", "p.link", "p.modified", "p.content"))
     raw = spark.read.option("multiLine", not _is_folder(spark, path)).schema(PAGE_SCHEMA).json(path)
     at = F.monotonically_increasing_id()
     placed = raw.withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND((1 << 33) - 1))
@@ -187,7 +193,7 @@ def fingerprint(spark: SparkSession, path: str, open_file: Callable[[str], Binar
     name = F.element_at(F.split("path", "/"), -1).alias("file")
     if open_file is None and not all(p.startswith("file:") for p in paths):
         return files.select(name, F.sha2("content", 256).alias("sha256"))
-    get = open_file or _open_mounted
+    get = open_file or open_mounted
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -198,10 +204,6 @@ def fingerprint(spark: SparkSession, path: str, open_file: Callable[[str], Binar
     return listed.repartition(tasks).mapInPandas(run, "path string, sha256 string").select(name, "sha256")
 
 
-def _open_mounted(path: str) -> BinaryIO:
-    return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
-
-
 def _digest(get: Callable[[str], BinaryIO], path: str) -> str:
     digest = hashlib.sha256()
     with get(path) as stream:
