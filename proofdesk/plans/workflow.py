@@ -291,16 +291,22 @@ def read_graded(spark: SparkSession, cfg, src: str = "graded", extra: str = "")
 
 def regrade(spark: SparkSession, cfg, runner, make_embedder=None, scorer=None, src="graded", dst="graded_site",
             readers=READERS) -> DataFrame:
-    """Grade the same replies again with the whole site in view; the first grading stays as it is."""
-    jobs = build_jobs(spark, cfg, make_embedder, scorer, runner, readers=readers, name="regrade_jobs").select("experiment", "case", "reader", "question", "expect", "sources")
-    key = ["experiment", "case", "reader"]
+    """Grade the same replies again with the whole site in view; the first grading stays as it is.
+
+    What grading needs of a job are its question, expectation and sources, so nothing is retrieved, embedded or packed; `make_embedder` and
+    `scorer` are accepted as in `run` and not used.
+    """
+    entries = corpus(spark, cfg)
+    notes, items = _items(spark, cfg, None)
+    items = S.land(items, _table(cfg, "regrade_items"))
+    named = _source_texts(entries, items).select("item_ord", F.col("lenient").alias("sources"))
+    jobs = items.drop("sources").join(named, "item_ord").select("experiment", "case", "question", "expect", "sources", "held_id")
     rows = read_graded(spark, cfg, src).drop("grade_call", "outcome", "evidence", "keeps", "loses", "extras", "success")
-    known = rows.join(jobs, key, "left_semi").count()
-    if known != rows.count():
+    asked = F.col("reader").isin(list(readers)) & ((F.col("reader") != "O") | F.col("held_id").isNull())
+    again = rows.join(jobs, ["experiment", "case"]).where(asked).drop("held_id")
+    if again.select("row_ord").distinct().count() != rows.count():
         raise KeyError("graded rows without a matching job")
-    notes, _ = S.load_cases(spark, cfg.path("cases"))
-    entries = spark.read.parquet(_table(cfg, "entries"))
-    out = _graded(cfg, rows.join(jobs, key), runner, _site(cfg, entries), notes)
+    out = _graded(cfg, again, runner, _site(cfg, entries), notes)
     S.write_rows(out.withColumn("graded_with", F.lit(GRADED_WITH_SITE)), cfg.path("out", dst))
     return read_graded(spark, cfg, dst, ", graded_with string")
 
