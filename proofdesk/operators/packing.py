@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import BROADCAST_MAX_BYTES
+from ..session import BROADCAST_MAX_BYTES, cut_lineage
 from .extract import WINDOW_BITS, pack_ordinal
 
 # Default budget and the mark printed between non-adjacent sentences.
@@ -204,17 +204,20 @@ def held_contexts(entries: DataFrame, removed: DataFrame, corpora: DataFrame, *s
         entries, removed, corpora = (d.withColumn("_site", F.lit(0)) for d in (entries, removed, corpora))
     wanted = corpora.select(*key).distinct()
     text = T.entry_text(F.col("url"), F.col("modified"), F.col("question"), F.col("answer"))
+    weighed = entries.select(*at, "entry_ord", F.octet_length(text).cast("bigint").alias("bytes"))
+    whole = weighed.groupBy(*at).agg(F.sum("bytes").alias("bytes"), F.count("*").cast("int").alias("n"))
+    lost = removed.select(*key, "entry_ord").distinct().join(wanted, key, "left_semi")
+    less = lost.join(weighed, [*at, "entry_ord"]).groupBy(*key).agg(F.sum("bytes").alias("less"))
+    sized = wanted.join(whole, at).join(less, key, "left").select((F.col("bytes") - F.coalesce("less", F.lit(0))).alias("left"))
+    _refuse_beyond(max_bytes, sized.agg(F.max("left")).first()[0])
+
+    # From here on a site is what fits into one prompt and what is removed from it.
     ordered = ordered_entries(entries, *at).select(*at, "page_modified", "url", "entry_ord", "modified", text.alias("text"))
     reading = Window.partitionBy(*at).orderBy("page_modified", "url", "entry_ord")
     page = Window.partitionBy(*at, "url").orderBy("entry_ord")
-    places = ordered.select(*at, "page_modified", "url", "entry_ord", "modified", F.octet_length("text").cast("bigint").alias("bytes")).select(
-        "*", (F.row_number().over(reading) - 1).alias("place"), (F.row_number().over(page) - 1).alias("nth"))
-    gone = removed.select(*key, "entry_ord").distinct().join(wanted, key, "left_semi").join(places, [*at, "entry_ord"])
-
-    whole = places.groupBy(*at).agg(F.sum("bytes").alias("bytes"), F.count("*").cast("int").alias("n"))
-    less = gone.groupBy(*key).agg(F.sum("bytes").alias("less"))
-    sized = wanted.join(whole, at).join(less, key, "left").select((F.col("bytes") - F.coalesce("less", F.lit(0))).alias("left"))
-    _refuse_beyond(max_bytes, sized.agg(F.max("left")).first()[0])
+    places = cut_lineage(ordered.select(*at, "page_modified", "url", "entry_ord", "modified").select(
+        "*", (F.row_number().over(reading) - 1).alias("place"), (F.row_number().over(page) - 1).alias("nth")))
+    gone = cut_lineage(lost.join(places, [*at, "entry_ord"]))
 
     cuts = _cuts(gone, places, wanted.join(whole.select(*at, "n"), at), at, key)
     earlier = Window.partitionBy(*key, "page").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
