@@ -8,8 +8,10 @@ place, after bounds on shared letters and on the longest common subsequence.
 """
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,14 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import broadcast_if_bounded, cut_lineage
+from ..session import bounded_blocks, broadcast_if_bounded, cut_lineage
 from . import overlap
 
 # Inclusive thresholds of the three similarity signals.
 QUESTION_RATIO, JACCARD_MIN, CONTAINMENT_MIN = 0.6, 0.3, 0.2
 
 HELD_TITLE_LIMIT = 5_000
-PAIR_CELLS = 2_000_000  # titles x held titles compared at a time within a task
+HELD_TITLE_BYTES = 2 << 20
+PAIR_CELLS = 1_000_000  # titles x held titles compared at a time within a task, titles x letters too
 
 
 def jaccard_pairs(held: DataFrame, other: DataFrame, minimum: float = JACCARD_MIN) -> DataFrame:
@@ -76,22 +79,28 @@ def _may_reach(common: int, total: int, minimum: float) -> bool:
     return total == 0 or 2.0 * common >= minimum * total - 1e-6
 
 
+def _length_bounds(size, minimum: float):
+    """Lengths that a partner of a title of this length has: 2 * common >= minimum * (both lengths), and no more is common than the shorter one has."""
+    return np.floor(size * minimum / (2 - minimum) - 1e-6), np.ceil(size * (2 - minimum) / minimum + 1e-6)
+
+
 def question_pairs(held: DataFrame, other: DataFrame, minimum: float = QUESTION_RATIO) -> DataFrame:
     """held(held_ord, question) x other(entry_ord, question): difflib ratio of lower-cased questions >= minimum.
 
-    One plan at every size: the distinct held titles are dealt by hash into blocks of about HELD_TITLE_LIMIT, and each block meets all other titles in the tasks
+    One plan at every size: the distinct held titles are dealt by hash into bounded blocks, by rows and bytes, and each block meets all other titles in the tasks
     that scan them. No titles are shuffled against each other; a title's pairs are then handed to all held entries that bear it. A null question has no pairs.
+    Titles of a length that no title of the block can match stay out of the tasks' Python.
     """
     h = held.select("held_ord", F.lower("question").alias("q")).where("q is not null")
     o = other.select("entry_ord", F.lower("question").alias("q")).where("q is not null")
     titles = cut_lineage(h.select("q").distinct().withColumn("title", F.monotonically_increasing_id()))
-    blocks = max(1, -(-titles.count() // max(1, HELD_TITLE_LIMIT)))
-    named = titles.withColumn("block", F.pmod(F.xxhash64("title"), F.lit(blocks)))
-    pairs = None
-    for at in range(blocks):
-        kept = [(r["title"], r["q"]) for r in named.where(F.col("block") == at).collect()]  # about HELD_TITLE_LIMIT titles
-        found = o.mapInPandas(_against_titles(kept, minimum), "title long, entry_ord long, ratio double")
-        pairs = found if pairs is None else pairs.unionByName(found)
+    schema = "title long, entry_ord long, ratio double"
+    parts = []
+    for rows, _ in bounded_blocks(titles, "title", "q", max(1, HELD_TITLE_LIMIT), HELD_TITLE_BYTES):
+        kept = [(r["title"], r["q"]) for r in rows]
+        low, high = _length_bounds(np.array([min(len(q) for _, q in kept), max(len(q) for _, q in kept)]), minimum)
+        parts.append(o.where(F.length("q").between(int(low[0]), int(high[1]))).mapInPandas(_against_titles(kept, minimum), schema))
+    pairs = reduce(DataFrame.unionByName, parts) if parts else held.sparkSession.createDataFrame([], schema)
     bearers = broadcast_if_bounded(h.join(titles, "q").select("title", "held_ord"))
     return pairs.join(bearers, "title").select("held_ord", "entry_ord", "ratio")
 
@@ -102,24 +111,23 @@ def _against_titles(kept: list, minimum: float):
         alphabet = np.unique(np.concatenate([_codes(q + " ") for _, q in kept] or [_codes(" ")]))
         letters = _letters([q for _, q in kept], alphabet)
         sizes, places = [len(q) for _, q in kept], [_places(q) for _, q in kept]
-        step = max(16, PAIR_CELLS // max(1, len(kept)))
+        step = max(16, PAIR_CELLS // max(1, len(kept), len(alphabet)))
         matcher = SequenceMatcher()
         for pdf in (b.iloc[at:at + step] for b in batches for at in range(0, len(b), step)):
-            titles, where = np.unique(pdf["q"].to_numpy(dtype=object).astype(str), return_inverse=True)
+            where, titles = pd.factorize(pdf["q"].to_numpy(dtype=object))  # as objects: a text array is as wide as its longest title in each row
             length = np.fromiter(map(len, titles), np.int64, len(titles))
             order = np.argsort(length, kind="stable")
             mine, length = _letters(titles[order], alphabet), length[order]
             near: dict[int, list[int]] = {}
             for j, size in enumerate(sizes):
-                # 2 * common >= minimum * (both lengths), and no more is common than the shorter one has
-                low = np.searchsorted(length, np.floor(size * minimum / (2 - minimum) - 1e-6), side="left")
-                high = np.searchsorted(length, np.ceil(size * (2 - minimum) / minimum + 1e-6), side="right")
+                shortest, longest = _length_bounds(size, minimum)
+                low, high = np.searchsorted(length, shortest, side="left"), np.searchsorted(length, longest, side="right")
                 common = np.minimum(mine[low:high], letters[j]).sum(1)
                 for i in np.flatnonzero(2.0 * common >= minimum * (length[low:high] + size) - 1e-6).tolist():
                     near.setdefault(low + i, []).append(j)
-            found = []
+            found = array("q"), array("q"), array("d")
             for i, held_rows in near.items():
-                title = str(titles[order[i]])
+                title = titles[order[i]]
                 held_rows = [j for j in held_rows if _may_reach(_common_subsequence(places[j], sizes[j], title), sizes[j] + len(title), minimum)]
                 if held_rows:
                     matcher.set_seq2(title)  # the index over the second text serves every held one
@@ -127,8 +135,9 @@ def _against_titles(kept: list, minimum: float):
                     matcher.set_seq1(kept[j][1])
                     ratio = matcher.ratio()
                     if ratio >= minimum:
-                        found.append((order[i], kept[j][0], ratio))
-            hit = pd.DataFrame(found, columns=["i", "title", "ratio"]).astype({"i": "int64", "title": "int64", "ratio": "float64"})
+                        for column, value in zip(found, (int(order[i]), kept[j][0], ratio)):
+                            column.append(value)
+            hit = pd.DataFrame({n: np.array(c, dtype=c.typecode) for n, c in zip(("i", "title", "ratio"), found)})
             rows = pd.DataFrame({"i": where.astype("int64"), "entry_ord": pdf["entry_ord"].to_numpy()})
             yield rows.merge(hit, on="i")[["title", "entry_ord", "ratio"]]
     return run

@@ -70,3 +70,28 @@ def test_question_ratio_values(spark):
         for o in rows:
             ratio = SequenceMatcher(None, h[4].lower(), o[4].lower()).ratio()
             assert got.get((h[0], o[0])) == (ratio if ratio >= 0.6 else None)
+
+
+def test_titles_take_no_more_room_than_their_texts():
+    """One title of a million letters among a few thousand short ones; as a text array each row was as wide as it."""
+    import resource
+
+    import pandas as pd
+    batch = pd.DataFrame({"entry_ord": range(4_000), "q": ["x" * 1_000_000, *(f"title {i}" for i in range(3_999))]})
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = pd.concat(V._against_titles([(0, "title 7")], 0.9)(iter([batch])))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000, "kB beyond what was used before"
+    assert {(r.entry_ord, round(r.ratio, 3)) for r in got.itertuples()} >= {(8, 1.0)} and len(got) > 1
+
+
+def test_titles_out_of_reach_stay_in_the_jvm(spark, monkeypatch):
+    """Titles of every length against held ones of a few: what is left out by length alone has no pair."""
+    r = random.Random(4)
+    titles = ["ab" * n + r.choice("abc") * r.randint(0, 9) for n in range(0, 60)] + ["", "a", "Ab"]
+    df = spark.createDataFrame(list(enumerate(titles)), "entry_ord long, question string")
+    held = df.where("entry_ord in (3, 9, 60, 61)").withColumnRenamed("entry_ord", "held_ord")
+    for size in (5_000, 1):
+        monkeypatch.setattr(V, "HELD_TITLE_LIMIT", size)
+        got = {(x["held_ord"], x["entry_ord"]) for x in V.question_pairs(held, df).collect()}
+        assert got == {(h, o) for h in (3, 9, 60, 61) for o, t in enumerate(titles) if SequenceMatcher(None, titles[h].lower(), t.lower()).ratio() >= 0.6}
+    assert V.question_pairs(held.where("false"), df).count() == 0
