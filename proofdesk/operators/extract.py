@@ -94,17 +94,19 @@ def exclude_urls(entries: DataFrame, urls: Iterable[str]) -> DataFrame:
     return entries.where(~F.col("url").isin(urls)) if urls else entries
 
 
-def check_entries(entries: DataFrame, displayed: DataFrame) -> DataFrame:
-    """Per entry: is its whole answer in the displayed text of its page?  displayed(url, html), one row per url.
+def check_entries(entries: DataFrame, displayed: DataFrame, page: str = "url") -> DataFrame:
+    """Per entry: is its whole answer in the displayed text of its page?  displayed(page, html), one row per page.
 
+    `page` names the column of both sides that tells pages apart: the url where each url was fetched once, another key where a url has several pages.
     An entry whose page was not fetched, or was given twice, fails the job instead of being reported as found or missing.
     """
-    twice = F.raise_error(F.concat(F.lit("page given twice: "), "url")).cast("string")
-    shown = (displayed.select("url", T.visible_text(F.col("html")).alias("shown")).groupBy("url").agg(F.first("shown").alias("shown"), F.count("*").alias("n"))
-             .select("url", F.when(F.col("n") > 1, twice).otherwise(F.col("shown")).alias("shown")))
-    wanted = entries.select("entry_ord", "id", "url", T.display_norm(F.col("answer")).alias("wanted"))
-    joined = wanted.join(shown, "url", "left")
-    there = F.when(F.col("shown").isNull(), F.raise_error(F.concat(F.lit("page not fetched: "), "url")).cast("boolean")) \
+    named = F.col(page).cast("string")
+    twice = F.raise_error(F.concat(F.lit("page given twice: "), named)).cast("string")
+    shown = (displayed.select(page, T.visible_text(F.col("html")).alias("shown")).groupBy(page).agg(F.first("shown").alias("shown"), F.count("*").alias("n"))
+             .select(page, F.when(F.col("n") > 1, twice).otherwise(F.col("shown")).alias("shown")))
+    wanted = entries.select("entry_ord", "id", "url", *{page} - {"url"}, T.display_norm(F.col("answer")).alias("wanted"))
+    joined = wanted.join(shown, page, "left")
+    there = F.when(F.col("shown").isNull(), F.raise_error(F.concat(F.lit("page not fetched: "), named)).cast("boolean")) \
         .otherwise(F.contains("shown", F.col("wanted")))
     return joined.select("entry_ord", "id", "url", (~there).alias("missing"))
 

@@ -154,12 +154,13 @@ def _page_entries(spark, sf) -> DataFrame:
     p = _t(spark, sf, "pages").select("page_id", "url", F.posexplode_outer(
         F.regexp_extract_all("html", F.lit(r"(?s)<p>.*?</p>|<ul>.*?</ul>"), F.lit(0))).alias("i", "raw")).where(F.col("i").isNotNull())
     return p.select(extract.pack_ordinal(F.col("page_id"), F.col("i"), extract.SECTION_BITS).alias("entry_ord"),
-                    F.concat(F.col("page_id").cast("string"), F.lit(":"), F.col("i").cast("string")).alias("id"), "url",
+                    F.concat(F.col("page_id").cast("string"), F.lit(":"), F.col("i").cast("string")).alias("id"), "url", "page_id",
                     T.clean(F.col("raw")).alias("answer"))
 
 
 def _checked(spark, sf) -> DataFrame:
-    return extract.check_entries(_page_entries(spark, sf), _t(spark, sf, "pages").select("url", "html"))
+    """Each page against its own displayed text; a url may have several pages."""
+    return extract.check_entries(_page_entries(spark, sf), _t(spark, sf, "pages").select("page_id", "html"), "page_id")
 
 
 def page_verify(spark, sf):

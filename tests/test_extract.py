@@ -129,3 +129,15 @@ def test_rest_source_pages_until_short_or_400(spark, tmp_path):
         assert SP.fetch_pages(spark, "https://s/", out, None) == out, "a finished landing is reused"
     with pytest.raises(Exception):
         SP.fetch_pages(spark, "https://s/", str(tmp_path / "none"), site(0, True), per_page=2, pause=0)
+
+
+def test_a_url_with_several_pages_is_checked_page_by_page(spark, tmp_path):
+    from proofdesk.plans import queries as Q
+    rows = [(0, "https://u/", "<p>one</p><p>two &amp; a half</p><ul><li>a</li><li>b</li></ul>"), (1, "https://u/", "<p>three</p>"), (2, "https://v/", "<p>four</p>"), (3, None, "<p>five</p>"),
+            (4, "https://w/", "nothing"), (5, "https://w/", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {tuple(r) for r in Q.page_verify(spark, str(tmp_path)).collect()} == {("https://u/", 4, 1), ("https://v/", 1, 0), (None, 1, 0)}
+    assert {tuple(r) for r in Q.page_missing(spark, str(tmp_path)).collect()} == {("https://u/", "0:2")}
+    pages = spark.createDataFrame([(1, "x"), (1, "y")], "page_id long, html string")
+    with pytest.raises(Exception, match="page given twice: 1"):
+        X.check_entries(spark.createDataFrame([(0, "a", "u", 1, "x")], "entry_ord long, id string, url string, page_id long, answer string"), pages, "page_id").collect()
