@@ -5,12 +5,15 @@ formats miss is proposed by generators of high recall: stretches of digit groups
 bracketed addresses, spaced or bracketed dots. Candidates overlap freely. Gradient-boosted trees score each one by its format (digits, groups, separators, Luhn) and its
 context (neighbouring characters and cue words), and those above a calibrated threshold are taken, best first, without overlaps.
 
-Labels are made from the corpus itself. In a bounded sample of documents (SAMPLE of those with digits or @, by hash of the id) a candidate that is a base span is
+Labels are made from the corpus itself, from all documents that may hold anything. A candidate that is a base span is
 positive; one that partly overlaps a base span, or is a well-formed number that failed its check, or touches no match at all is negative; what lies in a match that
 failed by its length only is left out, as it may hide data. Each base span is also set into its context in disguise and beside another number, where the formats fail,
 with known places. A third of the documents, by hash, is not fitted on: from them each kind gets the lowest threshold whose precision is above
 PRECISION by the exact binomial bound at CONFIDENCE. A kind without enough of them adds nothing.
 
+Nothing is sampled. Equal examples are one row with their number, feature values are counted for exact quantiles, and a tree needs only sums by node, feature and bin.
+These are whole numbers, so they do not depend on how rows are dealt: the tasks make them from the table of binned examples, or the driver where that table was measured small.
+
 Defined results: offsets are code points, ends exclusive; a null or empty text has no spans; repeated rows are judged each; rows without an id are not learnt from; an empty table
 gives no rows; further columns are not read. Time is linear in the text, but for numbers of up to MOST_GROUPS groups, each of whose stretches is a candidate.
 """
@@ -20,6 +23,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import slices, texts, written
+from .base import slices, small_enough, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-SAMPLE = 6_000
-ROWS = 60_000
+LOCAL_ROWS = 100_000  # distinct binned examples that one process sums up; more are summed up by the tasks
 PRECISION, CONFIDENCE = 0.95, 0.95
 MOST_GROUPS = 8
 TREES, DEPTH, RATE, BINS, RIDGE = 40, 4, 0.25, 32, 1.0
+STEPS = (0.99, 0.98, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5)
+UNIT = 1 << 24  # gradients and curvatures are rounded to its parts, so that sums are exact in any order
 SLICE = 4 << 20
 
 LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
@@ -189,7 +194,7 @@ def examples(text: str) -> list[tuple[str, tuple[int, int, int], int]]:
     out = [(text, c, y) for c, y in labelled(text)]
     base, _ = base_spans(text)
     numbers = [text[a:b] for a, k, b in base if k in (CARD, PHONE, IP)]
-    for at, (a, kind, b) in enumerate(base[:20]):
+    for at, (a, kind, b) in enumerate(base):
         left, right = text[max(0, a - 40):a], text[b:b + 40]
         other = numbers[at % len(numbers)] if numbers else "2"
         for form, begin, end in disguises(kind, text[a:b], other):
@@ -201,49 +206,89 @@ def examples(text: str) -> list[tuple[str, tuple[int, int, int], int]]:
     return out
 
 
+def quantiles(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Inner edges of BINS bins of about equal numbers; the values are in order."""
+    upto = np.cumsum(counts)
+    places = np.floor(np.linspace(0, 1, BINS + 1)[1:-1] * (upto[-1] - 1))
+    return np.unique(values[np.searchsorted(upto, places, side="right")])
+
+
+class Examples:
+    """Binned examples in one process: `sums` adds up what a level of a tree is chosen from."""
+
+    def __init__(self, binned: np.ndarray, y: np.ndarray, n: np.ndarray):
+        self.binned, self.y, self.n = binned, y, n
+        self.z, self.seen = None, 0
+
+    def sums(self, bias: float, trees: list, part: tuple, level: int) -> np.ndarray:
+        """(2, node of the level, feature, bin): gradients and curvatures in whole units of UNIT; at level DEPTH, of the leaves, under feature and bin 0."""
+        rows, width = self.binned.shape
+        if self.z is None:
+            self.z = np.full(rows, bias)
+        for tree in trees[self.seen:]:
+            self.z += Trees.leaf_values(tree, self.binned)
+        self.seen = len(trees)
+        p = 1 / (1 + np.exp(-self.z))
+        g, h = np.rint((p - self.y) * UNIT) * self.n, np.rint(p * (1 - p) * UNIT) * self.n
+        node = np.zeros(rows, np.int64)
+        for _ in range(level):
+            node = 2 * node + 1 + (self.binned[np.arange(rows), part[0][node]] > part[1][node])
+        count = 2**level
+        node -= count - 1
+        out = np.zeros((2, count, width, BINS + 1))
+        for f in range(width if level < DEPTH else 1):
+            key = node * (BINS + 1) + (self.binned[:, f] if level < DEPTH else 0)
+            for i, v in enumerate((g, h)):
+                out[i, :, f] = np.bincount(key, v, count * (BINS + 1)).reshape(count, -1)
+        return out.astype(np.int64)
+
+
 class Trees:
     """Gradient-boosted regression trees for the logistic loss, over quantile bins; leaves take Newton steps."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(x.shape[1])] if len(x) else []
-        self.bias, self.trees = 0.0, []
-        if not len(y) or not 0 < y.sum() < len(y):
-            self.bias = -40.0  # nothing to tell apart
+        edges = [quantiles(*np.unique(x[:, f], return_counts=True)) for f in range(x.shape[1])] if len(x) else []
+        self.start(edges, int(y.sum()), len(y))
+        if not self.told:
             return
-        binned = self.bins(x)
-        self.bias = float(np.log(y.mean() / (1 - y.mean())))
-        z = np.full(len(y), self.bias)
-        for _ in range(TREES):
-            p = 1 / (1 + np.exp(-z))
-            tree = self.grow(binned, p - y, p * (1 - p))
-            self.trees.append(tree)
-            z += self.leaf_values(tree, binned)
+        self.boost(Examples(self.bins(x), y, np.ones(len(y))).sums)
+
+    def start(self, edges: list, hits: int, n: int) -> None:
+        self.edges, self.trees, self.told = edges, [], 0 < hits < n
+        self.bias = float(np.log(hits / (n - hits))) if self.told else -40.0  # nothing to tell apart
+
+    @classmethod
+    def untrained(cls, edges: list, hits: int, n: int) -> Trees:
+        """For `boost`: the edges of each feature, and how many of `n` examples are positive."""
+        out = cls.__new__(cls)
+        out.start(edges, hits, n)
+        return out
+
+    def boost(self, sums) -> None:
+        for _ in range(TREES if self.told else 0):
+            self.trees.append(self.grow(sums))
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(self.edges)]).astype(np.int64)
 
-    def grow(self, binned: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def grow(self, sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(feature, last bin to the left, leaf value) by node of a full binary tree; a node that is not worth splitting sends all to the left."""
-        rows, width = binned.shape
         nodes = 2**DEPTH - 1
-        feature, cut, node = np.zeros(nodes, np.int64), np.full(nodes, BINS), np.zeros(rows, np.int64)
+        feature, cut = np.zeros(nodes, np.int64), np.full(nodes, BINS)
         for level in range(DEPTH):
             first, count = 2**level - 1, 2**level
             best = np.full(count, 1e-6)
-            for f in range(width):
-                key = (node - first) * (BINS + 1) + binned[:, f]
-                G = np.bincount(key, g, count * (BINS + 1)).reshape(count, -1).cumsum(axis=1)
-                H = np.bincount(key, h, count * (BINS + 1)).reshape(count, -1).cumsum(axis=1)
+            every = sums(self.bias, self.trees, (feature, cut), level)
+            for f in reversed(range(len(self.edges))):  # of features that part the examples alike the last one, which tells more of the whole candidate
+                G, H = (every[:, :, f].cumsum(axis=2) / UNIT)
                 whole = G[:, -1:] ** 2 / (H[:, -1:] + RIDGE)
                 gain = G**2 / (H + RIDGE) + (G[:, -1:] - G) ** 2 / (H[:, -1:] - H + RIDGE) - whole
                 at = gain[:, :-1].argmax(axis=1)
                 value = gain[np.arange(count), at]
                 better = value > best
                 best[better], feature[first:first + count][better], cut[first:first + count][better] = value[better], f, at[better]
-            node = 2 * node + 1 + (binned[np.arange(rows), feature[node]] > cut[node])
-        leaf = node - nodes
-        value = -RATE * np.bincount(leaf, g, nodes + 1) / (np.bincount(leaf, h, nodes + 1) + RIDGE)
-        return feature, cut, value
+        G, H = sums(self.bias, self.trees, (feature, cut), DEPTH)[:, :, 0, 0] / UNIT
+        return feature, cut, -RATE * G / (H + RIDGE)
 
     @staticmethod
     def leaf_values(tree, binned: np.ndarray) -> np.ndarray:
@@ -254,11 +299,12 @@ class Trees:
         return value[node - len(feature)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.full(len(x), self.bias)
-        if len(x) and self.trees:
-            binned = self.bins(x)
-            for tree in self.trees:
-                z += self.leaf_values(tree, binned)
+        return self.score_binned(self.bins(x) if len(x) and self.trees else np.zeros((len(x), 0), np.int64))
+
+    def score_binned(self, binned: np.ndarray) -> np.ndarray:
+        z = np.full(len(binned), self.bias)
+        for tree in self.trees if len(binned) else ():
+            z += self.leaf_values(tree, binned)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -267,54 +313,123 @@ def surely_above(hits: int, n: int, share: float, confidence: float) -> bool:
     if hits <= n * share:
         return False
     lf = math.lgamma
-    terms = [lf(n + 1) - lf(i + 1) - lf(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share) for i in range(hits, n + 1)]
+    terms = []
+    for i in range(hits, n + 1):  # beyond the mode, so they fall
+        terms.append(lf(n + 1) - lf(i + 1) - lf(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share))
+        if terms[-1] < terms[0] - 60:
+            break
     most = max(terms)
     return most + math.log(sum(math.exp(t - most) for t in terms)) <= math.log(1 - confidence)
 
 
-def threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The lowest score, one half at least, from which on the precision is surely above PRECISION; infinite if there is none. Looser ones are tried after tighter ones held."""
+def lowest(counts) -> float:
+    """The lowest of STEPS, from (hits, all) at and above each, that is surely precise; infinite if there is none. Looser ones are tried after tighter ones held."""
     best = math.inf
-    for t in (0.99, 0.98, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5):
-        taken = score >= t
-        if surely_above(int(y[taken].sum()), int(taken.sum()), PRECISION, CONFIDENCE):
+    for t, (hits, n) in zip(STEPS, counts):
+        if surely_above(int(hits), int(n), PRECISION, CONFIDENCE):
             best = t
         elif best < math.inf:
             break
     return best
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, kind, label, features) of the candidates of at most `sample` documents that have digits or @."""
-    source = texts(docs)
-    ids = (source.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select("doc_id").distinct()
-           .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample))
+def threshold(score: np.ndarray, y: np.ndarray) -> float:
+    """The lowest score, one half at least, from which on the precision is surely above PRECISION."""
+    return lowest([(y[score >= t].sum(), (score >= t).sum()) for t in STEPS])
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    """(held, kind, label, features, n) of the candidates of all documents that are judged, equal ones as one row."""
+    source = texts(docs).where(F.col("doc_id").isNotNull() & F.col("text").rlike(HOT))
+    kinds = {"held": pa.bool_(), "kind": pa.int32(), "label": pa.int32(), "features": pa.list_(pa.float32()), "n": pa.int64()}
 
     def run(batches):
         for batch in slices(batches, limit=SLICE):
-            doc, kind, label, rows = [], [], [], []
+            found: Counter = Counter()
             for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for made, c, y in examples(text):
-                    doc.append(d)
-                    kind.append(c[1])
-                    label.append(y)
-                    rows.append(feature_row(made, c))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(kind, pa.int32()), pa.array(label, pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
-                                             ["doc_id", "kind", "label", "features"])
+                held = zlib.crc32(str(d).encode()) % 3 == 0
+                found.update((held, c[1], y, tuple(feature_row(made, c))) for made, c, y in examples(text))
+            columns = list(zip(*((*key, n) for key, n in found.items()))) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
 
-    return source.join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, kind int, label int, features array<double>")
+    made = source.mapInArrow(run, "held boolean, kind int, label int, features array<float>, n long")
+    return made.groupBy("held", "kind", "label", "features").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, most: int = ROWS) -> tuple[Trees, list[float]]:
-    """(trees, threshold of each kind) from at most `most` rows, the first by hash."""
-    rows = written(training_rows(docs, sample), "pii-sample")
-    taken = rows.orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id", "kind", "label", "features").limit(most).toArrow()
-    x = np.array(taken.column("features").to_pylist(), dtype=np.float64).reshape(-1, WIDTH)
-    kind, y = taken.column("kind").to_numpy(), taken.column("label").to_numpy().astype(np.float64)
-    held = np.array([zlib.crc32(str(d).encode()) % 3 == 0 for d in taken.column("doc_id").to_pylist()], dtype=bool)
-    trees = Trees(x[~held], y[~held])
-    score = trees.score(x[held])
-    return trees, [threshold(score[kind[held] == k], y[held][kind[held] == k]) for k in range(len(KINDS))]
+def binned_rows(rows: DataFrame, trees: Trees) -> DataFrame:
+    """(held, kind, label, code, n): a byte for the bin of each feature."""
+    def run(batches):
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+            code = [c.tobytes() for c in trees.bins(x).astype(np.uint8)] if len(x) else []
+            yield pa.RecordBatch.from_arrays([batch.column("held"), batch.column("kind"), batch.column("label"), pa.array(code, pa.binary()), batch.column("n")],
+                                             ["held", "kind", "label", "code", "n"])
+
+    return rows.mapInArrow(run, "held boolean, kind int, label int, code binary, n long").groupBy("held", "kind", "label", "code").agg(F.sum("n").alias("n"))
+
+
+def codes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int64)
+
+
+def as_examples(table) -> Examples:
+    return Examples(codes(table.column("code")), table.column("label").to_numpy().astype(np.float64), table.column("n").to_numpy().astype(np.float64))
+
+
+def spread_sums(table: DataFrame):
+    """The sums of `Examples`, made by the tasks that scan the table; the driver gets one row for each node, feature and bin."""
+    def sums(bias, trees, part, level):
+        shape = (2, 2**level, WIDTH, BINS + 1)
+
+        def run(batches):
+            total = np.zeros(shape, np.int64)
+            for batch in batches:
+                total += as_examples(batch).sums(bias, trees, part, level)
+            g, h = total.reshape(2, -1)
+            slot = np.flatnonzero((g != 0) | (h != 0))
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(g[slot]), pa.array(h[slot])], ["slot", "g", "h"])
+
+        got = table.mapInArrow(run, "slot long, g long, h long").groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+        out = np.zeros((2, math.prod(shape[1:])), np.int64)
+        out[:, got.column("slot").to_numpy()] = got.column("g").to_numpy(), got.column("h").to_numpy()
+        return out.reshape(shape)
+    return sums
+
+
+def limits_of(held: DataFrame, trees: Trees) -> list[float]:
+    """The threshold of each kind from the examples that were not fitted on."""
+    def run(batches):
+        total = np.zeros((len(KINDS), len(STEPS), 2), np.int64)
+        for batch in batches:
+            score = trees.score_binned(codes(batch.column("code")))
+            kind, y, n = (batch.column(c).to_numpy() for c in ("kind", "label", "n"))
+            for i, t in enumerate(STEPS):
+                for at, v in enumerate((y * n, n)):
+                    total[:, i, at] += np.bincount(kind[score >= t], v[score >= t], len(KINDS)).astype(np.int64)
+        k, i = np.divmod(np.arange(len(KINDS) * len(STEPS)), len(STEPS))
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(i, pa.int32()), *map(pa.array, total.reshape(-1, 2).T.copy())], ["kind", "step", "hits", "n"])
+
+    got = held.mapInArrow(run, "kind int, step int, hits long, n long").groupBy("kind", "step").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()
+    counts = {(r["kind"], r["step"]): (r["hits"], r["n"]) for r in got}
+    return [lowest([counts.get((k, i), (0, 0)) for i in range(len(STEPS))]) for k in range(len(KINDS))]
+
+
+def fit(docs: DataFrame, local_rows: int | None = None) -> tuple[Trees, list[float]]:
+    """(trees, threshold of each kind) from all documents; `local_rows` bounds the distinct examples that the driver sums up."""
+    rows = written(training_rows(docs), "pii-examples")
+    learnt = rows.where(~F.col("held"))
+    hits, n = learnt.agg(F.coalesce(F.sum(F.col("label") * F.col("n")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    values: list[list] = [[] for _ in range(WIDTH)]
+    for f, v, many in learnt.select(F.posexplode("features").alias("f", "v"), "n").groupBy("f", "v").agg(F.sum("n")).collect():  # lengths and counts within a candidate: some hundreds at most
+        values[f].append((v, many))
+    trees = Trees.untrained([quantiles(*np.array(sorted(vs)).T) for vs in values] if n else [], hits, n)
+    if not trees.told:
+        return trees, [math.inf] * len(KINDS)
+    table = written(binned_rows(rows, trees), "pii-bins")
+    learnt = table.where(~F.col("held"))
+    small = small_enough(learnt, LOCAL_ROWS if local_rows is None else local_rows)
+    trees.boost(as_examples(learnt.toArrow()).sums if small else spread_sums(learnt))
+    return trees, limits_of(table.where("held"), trees)
 
 
 def added(text: str, base, scored: list[tuple[float, tuple[int, int, int]]], limits: list[float]) -> list[tuple[int, int, int]]:
@@ -339,9 +454,9 @@ def redacted(text: str, spans) -> str:
     return "".join([*out, text[done:]])
 
 
-def find_personal_data(docs: DataFrame, sample: int = SAMPLE, with_text: bool = False) -> DataFrame:
+def find_personal_data(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, the number of base spans of each kind, base_sha256, spans (base and added ones) and n_added of every document, and the redacted text on request."""
-    trees, limits = fit(docs, sample)
+    trees, limits = fit(docs)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"] + ["redacted"] * with_text
 
     def run(batches):
