@@ -126,11 +126,9 @@ def _starts(n: Column, size: int, step: int, stop: Column) -> Column:
 
 
 def _slices(df: DataFrame, parts: Column, size: int, step: int, stop, out: str, ordinal: str, keep) -> DataFrame:
-    listed = df.select(*keep, parts.alias("_parts"))
-    n = F.size("_parts")
-    return (listed.select(*keep, "_parts", F.posexplode_outer(_starts(n, size, step, stop(n))).alias(ordinal, "_at"))
-            .where(F.col("_at").isNotNull())
-            .select(*keep, ordinal, F.array_join(F.slice("_parts", F.col("_at") + 1, size), " ").alias(out)))
+    """The slices are made in the row, so the generator copies none of the other parts of a long text with each of them."""
+    every = named(parts, lambda p: F.transform(_starts(F.size(p), size, step, stop(F.size(p))), lambda at: F.array_join(F.slice(p, at + 1, size), " ")))
+    return df.select(*keep, F.posexplode_outer(every).alias(ordinal, out)).where(F.col(ordinal).isNotNull())
 
 
 def window_rows(df: DataFrame, text: str, *keep: str, size: int = WINDOW_SIZE, stride: int = WINDOW_STRIDE,

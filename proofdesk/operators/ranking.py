@@ -10,6 +10,7 @@ that must not see the unit. queries(query_id, text [, corpus_id]).
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as ty
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from ..session import bounded_blocks, broadcast_if_bounded, cut_lineage
+from ..session import bounded_blocks, broadcast_if_bounded, cut_lineage, written
 
 # BM25, fusion and candidate constants, and the floor of a vector norm.
 K1, B = 1.5, 0.75
@@ -33,8 +34,11 @@ NORM_FLOOR = 1e-9
 BLOCK_QUERIES = 2_000
 BLOCK_BYTES = 32 << 20
 CHUNK_CELLS = 4_000_000
+TEXT_BYTES = 4 << 20  # text that is cut into tokens together
+TOKEN_BYTES = np.array([re.fullmatch(T.TOKEN, chr(c)) is not None for c in range(256)])
 CHUNK_UNITS = 512  # units whose largest contributions are bounded together
 BOUND_SLACK = 1e-9  # bounds are rounded differently from scores, by far less
+PAIR_SLACK = 1e-3  # the same of bounds in single precision
 
 
 def _optional(df: DataFrame, name: str, kind: str):
@@ -171,23 +175,95 @@ def _bm25_parts(units, queries, k, k1, b, round_to) -> tuple[list[DataFrame], in
     id_type = to_arrow_type(schema["query_id"].dataType)
     parts, blocks, counts = [], 1, None
     for rows, blocks in _query_blocks(qs, "text"):
+        vocab = sorted({t for r in rows for t in r["t"] or ()})
+        if blocks == 1 and "hidden" not in units.columns:
+            lower = units.select("unit_ord", F.lower("text").alias("text"))
+            source = written(lower.mapInArrow(_encoder(vocab), "unit_ord long, len long, codes array<int>"), "bm25-codes")
+            kernel = _bm25_kernel(rows, vocab, _coded_stats(source, vocab), k, k1, b, round_to, id_type)
+            return [source.mapInArrow(kernel, schema)], blocks
         if counts is None:
             counts = _term_counts(tokens, qs)
             counts = cut_lineage(counts) if blocks > 1 else counts
-        vocab = sorted({t for r in rows for t in r["t"] or ()})
         kernel = _bm25_kernel(rows, vocab, _block_stats(counts, rows, blocks), k, k1, b, round_to, id_type)
         parts.append(source.mapInArrow(kernel, schema))
     return parts, blocks
 
 
+def _codes(piece: pa.RecordBatch, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, unit, code): tokens of each unit, and the vocabulary numbers of those that are in it."""
+    if "codes" in piece.schema.names:
+        codes = piece.column("codes")
+        sizes = pc.list_value_length(codes).to_numpy(zero_copy_only=False)
+        return piece.column("len").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if "text" in piece.schema.names:
+        length, toks = _tokens(piece.column("text"))
+    else:
+        listed = piece.column("t")
+        length = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        toks = listed.flatten().cast(pa.string())
+    code = pc.fill_null(pc.index_in(toks, value_set=known), -1).to_numpy(zero_copy_only=False)
+    on = code >= 0
+    return length, np.repeat(np.arange(len(length)), length)[on], code[on].astype(np.int64)
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(tokens of each text, all tokens) of lower-cased texts, the same as `T.words` finds: runs of the bytes that T.TOKEN allows."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if offsets else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    inside = TOKEN_BYTES[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = bounds[:-1][bounds[:-1] < bounds[1:]]  # no token goes on from one text to the next
+    begins[first] = inside[first]
+    counted = np.concatenate([[0], np.cumsum(begins)])
+    kept = raw[inside]
+    ends = np.append(np.flatnonzero(begins[inside]), len(kept)).astype(np.int32)
+    return counted[bounds[1:]] - counted[bounds[:-1]], pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(kept))
+
+
+def _encoder(vocab: list[str]) -> Callable:
+    """Units as their length and the vocabulary numbers of their tokens, so that both the statistics and the scores read a small table instead of the text."""
+    def pieces(batch):
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TEXT_BYTES, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+    def run(batches):
+        known = pa.array(vocab, type=pa.string())
+        for piece in (p for batch in batches for p in pieces(batch)):
+            length, unit, code = _codes(piece, known)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=len(length)))])
+            yield pa.RecordBatch.from_arrays([piece.column("unit_ord"), pa.array(length), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(code, pa.int32()))],
+                                             ["unit_ord", "len", "codes"])
+    return run
+
+
+def _coded_stats(coded: DataFrame, vocab: list[str]) -> dict:
+    """{('', term): (units with it, 0)} and, under the empty term, the number of units and their tokens."""
+    def run(batches):
+        n, total, df = 0, 0, np.zeros(len(vocab), dtype=np.int64)
+        for batch in batches:
+            length, unit, code = _codes(batch, None)
+            n, total = n + len(length), total + int(length.sum())
+            df += np.bincount(np.unique(unit * len(vocab) + code) % max(1, len(vocab)), minlength=len(vocab))
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *held], pa.int32()), pa.array([n, *df[held]], pa.int64()), pa.array([total, *([0] * len(held))], pa.int64())],
+                                         ["code", "n", "len"])
+
+    got = coded.mapInArrow(run, "code int, n long, len long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("len").alias("len")).collect()
+    return {("", vocab[r["code"]] if r["code"] >= 0 else ""): (r["n"], r["len"]) for r in got}
+
+
 def _triples(piece: pa.RecordBatch, known: pa.Array):
     """(length, starts, unit, tf): the units' token counts, and per vocabulary term the slice of units that hold it with their counts."""
-    toks = piece.column("t")
-    length = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    code = pc.fill_null(pc.index_in(toks.flatten().cast(pa.string()), value_set=known), -1).to_numpy(zero_copy_only=False)
-    on = code >= 0
-    cell = code[on].astype(np.int64) * len(length) + np.repeat(np.arange(len(length)), length)[on]
-    cell, tf = np.unique(cell, return_counts=True)
+    length, unit, code = _codes(piece, known)
+    cell, tf = np.unique(code * len(length) + unit, return_counts=True)
     starts = np.searchsorted(cell, np.arange(len(known) + 1) * len(length))
     return length, starts, cell % max(1, len(length)), tf.astype(float)
 
@@ -221,6 +297,8 @@ def _bm25_kernel(rows, vocab, stats, k, k1, b, round_to, id_type) -> Callable:
     flat_term = np.array([t for _, _, terms in plans for t, _ in terms], dtype=np.int64)
     flat_weight = np.array([w for _, _, terms in plans for _, w in terms], dtype=float)
     longest = max((avg for _, avg, _ in plans), default=0.0)
+    n_terms = np.array([len(terms) for _, _, terms in plans], dtype=np.int64)
+    first_term, average = np.cumsum(n_terms) - n_terms, np.array([avg for _, avg, _ in plans], dtype=float)
 
     def norms(length, avg):
         return k1 * (1 - b + b * length / avg) if avg else np.full(len(length), k1)
@@ -279,19 +357,59 @@ def _bm25_kernel(rows, vocab, stats, k, k1, b, round_to, id_type) -> Callable:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(hit), q))), pa.array(c.ords[hit]), pa.array(s[hit])],
                                                      names=["query_id", "unit_ord", "score"])
 
+    def pair_scores(length: np.ndarray, slot: np.ndarray, tf: np.ndarray, q: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Scores of (query, unit) pairs, each query's contributions added in its order as in `Chunk.scores`."""
+        norm = np.full(len(q), k1)
+        some = average[q] > 0
+        norm[some] = k1 * (1 - b + b * length[u[some]] / average[q[some]])
+        s = np.zeros(len(q))
+        for at in range(int(n_terms[q].max(initial=0))):
+            flat = np.minimum(first_term[q] + at, len(flat_term) - 1)
+            f = tf[slot[flat_term[flat]], u]
+            hit = np.flatnonzero((at < n_terms[q]) & (f > 0))
+            s[hit] += flat_weight[flat[hit]] * f[hit] * (k1 + 1) / (f[hit] + norm[hit])
+        return s if round_to is None else np.round(s, round_to)
+
+    def pairs(c: Chunk, live: np.ndarray, best: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, unit, score) of the pairs that may be among the k best: a product of bounded size bounds every pair as `bounds` does a chunk."""
+        present = np.flatnonzero(np.diff(c.starts))
+        slot = np.zeros(len(vocab) + 1, dtype=np.int64)  # row 0 stands for the terms that the chunk lacks
+        slot[present] = np.arange(1, len(present) + 1)
+        row, floor = np.repeat(np.arange(1, len(present) + 1), np.diff(c.starts)[present]), np.maximum(norms(c.length, longest), 1e-300)
+        width = max(1, CHUNK_CELLS // (len(present) + 1))
+        for at in range(0, len(c.length), width):
+            stop = min(len(c.length), at + width)
+            own = (c.unit >= at) & (c.unit < stop)
+            tf = np.zeros((len(present) + 1, stop - at))
+            tf[row[own], c.unit[own] - at] = c.tf[own]
+            most = (tf * (k1 + 1) / (tf + floor[at:stop])).astype(np.float32)
+            for some in (live[i:i + width] for i in range(0, len(live), width)):
+                place_of = np.full(len(plans), -1)
+                place_of[some] = np.arange(len(some))
+                asked = (place_of[flat_query] >= 0) & (slot[flat_term] > 0)
+                weight = np.zeros((len(some), len(present) + 1), dtype=np.float32)
+                np.add.at(weight, (place_of[flat_query[asked]], slot[flat_term[asked]]), flat_weight[asked])
+                may = weight @ most * np.float32(1 + PAIR_SLACK) + np.float32(PAIR_SLACK) >= best[some, -1:]
+                for corpus, out in c.hidden.items():
+                    may[np.ix_(np.isin(some, members[corpus]), [u - at for u in out if at <= u < stop])] = False
+                q, u = np.nonzero(may)
+                yield some[q], u + at, pair_scores(c.length[at:stop], slot, tf, some[q], u)
+
     def run(batches):
         best = np.full((len(plans), k), -np.inf)
         which = np.full((len(plans), k), np.iinfo(np.int64).max)
         for c in chunks(batches):
             most = bounds(c.length, c.starts, c.unit, c.tf)
-            live = (most > best[:, -1]) | ((most == best[:, -1]) & (c.ords.min() < which[:, -1]))
-            for q in np.flatnonzero(live):
-                s, _ = c.scores(q)
-                hit = np.flatnonzero((s > best[q, -1]) | ((s == best[q, -1]) & (c.ords < which[q, -1]) & (s > -np.inf)))
-                if len(hit):
-                    all_s, all_u = np.concatenate([best[q], s[hit]]), np.concatenate([which[q], c.ords[hit]])
+            live = np.flatnonzero((most > best[:, -1]) | ((most == best[:, -1]) & (c.ords.min() < which[:, -1])))
+            for q, u, s in pairs(c, live, best) if len(live) else ():
+                enters = (s > best[q, -1]) | ((s == best[q, -1]) & (c.ords[u] < which[q, -1]))
+                q, u, s = q[enters], u[enters], s[enters]
+                cut = np.searchsorted(q, np.arange(len(plans) + 1))
+                for i in np.flatnonzero(np.diff(cut)):
+                    mine = slice(cut[i], cut[i + 1])
+                    all_s, all_u = np.concatenate([best[i], s[mine]]), np.concatenate([which[i], c.ords[u[mine]]])
                     keep = np.lexsort((all_u, -all_s))[:k]
-                    best[q], which[q] = all_s[keep], all_u[keep]
+                    best[i], which[i] = all_s[keep], all_u[keep]
         yield _emit(best, which, ids)
     return every if k is None else run
 

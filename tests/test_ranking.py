@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from proofdesk.functions import text as T
 from proofdesk.operators import ranking as R
 
 
@@ -183,3 +185,33 @@ def test_no_queries_and_int_ids(spark):
         got = rank(units, asked, 1)
         assert [(g["query_id"], g["unit_ord"]) for g in got.collect()] == [(7, 0)] and dict(got.dtypes)["query_id"] == "int"
         assert rank(units, asked.where("query_id < 0"), 1).count() == 0
+
+
+def test_tokens_cut_from_bytes_are_those_of_the_words(spark):
+    r = random.Random(8)
+    pieces = ["a", "B", "7", " ", "é", "K", "İ", "日", "\n", "-", "zz", "\x00", "ſ"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 12))) for _ in range(400)] + [None, "", "end", "x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", F.lower("text").alias("low"), T.words(F.col("text")).alias("t")).orderBy("i").collect()
+    column = pa.array([None, *(x["low"] for x in rows)], pa.string()).slice(1)
+    length, toks = R._tokens(column)
+    assert length.tolist() == [len(x["t"] or ()) for x in rows] and toks.to_pylist() == [t for x in rows for t in x["t"] or ()]
+    assert R._tokens(column.slice(0, 0))[1].to_pylist() == [] and len(R._tokens(pa.array([None, ""], pa.string()))[0]) == 2
+
+
+def test_a_chunk_scores_the_pairs_that_may_enter_alone(spark, monkeypatch):
+    """Frequent terms in every chunk once made all its units be scored for each query, term by term."""
+    r = random.Random(3)
+    units = [(i, " ".join(r.choices(["the", "of", "and", f"w{i % 50}", f"x{r.randint(0, 300)}"], k=r.randint(0, 12)))) for i in range(3_000)]
+    queries = [(q, " ".join(["the", "of", "and", f"w{q}", f"x{q}", "the", f"x{q + 9}"])) for q in range(20)]
+    u, q = spark.createDataFrame(units, "unit_ord long, text string").coalesce(1), spark.createDataFrame(queries, "query_id long, text string")
+    scores = {(x["query_id"], x["unit_ord"]): x["score"] for x in R.bm25_scores(u, q, round_to=6).collect()}
+    want = {(i, at): e for i, _ in queries for at, e in enumerate(sorted(range(3_000), key=lambda n: (-scores.get((i, n), 0.0), n))[:40])}
+    for cells in (4_000_000, 700):
+        monkeypatch.setattr(R, "CHUNK_CELLS", cells)
+        assert {(x["query_id"], x["rank"]): x["unit_ord"] for x in R.bm25_topk(u, q, round_to=6).collect()} == want
+    seen = []
+    monkeypatch.setattr(R.np, "lexsort", lambda keys, sort=np.lexsort: seen.append(len(keys[0])) or sort(keys))
+    stats = {("", ""): (3_000, 18_000)} | {("", t): (1_000, 0) for t in ("the", "of")}
+    batch = pa.RecordBatch.from_pydict({"unit_ord": list(range(3_000)), "t": [["the", "of"]] * 3_000})
+    got = list(R._bm25_kernel([{"query_id": 1, "t": ["the", "of"], "corpus_id": None}], ["of", "the"], stats, 40, R.K1, R.B, None, pa.int64())(iter([batch])))
+    assert got[0].column("unit_ord").to_pylist() == list(range(40)) and len(seen) == 1
