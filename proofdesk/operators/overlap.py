@@ -19,6 +19,7 @@ from pyspark.sql import types as ty
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..functions.batches import text_pieces, tokens
 from ..session import bounded_blocks
 
 BLOCK_SETS = 2_000
@@ -98,10 +99,10 @@ class SetIndex:
         return r[enough], held[enough], common[enough]
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(row of each item, items per row, items) of a list column; a null list has none."""
-    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.repeat(np.arange(len(sizes)), sizes), sizes, column.flatten().cast(pa.string())
+def _listed(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row of each token, tokens per row, tokens) of the texts; a null text has none."""
+    sizes, words = tokens(piece.column("text"))
+    return np.repeat(np.arange(len(sizes)), sizes), sizes, words
 
 
 def _windows(row: np.ndarray, code: np.ndarray, n: int, tables: list[np.ndarray] | None = None):
@@ -129,18 +130,22 @@ def _windows(row: np.ndarray, code: np.ndarray, n: int, tables: list[np.ndarray]
 
 
 def _distinct(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(np.stack([row, number], axis=1), axis=0) if len(row) else np.empty((0, 2), np.int64)
-    return both[:, 0].astype(np.int64), both[:, 1].astype(np.int64)
+    """The distinct pairs in order, as one number each while they are sorted; a number is below 2^32, as in `_windows`."""
+    both = np.unique(row.astype(np.int64) << 32 | number.astype(np.int64))
+    return both >> 32, both & 0xFFFFFFFF
 
 
 def _scan(held: DataFrame, other: DataFrame, kernel: Callable, columns: list[str]) -> DataFrame:
-    """Rows of `kernel(block of held rows, key types)` over the tasks of other(entry_ord, t), one plan part a block."""
+    """Rows of `kernel(block of held rows, key types)` over the tasks of other(entry_ord, text), one plan part a block.
+
+    The texts are cut into tokens in the tasks, a bounded piece of a batch at a time, so that a task's memory goes with the piece and not with the tokens of a batch.
+    """
     schema = ty.StructType([ty.StructField("held_ord", held.schema["held_ord"].dataType), ty.StructField("entry_ord", other.schema["entry_ord"].dataType),
                             *(ty.StructField(c, ty.DoubleType()) for c in columns)])
-    tokens = other.select("entry_ord", T.words(F.col("text")).alias("t"))
+    lower = other.select("entry_ord", F.lower("text").alias("text"))
     named = held.select("held_ord", "text", T.words(F.col("text")).alias("t"))
     id_type = to_arrow_type(schema["held_ord"].dataType)
-    parts = [tokens.mapInArrow(kernel([(r["held_ord"], r["t"] or []) for r in rows], id_type), schema)
+    parts = [lower.mapInArrow(kernel([(r["held_ord"], r["t"] or []) for r in rows], id_type), schema)
              for rows, _ in bounded_blocks(named, "held_ord", "text", BLOCK_SETS, BLOCK_BYTES)]
     return reduce(DataFrame.unionByName, parts) if parts else held.sparkSession.createDataFrame([], schema)
 
@@ -166,8 +171,8 @@ def jaccard(held: DataFrame, other: DataFrame, minimum: float) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = pa.array(vocab, type=pa.string())
-            for batch in batches:
-                row, sizes, words = _lists(batch.column("t"))
+            for piece in (p for batch in batches for p in text_pieces(batch)):
+                row, sizes, words = _listed(piece)
                 every = words.dictionary_encode()
                 row, word = _distinct(row, every.indices.to_numpy(zero_copy_only=False))
                 size = np.bincount(row, minlength=len(sizes))
@@ -175,7 +180,7 @@ def jaccard(held: DataFrame, other: DataFrame, minimum: float) -> DataFrame:
                 r, h, c = index.pairs(row[code >= 0], code[code >= 0], size)
                 score = c / (index.sizes[h] + size[r] - c)
                 r, h, score = (x[score >= minimum] for x in (r, h, score))
-                yield _batch(keys, h, batch.column("entry_ord"), r, jaccard=score)
+                yield _batch(keys, h, piece.column("entry_ord"), r, jaccard=score)
         return run
 
     return _scan(held, other, kernel, ["jaccard"])
@@ -204,8 +209,8 @@ def containment(held: DataFrame, other: DataFrame, n: int, minimum: float = 0.0)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = pa.array(vocab, type=pa.string())
-            for batch in batches:
-                row, sizes, words = _lists(batch.column("t"))
+            for piece in (p for batch in batches for p in text_pieces(batch)):
+                row, sizes, words = _listed(piece)
                 code = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)
                 at, shingle = _distinct(*_windows(row, code, n, tables)[:2])
                 hit = np.unique(at)
@@ -215,7 +220,7 @@ def containment(held: DataFrame, other: DataFrame, n: int, minimum: float = 0.0)
                 r, h, c = index.pairs(at, shingle, size)
                 a, b = c / index.sizes[h], c / size[r]
                 on = (a >= minimum) | (b >= minimum)
-                yield _batch(keys, h[on], batch.column("entry_ord"), r[on], held_in_other=a[on], other_in_held=b[on])
+                yield _batch(keys, h[on], piece.column("entry_ord"), r[on], held_in_other=a[on], other_in_held=b[on])
         return run
 
     return _scan(held, other, kernel, ["held_in_other", "other_in_held"])

@@ -10,7 +10,6 @@ that must not see the unit. queries(query_id, text [, corpus_id]).
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -23,6 +22,8 @@ from pyspark.sql import types as ty
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..functions.batches import text_pieces
+from ..functions.batches import tokens as _tokens
 from ..session import bounded_blocks, broadcast_if_bounded, cut_lineage, written
 
 # BM25, fusion and candidate constants, and the floor of a vector norm.
@@ -34,8 +35,6 @@ NORM_FLOOR = 1e-9
 BLOCK_QUERIES = 2_000
 BLOCK_BYTES = 32 << 20
 CHUNK_CELLS = 4_000_000
-TEXT_BYTES = 4 << 20  # text that is cut into tokens together
-TOKEN_BYTES = np.array([re.fullmatch(T.TOKEN, chr(c)) is not None for c in range(256)])
 CHUNK_UNITS = 512  # units whose largest contributions are bounded together
 BOUND_SLACK = 1e-9  # bounds are rounded differently from scores, by far less
 PAIR_SLACK = 1e-3  # the same of bounds in single precision
@@ -206,37 +205,11 @@ def _codes(piece: pa.RecordBatch, known: pa.Array) -> tuple[np.ndarray, np.ndarr
     return length, np.repeat(np.arange(len(length)), length)[on], code[on].astype(np.int64)
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(tokens of each text, all tokens) of lower-cased texts, the same as `T.words` finds: runs of the bytes that T.TOKEN allows."""
-    texts = pc.fill_null(texts.cast(pa.string()), "")
-    _, offsets, data = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if offsets else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data else np.zeros(0, np.uint8)
-    bounds = bounds - bounds[0]
-    inside = TOKEN_BYTES[raw]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    first = bounds[:-1][bounds[:-1] < bounds[1:]]  # no token goes on from one text to the next
-    begins[first] = inside[first]
-    counted = np.concatenate([[0], np.cumsum(begins)])
-    kept = raw[inside]
-    ends = np.append(np.flatnonzero(begins[inside]), len(kept)).astype(np.int32)
-    return counted[bounds[1:]] - counted[bounds[:-1]], pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(kept))
-
-
 def _encoder(vocab: list[str]) -> Callable:
     """Units as their length and the vocabulary numbers of their tokens, so that both the statistics and the scores read a small table instead of the text."""
-    def pieces(batch):
-        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TEXT_BYTES, side="right")))
-            yield batch.slice(at, stop - at)
-            at = stop
-
     def run(batches):
         known = pa.array(vocab, type=pa.string())
-        for piece in (p for batch in batches for p in pieces(batch)):
+        for piece in (p for batch in batches for p in text_pieces(batch)):
             length, unit, code = _codes(piece, known)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=len(length)))])
             yield pa.RecordBatch.from_arrays([piece.column("unit_ord"), pa.array(length), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(code, pa.int32()))],

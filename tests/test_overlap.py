@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from proofdesk.operators import overlap as O
@@ -82,3 +84,21 @@ def test_empty_sides(spark):
         o = o.withColumnRenamed("held_ord", "entry_ord")
         assert O.jaccard(h, o, 0.3).columns == ["held_ord", "entry_ord", "jaccard"] and O.jaccard(h, o, 0.3).count() == 0
         assert O.containment(h, o, 2).count() == 0
+
+
+@pytest.mark.parametrize("find", [lambda: O.jaccard(None, None, 0.3), lambda: O.containment(None, None, 3, 0.2)])
+def test_memory_goes_with_a_piece_and_not_with_the_tokens_of_a_batch(monkeypatch, find):
+    """A batch of 3 million tokens, all held: taken whole, it was 227 MB for Jaccard and 133 MB for containment."""
+    monkeypatch.setattr(O, "_scan", lambda held, other, kernel, columns: kernel)
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefgh", k=4)) for _ in range(300)]
+    sets = [r.choices(words, k=30) for _ in range(40)]
+    other = [r.choices(words, k=600) for _ in range(4_999)] + [sets[7]]
+    batch = pa.RecordBatch.from_pydict({"entry_ord": range(5_000), "text": map(" ".join, other), "t": other})
+    run = find()(list(enumerate(sets)), pa.int64())
+    del other
+    tracemalloc.start()
+    got = [(x["held_ord"], x["entry_ord"]) for b in run(iter([batch])) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (7, 4_999) in got and peak < 100 << 20
