@@ -345,17 +345,23 @@ def _bm25_kernel(rows, vocab, stats, k, k1, b, round_to, id_type) -> Callable:
 
     def pairs(c: Chunk, live: np.ndarray, best: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query, unit, score) of the pairs that may be among the k best: a product of bounded size bounds every pair as `bounds` does a chunk."""
-        present = np.flatnonzero(np.diff(c.starts))
-        slot = np.zeros(len(vocab) + 1, dtype=np.int64)  # row 0 stands for the terms that the chunk lacks
+        alive, wanted = np.zeros(len(plans), dtype=bool), np.zeros(len(vocab), dtype=bool)
+        alive[live] = True
+        wanted[flat_term[alive[flat_query]]] = True
+        held = np.diff(c.starts)
+        present = np.flatnonzero(wanted & (held > 0))
+        slot = np.zeros(len(vocab) + 1, dtype=np.int64)  # row 0 stands for the terms that the chunk lacks or no live query asks for
         slot[present] = np.arange(1, len(present) + 1)
-        row, floor = np.repeat(np.arange(1, len(present) + 1), np.diff(c.starts)[present]), np.maximum(norms(c.length, longest), 1e-300)
+        row, floor = np.repeat(slot[:-1], held), np.maximum(norms(c.length, longest), 1e-300)
+        row, unit, count = row[row > 0], c.unit[row > 0], c.tf[row > 0]
+        part = (count * (k1 + 1) / (count + floor[unit])).astype(np.float32)
         width = max(1, CHUNK_CELLS // (len(present) + 1))
         for at in range(0, len(c.length), width):
             stop = min(len(c.length), at + width)
-            own = (c.unit >= at) & (c.unit < stop)
-            tf = np.zeros((len(present) + 1, stop - at))
-            tf[row[own], c.unit[own] - at] = c.tf[own]
-            most = (tf * (k1 + 1) / (tf + floor[at:stop])).astype(np.float32)
+            own = (unit >= at) & (unit < stop)
+            tf, most = np.zeros((len(present) + 1, stop - at)), np.zeros((len(present) + 1, stop - at), dtype=np.float32)
+            tf[row[own], unit[own] - at] = count[own]
+            most[row[own], unit[own] - at] = part[own]
             for some in (live[i:i + width] for i in range(0, len(live), width)):
                 place_of = np.full(len(plans), -1)
                 place_of[some] = np.arange(len(some))

@@ -215,3 +215,19 @@ def test_a_chunk_scores_the_pairs_that_may_enter_alone(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"unit_ord": list(range(3_000)), "t": [["the", "of"]] * 3_000})
     got = list(R._bm25_kernel([{"query_id": 1, "t": ["the", "of"], "corpus_id": None}], ["of", "the"], stats, 40, R.K1, R.B, None, pa.int64())(iter([batch])))
     assert got[0].column("unit_ord").to_pylist() == list(range(40)) and len(seen) == 1
+
+
+def test_a_chunk_unfolds_the_terms_of_its_live_queries_alone():
+    """5,000 terms of a query that the chunk cannot serve once made a dense row each."""
+    import tracemalloc
+    many = [f"w{i:04}" for i in range(5_000)]
+    rows = [{"query_id": 1, "t": many, "corpus_id": None}, {"query_id": 2, "t": ["zz"], "corpus_id": None}]
+    stats = {("", ""): (10_000, 100_000)} | {("", t): (10, 0) for t in (*many, "zz")}
+    first = pa.RecordBatch.from_pydict({"unit_ord": [0, 1], "t": [many, ["zz"]]})
+    rest = pa.RecordBatch.from_pydict({"unit_ord": range(2, 514), "t": [[many[1 + (10 * i + j) % 4_999] for j in range(10)] for i in range(511)] + [["zz", "zz"]]})
+    run = R._bm25_kernel(rows, [*many, "zz"], stats, 1, R.K1, 0.0, 6, pa.int64())
+    tracemalloc.start()
+    got = list(run(iter([first, rest])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0].column("unit_ord").to_pylist() == [0, 513] and peak < 10 << 20
